@@ -81,7 +81,7 @@ def _parser() -> argparse.ArgumentParser:
     live.add_argument("--max-per-trigger", type=int, help="Kafka: offsets a batch")
     live.add_argument("--min-partitions", type=int, help="Kafka: least number of read tasks")
     live.add_argument("--max-files", type=int, help="folder: files a batch")
-    live.add_argument("--max-bytes", help="folder: bytes a batch")
+    live.add_argument("--max-bytes", type=int, help="folder: bytes a batch")
     for sub in (history, live):
         sub.add_argument("--window", default=CountSpec.window)
         sub.add_argument("--slide", default=CountSpec.slide)
@@ -152,7 +152,7 @@ def _stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None
         wait_for_any(session)
     finally:
         if log:
-            log.flush()
+            log.close()
 
 
 _COMMANDS = {"publish": _publish, "tap": _tap, "history": _history, "stream": _stream}

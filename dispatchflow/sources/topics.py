@@ -61,7 +61,7 @@ def topic_stream(
     max_per_trigger: int | None = None,
     min_partitions: int | None = None,
     max_files: int | None = None,
-    max_bytes: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """All messages of a topic and those to come.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import threading
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,8 @@ def progress_frame(spark: SparkSession, *queries: StreamingQuery) -> DataFrame:
 class ProgressLog(StreamingQueryListener):
     """Keeps the progress of every query of a session as a parquet table.
 
-    Register it with ``spark.streams.addListener``. Reports are written ``every`` so many, and when a
-    query ends.
+    Register it with ``spark.streams.addListener`` before the queries start, and ``close`` it after they
+    end. Reports are written ``every`` so many, and when a query ends.
     """
 
     def __init__(self, spark: SparkSession, folder: str, every: int = 20):
@@ -58,23 +59,36 @@ class ProgressLog(StreamingQueryListener):
         self._folder = folder
         self._every = every
         self._rows: list[tuple] = []
+        self._running = 0
+        self._change = threading.Condition()
 
-    def flush(self) -> None:
+    def _flush(self) -> None:
         rows, self._rows = self._rows, []
         if rows:
             frame = self._spark.createDataFrame(rows, PROGRESS_ROW).coalesce(1)
             frame.write.mode("append").parquet(self._folder)
 
+    def close(self, timeout: float = 60) -> None:
+        """Wait for the last reports, which Spark delivers on a thread of its own, and write them."""
+        with self._change:
+            self._change.wait_for(lambda: self._running == 0, timeout)
+            self._flush()
+
     def onQueryStarted(self, event) -> None:
-        pass
+        with self._change:
+            self._running += 1
 
     def onQueryProgress(self, event) -> None:
-        self._rows.append(progress_row(event.progress))
-        if len(self._rows) >= self._every:
-            self.flush()
+        with self._change:
+            self._rows.append(progress_row(event.progress))
+            if len(self._rows) >= self._every:
+                self._flush()
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.flush()
+        with self._change:
+            self._flush()
+            self._running -= 1
+            self._change.notify_all()

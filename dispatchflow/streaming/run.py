@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -29,16 +30,33 @@ def start_console(
     return _writer(frame, name, checkpoint, trigger).format("console").option("truncate", "false").start()
 
 
-def _store(batch: DataFrame, folder: str, batch_id: int) -> str:
-    """Write a batch to its own folder, replacing what an earlier try of the batch left there.
+@contextmanager
+def _adaptive(spark: SparkSession) -> Iterator[None]:
+    """AQE on for a while: Spark turns it off in a stateful query's session."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
-    ``rebalance`` lets AQE merge the many small state partitions into files of the advisory size.
-    """
+
+def _store(batch: DataFrame, folder: str, batch_id: int) -> str:
+    """Write a batch to its own folder, replacing what an earlier try of the batch left there."""
     path = f"{folder.rstrip('/')}/batch_id={batch_id}"
-    batch.hint("rebalance").write.mode("overwrite").parquet(path)
+    batch.write.mode("overwrite").parquet(path)
     return path
 
 
+def _store_closed(batch: DataFrame, folder: str, batch_id: int) -> str:
+    """The same for closed windows: few rows in as many pieces as there are state partitions.
+
+    AQE merges the pieces, and splits a large one, into files of the advisory size.
+    """
+    with _adaptive(batch.sparkSession):
+        return _store(batch.hint("rebalance"), folder, batch_id)
+
+
 def start_files(
     frame: DataFrame, folder: str, name: str, checkpoint: str, trigger: str | None = TRIGGER
 ) -> StreamingQuery:
@@ -58,7 +76,11 @@ def start_counts(
     trigger: str | None = TRIGGER,
 ) -> StreamingQuery:
     """Write closed windows, flattened, to ``folder``."""
-    return start_files(flatten_window(counts), folder, name, checkpoint, trigger)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _store_closed(batch, folder, batch_id)
+
+    return _writer(flatten_window(counts), name, checkpoint, trigger).foreachBatch(store).start()
 
 
 def start_counts_and_enriched(
@@ -79,7 +101,7 @@ def start_counts_and_enriched(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = _store(batch, counts_folder, batch_id)
+        stored = _store_closed(batch, counts_folder, batch_id)
         spark = batch.sparkSession
         closed = spark.read.schema(batch.schema).parquet(stored)
         _store(with_descriptions(closed, codes(spark), spec), enriched_folder, batch_id)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from dispatchflow.config import CALLS, CountSpec
 from dispatchflow.functions import plain_time
 from dispatchflow.operators import (
     call_events,
@@ -23,7 +24,6 @@ from dispatchflow.operators import (
     tap_lines,
 )
 from dispatchflow.plans import counts_plan, enriched_plan
-from dispatchflow.config import CALLS
 from dispatchflow.schemas import CALL_RECORD
 from dispatchflow.session import streaming_session, work_dir
 from dispatchflow.sources import (
@@ -32,6 +32,7 @@ from dispatchflow.sources import (
     json_array_records,
     json_line_records,
     radio_codes,
+    spread,
     topic_batch,
     topic_stream,
     typed_array_records,
@@ -58,6 +59,8 @@ from dispatchflow.streaming import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The calls' times are whole minutes, so counting by the minute gives the same.
+BY_MINUTE = CountSpec(resolution="minute")
 RECORDS_PER_ARRAY = 20_000
 CODES_PER_ARRAY = 1_000
 LIMITED_BATCHES = 5
@@ -86,7 +89,7 @@ def _utc(query: Query) -> Query:
 
 
 def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_envelope(events_table(spark, sf_dir))
+    return as_envelope(spread(events_table(spark, sf_dir), spark.sparkContext.defaultParallelism))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +120,10 @@ def _enriched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(enriched_plan(_envelope(spark, sf_dir), nation_codes(spark, sf_dir)))
 
 
+def _enriched_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(enriched_plan(_envelope(spark, sf_dir), nation_codes(spark, sf_dir), BY_MINUTE))
+
+
 def _topic_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tap_lines(_envelope(spark, sf_dir))
 
@@ -195,14 +202,22 @@ def _rate_limited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream_counts(spark: SparkSession, sf_dir: str, spec: CountSpec) -> DataFrame:
     folder = work_dir(spark, "counts")
     messages = as_envelope(events_stream(streaming_session(spark), sf_dir))
-    counts = counts_plan(messages)
+    counts = counts_plan(messages, spec)
     start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None).awaitTermination()
     return _shown(read_output(spark, f"{folder}/out"))
 
 
+def _stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_counts(spark, sf_dir, CALLS)
+
+
+def _stream_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_counts(spark, sf_dir, BY_MINUTE)
+
+
 def _stream_enriched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "enriched")
     messages = as_envelope(events_stream(streaming_session(spark), sf_dir))
@@ -252,6 +267,7 @@ _QUERIES: dict[str, Query] = {
     "distinct_events": _distinct_events,
     "window_counts": _window_counts,
     "enriched_counts": _enriched_counts,
+    "enriched_counts_by_minute": _enriched_counts_by_minute,
     "topic_tap": _topic_tap,
     "dim_scan": _dim_scan,
     "publish_records": _publish_records,
@@ -260,6 +276,7 @@ _QUERIES: dict[str, Query] = {
     "topic_scan": _topic_scan,
     "rate_limited_batches": _rate_limited_batches,
     "stream_window_counts": _stream_window_counts,
+    "stream_window_counts_by_minute": _stream_counts_by_minute,
     "stream_enriched_counts": _stream_enriched_counts,
     "stream_late_rows": _stream_late_rows,
     "progress_table": _progress_table,
@@ -366,6 +383,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_events": f"with {_DISTINCT} select * from happened",
         "window_counts": f"with {_COUNTS} select * from counts",
         "enriched_counts": f"with {_COUNTS} {_WITH_NAMES}",
+        "enriched_counts_by_minute": f"with {_COUNTS} {_WITH_NAMES}",
         "topic_tap": f"with {_MESSAGES} select concat(topic, ':', partition, ':', \"offset\", "
         "': key=null value=', value) as line from messages",
         "dim_scan": "select cast(n_nationkey as varchar) as disposition, n_name as description from nation",
@@ -376,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
         "rate_limited_batches": "select cast(ts as date) as call_date, count(*) as calls, "
         "true as batches_as_planned, true as within_limit from events group by 1",
         "stream_window_counts": f"with {_COUNTS} select * from counts where {_CLOSED}",
+        "stream_window_counts_by_minute": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "stream_enriched_counts": f"with {_COUNTS} {_WITH_NAMES} where {_CLOSED}",
         "stream_late_rows": f"with {_COUNTS} select * from counts where {_CLOSED}",
     }

@@ -86,6 +86,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--window", default=CountSpec.window)
         sub.add_argument("--slide", default=CountSpec.slide)
         sub.add_argument("--delay", default=CountSpec.delay)
+        sub.add_argument("--resolution", choices=["second", "minute"], help="cut call times to this")
     return parser
 
 
@@ -94,7 +95,7 @@ def _codes(spark: SparkSession, path: str | None, spec: CountSpec) -> DataFrame:
 
 
 def _spec(args: argparse.Namespace) -> CountSpec:
-    return CountSpec(window=args.window, slide=args.slide, delay=args.delay)
+    return CountSpec(window=args.window, slide=args.slide, delay=args.delay, resolution=args.resolution)
 
 
 def _publish(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:

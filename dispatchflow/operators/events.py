@@ -15,8 +15,10 @@ def drop_null_keys(records: DataFrame, spec: CountSpec = CALLS) -> DataFrame:
 
 
 def call_events(records: DataFrame, spec: CountSpec = CALLS) -> DataFrame:
-    """Type, code and event time of each record."""
+    """Type, code and event time of each record, the time cut to the resolution if there is one."""
     instant = event_instant(F.col(spec.time_col), records.schema[spec.time_col].dataType)
+    if spec.resolution:
+        instant = F.date_trunc(spec.resolution, instant)
     return records.select(*spec.keys, instant.alias(spec.event_time))
 
 

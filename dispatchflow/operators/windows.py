@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from dispatchflow.config import CALLS, CountSpec
+from dispatchflow.config import CALLS, MAX_SLOTS, CountSpec
 from dispatchflow.operators.events import distinct_events
 
+_WORD_BITS = 64  # a word's number is the slot's, shifted right by six
+
 
 def window_counts(events: DataFrame, spec: CountSpec = CALLS) -> DataFrame:
     """Distinct events per type, sliding window and code: ``type, window, code, count``.
@@ -15,15 +19,42 @@ def window_counts(events: DataFrame, spec: CountSpec = CALLS) -> DataFrame:
     Events without a time fall in no window. On a stream a window comes out once, when the watermark has
     passed its end.
     """
-    if events.isStreaming:
-        return _stream_counts(events, spec)
-    window = F.window(spec.event_time, spec.window, spec.slide)
-    counted = distinct_events(events, spec).groupBy(spec.type_col, window, spec.code_col).count()
+    if spec.slots and spec.slots <= MAX_SLOTS:
+        counted = _slot_counts(events, spec)
+    elif events.isStreaming:
+        counted = _instant_counts(events, spec)
+    else:
+        counted = _windowed(distinct_events(events, spec), spec).count()
     return counted.select(spec.type_col, "window", spec.code_col, "count")
 
 
-def _stream_counts(events: DataFrame, spec: CountSpec) -> DataFrame:
-    """Two chained windowed aggregates: first the distinct event times of a group, then their number.
+def _windowed(events: DataFrame, spec: CountSpec, *more: Column) -> GroupedData:
+    window = F.window(spec.event_time, spec.window, spec.slide)
+    return events.groupBy(spec.type_col, window, spec.code_col, *more)
+
+
+def _watermarked(events: DataFrame, spec: CountSpec) -> DataFrame:
+    return events.withWatermark(spec.event_time, spec.delay) if events.isStreaming else events
+
+
+def _slot_counts(events: DataFrame, spec: CountSpec) -> DataFrame:
+    """One aggregate for times of a known resolution: a bit per time of the window.
+
+    A window holds at most ``slots`` neighbouring times, which all differ modulo ``slots``, so a time's
+    remainder is its bit. Words of 64 bits are merged by ``bit_or``: repeats set a bit again, every group is
+    one row of fixed size on the map side, in the shuffle and in the state, and one shuffle does.
+    """
+    slot = F.pmod(F.floor(F.unix_seconds(spec.event_time) / spec.unit_seconds), F.lit(spec.slots))
+    words = [f"word_{n}" for n in range(math.ceil(spec.slots / _WORD_BITS))]
+    marked = _watermarked(events, spec).withColumn("slot", slot.cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot") % _WORD_BITS)
+    filled = [F.bit_or(F.when(F.shiftright("slot", 6) == n, bit)).alias(word) for n, word in enumerate(words)]
+    bits = sum((F.coalesce(F.bit_count(word), F.lit(0)) for word in words), F.lit(0))
+    return _windowed(marked, spec).agg(*filled).withColumn("count", bits.cast("bigint"))
+
+
+def _instant_counts(events: DataFrame, spec: CountSpec) -> DataFrame:
+    """Two chained windowed aggregates for a stream: first a group's distinct times, then their number.
 
     The first keeps one small state row per event time of an open window, so a hot group is spread over
     all state partitions, and its map side collapses repeats before the shuffle. It drops late rows by
@@ -31,14 +62,9 @@ def _stream_counts(events: DataFrame, spec: CountSpec) -> DataFrame:
     from one batch to the next. ``unix_micros`` is an exact stand-in for the time: as a second column
     that carries the watermark, the time itself would not be allowed among the keys.
     """
-    window = F.window(spec.event_time, spec.window, spec.slide)
-    instants = (
-        events.withWatermark(spec.event_time, spec.delay)
-        .groupBy(spec.type_col, window, spec.code_col, F.unix_micros(spec.event_time).alias("instant"))
-        .agg(F.count(F.lit(1)).alias("repeats"))
-    )
-    counted = instants.groupBy(spec.type_col, "window", spec.code_col).count()
-    return counted.select(spec.type_col, "window", spec.code_col, "count")
+    instant = F.unix_micros(spec.event_time).alias("instant")
+    instants = _windowed(_watermarked(events, spec), spec, instant).agg(F.count(F.lit(1)).alias("repeats"))
+    return instants.groupBy(spec.type_col, "window", spec.code_col).count()
 
 
 def flatten_window(counts: DataFrame) -> DataFrame:

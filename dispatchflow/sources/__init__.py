@@ -2,7 +2,7 @@
 
 from dispatchflow.sources.codes import builtin_codes, radio_codes
 from dispatchflow.sources.records import json_array_records, json_line_records, typed_array_records
-from dispatchflow.sources.topics import Topic, as_messages, topic_batch, topic_stream, write_topic
+from dispatchflow.sources.topics import Topic, as_messages, spread, topic_batch, topic_stream, write_topic
 
 __all__ = [
     "Topic",
@@ -11,6 +11,7 @@ __all__ = [
     "json_array_records",
     "json_line_records",
     "radio_codes",
+    "spread",
     "topic_batch",
     "topic_stream",
     "typed_array_records",

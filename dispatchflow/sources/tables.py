@@ -64,10 +64,15 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def events_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
-    """The events table as a stream, be it one file or a folder (a glob pattern allows either)."""
-    schema = events_table(spark, sf_dir).schema
-    return spark.readStream.schema(schema).options(**options).parquet(f"{sf_dir}/events.parque[t]")
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, be it one file or a folder (a glob pattern allows either).
+
+    A table of fewer files than there are cores is spread over the cores.
+    """
+    table = events_table(spark, sf_dir)
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(cores) if table.rdd.getNumPartitions() < cores else stream
 
 
 def nations_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,11 +87,21 @@ def topic_batch(
     ending: str = "latest",
     min_partitions: int | None = None,
 ) -> DataFrame:
-    """The messages a topic holds now."""
+    """The messages a topic holds now, in at least ``min_partitions`` partitions."""
     if topic.servers:
         options = kafka_read_options(topic, starting, ending, min_partitions=min_partitions)
         return spark.read.format("kafka").options(**options).load()
-    return spark.read.schema(ENVELOPE).parquet(topic.path)
+    return spread(spark.read.schema(ENVELOPE).parquet(topic.path), min_partitions)
+
+
+def spread(frame: DataFrame, least: int | None) -> DataFrame:
+    """The frame in at least so many partitions, so that parsing does not wait for a few large files.
+
+    Rows are moved only if a scan has fewer pieces than wanted, which a large topic does not.
+    """
+    if not least or frame.rdd.getNumPartitions() >= least:
+        return frame
+    return frame.repartition(least)
 
 
 def as_messages(records: DataFrame, topic_name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from dispatchflow.sources import (
     json_array_records,
     json_line_records,
     radio_codes,
+    spread,
     topic_batch,
     topic_stream,
     typed_array_records,
@@ -114,6 +115,15 @@ def test_folder_topic_keeps_given_places(spark, tmp_path):
     assert {(r["partition"], r["offset"]) for r in topic_batch(spark, topic).collect()} == {(7, 42), (0, 0)}
 
 
+def test_few_files_are_spread(spark, tmp_path):
+    topic = Topic("t", folder=str(tmp_path))
+    write_topic(as_messages(payloads(spark, ["{}"] * 100), "t"), topic)
+    assert topic_batch(spark, topic).rdd.getNumPartitions() == 1
+    assert topic_batch(spark, topic, min_partitions=3).rdd.getNumPartitions() == 3
+    wide = spark.range(100, numPartitions=5)
+    assert spread(wide, 4) is wide
+
+
 def test_topic_is_kafka_or_folder():
     with pytest.raises(ValueError):
         Topic("t")

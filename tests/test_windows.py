@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchflow.config import CountSpec
 from dispatchflow.operators import check_codes, enrich, flatten_window, window_counts, with_descriptions
+from dispatchflow.operators.events import call_events, drop_null_keys
 from dispatchflow.plans import counts_plan, enriched_plan
 from dispatchflow.schemas import schema
 
@@ -49,6 +50,47 @@ def test_counts_equal_brute_force(spark, window, slide):
     assert rows(window_counts(frame, spec)) == brute_counts(events, window, slide)
 
 
+@pytest.mark.parametrize("resolution, window, slide", [("minute", 10, 5), ("second", 10, 5), ("second", 10, 4)])
+def test_counts_at_a_resolution_equal_brute_force(spark, resolution, window, slide):
+    events = some_events(11)
+    unit = {"minute": 60, "second": 1}[resolution]
+    cut = [
+        (kind, code, when - timedelta(seconds=(when - DAY).total_seconds() % unit)) for kind, code, when in events
+    ]
+    records = spark.createDataFrame(events, EVENT).withColumnRenamed("call_date_time_ts", "call_date_time")
+    spec = CountSpec(window=f"{window} minutes", slide=f"{slide} minutes", resolution=resolution)
+    counts = window_counts(call_events(drop_null_keys(records.repartition(3)), spec), spec)
+    assert rows(counts) == brute_counts(cut, window, slide)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "ObjectHashAggregate" not in plan
+
+
+def test_every_bit_of_a_window(spark):
+    """A window filled to the last second, and one filled but for a second at either end."""
+    seconds = range(0, 600)
+    events = [("a", "X", DAY + timedelta(seconds=s)) for s in seconds]
+    events += [("b", "X", DAY + timedelta(seconds=s)) for s in seconds[1:-1]]
+    frame = spark.createDataFrame(events * 2, EVENT)
+    spec = CountSpec(window="10 minutes", slide="10 minutes", resolution="second")
+    assert [row[4] for row in rows(window_counts(frame, spec))] == ["600", "598"]
+
+
+def test_a_window_of_too_many_times_is_counted_as_without_resolution(spark):
+    spec = CountSpec(window="1 hour", slide="1 hour", resolution="second")
+    assert spec.slots == 3600
+    events = some_events(13)
+    frame = spark.createDataFrame(events, EVENT).na.drop(subset=["original_crime_type_name", "disposition"])
+    assert rows(window_counts(frame, spec)) == brute_counts(events, 60, 60)
+
+
+def test_resolutions():
+    assert CountSpec().slots is None
+    assert CountSpec(resolution="minute").slots == 10
+    with pytest.raises(ValueError):
+        CountSpec(resolution="day")
+
+
 def test_plan_from_messages(spark):
     values = [
         call("a", "X", at("00:01"), crime_id="1"),

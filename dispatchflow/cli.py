@@ -114,9 +114,11 @@ def _tap(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:
 
 def _history(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:
     spec = _spec(args)
-    counts = flatten_window(enriched_plan(topic_batch(spark, topic), _codes(spark, args.codes, spec), spec))
+    messages = topic_batch(spark, topic, min_partitions=spark.sparkContext.defaultParallelism)
+    counts = flatten_window(enriched_plan(messages, _codes(spark, args.codes, spec), spec))
     dated = counts.withColumn("window_date", F.to_date(plain_time(F.col("window_start"))))
-    dated.write.partitionBy("window_date").mode("overwrite").parquet(args.output)
+    sized = dated.hint("rebalance", F.col("window_date"))
+    sized.write.partitionBy("window_date").mode("overwrite").parquet(args.output)
 
 
 def _start_stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> StreamingQuery:
@@ -152,6 +154,8 @@ def _stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None
     try:
         wait_for_any(session)
     finally:
+        for query in session.streams.active:
+            query.stop()
         if log:
             log.close()
 

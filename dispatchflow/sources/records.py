@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from dispatchflow.functions import record_json
 
+# A record that cannot be read ends the job: left out or emptied, it would be lost without a word.
+_STRICT = {"mode": "FAILFAST"}
+
 
 def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     """``payload`` JSON text of each element of JSON array files, without a schema.
@@ -17,8 +20,7 @@ def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     sorted, nulls and nested values stay. A file that is no JSON array fails the read. (The outer explode
     keeps the optimizer from parsing the file a second time to see whether the array is empty.)
     """
-    strict = {"mode": "FAILFAST"}
-    elements = F.from_json("value", "array<variant>", strict)
+    elements = F.from_json("value", "array<variant>", _STRICT)
     return (
         spark.read.text(path, wholetext=True)
         .select(F.posexplode_outer(elements).alias("position", "record"))
@@ -35,5 +37,5 @@ def json_line_records(spark: SparkSession, path: str) -> DataFrame:
 
 def typed_array_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """``payload`` JSON text of each element of JSON array files whose schema is known."""
-    records = spark.read.json(path, schema=schema, multiLine=True)
+    records = spark.read.json(path, schema=schema, multiLine=True, **_STRICT)
     return records.select(record_json(F.struct(*schema.names)).alias("payload"))

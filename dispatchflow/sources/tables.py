@@ -88,11 +88,15 @@ def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations_table(spark, sf_dir).withColumnRenamed("disposition_code", "disposition")
 
 
-def write_json_arrays(records: DataFrame, path: str, number: Column, per_file: int) -> None:
-    """Records as files of one JSON array each, ``per_file`` of them by consecutive unique numbers."""
+def write_json_arrays(records: DataFrame, path: str, per_file: int) -> None:
+    """Records as files of one JSON array each, of at most ``per_file`` records.
+
+    Rows are told apart by their place in the scan, so no array can grow with a repeated key.
+    """
     (
-        records.groupBy(F.floor(number / per_file).alias("file"))
-        .agg(record_json(F.collect_list(F.struct(*records.columns))).alias("value"))
+        records.withColumn("record", F.struct(*records.columns))
+        .groupBy(F.expr(f"monotonically_increasing_id() div {per_file}").alias("file"))
+        .agg(record_json(F.collect_list("record")).alias("value"))
         .write.partitionBy("file")
         .text(path)
     )

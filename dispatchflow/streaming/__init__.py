@@ -6,6 +6,7 @@ from dispatchflow.streaming.run import (
     start_console,
     start_counts,
     start_counts_and_enriched,
+    start_each,
     start_files,
     wait_for_any,
 )
@@ -19,6 +20,7 @@ __all__ = [
     "start_console",
     "start_counts",
     "start_counts_and_enriched",
+    "start_each",
     "start_files",
     "wait_for_any",
 ]

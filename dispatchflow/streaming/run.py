@@ -30,6 +30,17 @@ def start_console(
     return _writer(frame, name, checkpoint, trigger).format("console").option("truncate", "false").start()
 
 
+def start_each(
+    frame: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    name: str,
+    checkpoint: str,
+    trigger: str | None = TRIGGER,
+) -> StreamingQuery:
+    """Hand each batch and its number to a function of the caller. After a failure a batch may come again."""
+    return _writer(frame, name, checkpoint, trigger).foreachBatch(handle).start()
+
+
 @contextmanager
 def _adaptive(spark: SparkSession) -> Iterator[None]:
     """AQE on for a while: Spark turns it off in a stateful query's session."""
@@ -65,7 +76,7 @@ def start_files(
     def store(batch: DataFrame, batch_id: int) -> None:
         _store(batch, folder, batch_id)
 
-    return _writer(frame, name, checkpoint, trigger).foreachBatch(store).start()
+    return start_each(frame, store, name, checkpoint, trigger)
 
 
 def start_counts(
@@ -80,7 +91,7 @@ def start_counts(
     def store(batch: DataFrame, batch_id: int) -> None:
         _store_closed(batch, folder, batch_id)
 
-    return _writer(flatten_window(counts), name, checkpoint, trigger).foreachBatch(store).start()
+    return start_each(flatten_window(counts), store, name, checkpoint, trigger)
 
 
 def start_counts_and_enriched(
@@ -106,7 +117,7 @@ def start_counts_and_enriched(
         closed = spark.read.schema(batch.schema).parquet(stored)
         _store(with_descriptions(closed, codes(spark), spec), enriched_folder, batch_id)
 
-    return _writer(flatten_window(counts), name, checkpoint, trigger).foreachBatch(store).start()
+    return start_each(flatten_window(counts), store, name, checkpoint, trigger)
 
 
 def read_output(spark: SparkSession, folder: str) -> DataFrame:

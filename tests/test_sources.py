@@ -78,6 +78,13 @@ def test_typed_records_keep_nulls_and_microseconds(spark, tmp_path):
     assert payload["city"] is None
 
 
+@pytest.mark.parametrize("text", ['[{"crime_id":"1"', '[{"call_date_time":"soon"}]'])
+def test_broken_typed_record_fails(spark, tmp_path, text):
+    (tmp_path / "one.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        typed_array_records(spark, str(tmp_path), CALL_RECORD).collect()
+
+
 def test_publish_then_parse_gives_the_records(spark, tmp_path):
     calls = [
         {"crime_id": str(n), "original_crime_type_name": 'a "b"', "disposition": None if n % 2 else "ü"}

@@ -5,7 +5,7 @@ import pytest
 from helpers import DAY, at, brute_counts, call, rows, with_batch, write_in_order
 
 from dispatchflow.config import CountSpec
-from dispatchflow.operators import distinct_events, parse_payload
+from dispatchflow.operators import distinct_events, parse_payload, tap_lines
 from dispatchflow.operators.events import call_events, drop_null_keys
 from dispatchflow.plans import counts_plan, enriched_plan
 from dispatchflow.schemas import schema
@@ -18,6 +18,7 @@ from dispatchflow.streaming import (
     read_output,
     start_counts,
     start_counts_and_enriched,
+    start_each,
     start_files,
     wait_for_any,
 )
@@ -226,12 +227,24 @@ def test_any_failure_ends_the_wait(spark, topic, folder):
         raise RuntimeError("sink is gone")
 
     session.streams.resetTerminated()
-    topic_stream(session, topic).writeStream.option("checkpointLocation", folder).foreachBatch(fail).start()
+    start_each(topic_stream(session, topic), fail, "failing", f"{folder}/checkpoint")
     with pytest.raises(Exception, match="sink is gone"):
         wait_for_any(session)
     session.streams.resetTerminated()
 
 
+def test_messages_are_handed_to_a_function(spark, topic, folder):
+    write_in_order(spark, topic, [["{}", "[]"], ["1"]])
+    seen = []
+
+    def handle(batch, batch_id):
+        seen.append((batch_id, sorted(r["line"] for r in batch.collect())))
+
+    lines = tap_lines(topic_stream(streaming_session(spark), topic, max_files=1))
+    finish(start_each(lines, handle, "tap", f"{folder}/checkpoint", trigger=None))
+    assert seen == [(0, ["t:0:0: key=null value={}", "t:0:1: key=null value=[]"]), (1, ["t:0:0: key=null value=1"])]
+
+
 def test_rate_limit_takes_files_in_order(spark, topic, folder):
     write_in_order(spark, topic, [["{}"] * n for n in (5, 1, 7, 2, 3)])
     stream = topic_stream(streaming_session(spark), topic, max_files=2)

@@ -61,7 +61,6 @@ def streaming_session(spark: SparkSession, partitions: int | None = None) -> Spa
     for name, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(name):
             child.conf.set(name, value)
-    child.conf.set("spark.sql.session.timeZone", "UTC")
     child.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return child
 

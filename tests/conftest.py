@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests",
         master="local[4]",
-        shuffle_partitions=4,
+        shuffle_partitions=2,
         conf={
             "spark.driver.memory": "4g",
             "spark.ui.enabled": "false",

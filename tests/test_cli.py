@@ -72,16 +72,20 @@ def test_stream_of_plain_counts_goes_on_where_it_stopped(spark, home):
     assert rows(spark.read.parquet(f"{home}/out/counts").drop("batch_id")) == closed
 
 
-def run(*arguments):
-    command = [sys.executable, "-m", "dispatchflow", *arguments, "--master", "local[2]"]
-    return subprocess.run(command, cwd=REPO, capture_output=True, text=True, timeout=200, check=True).stdout
+def test_tap(spark, home, capsys):
+    publish(home, "array")
+    main(["tap", *topic(home), "--rows", "3"])
+    shown = capsys.readouterr().out
+    assert 'calls:0:0: key=null value={"call_date_time":"2024-01-01T00:01:00","disposition":"CAN"' in shown
+    assert "only showing top 3 rows" in shown
 
 
-def test_printed_output(spark, home):
+def test_printed_stream(spark, home):
+    """The console sink writes to the JVM's own output, so this needs a process of its own."""
     publish(home, "array")
-    lines = run("tap", *topic(home))
-    assert 'calls:0:0: key=null value={"call_date_time":"2024-01-01T00:01:00","disposition":"CAN"' in lines
-    shown = run("stream", *topic(home), "--once", "--checkpoint", f"{home}/checkpoint", "--shuffle-partitions", "2")
+    command = [sys.executable, "-m", "dispatchflow", "stream", *topic(home), "--once", "--master", "local[2]"]
+    command += ["--checkpoint", f"{home}/checkpoint", "--shuffle-partitions", "2"]
+    shown = subprocess.run(command, cwd=REPO, capture_output=True, text=True, timeout=300, check=True).stdout
     assert "Batch: 0" in shown
     assert "|CAN        |a                       |{2023-12-31 23:55:00, 2024-01-01 00:05:00}|1    |Cancel     |" in shown
 

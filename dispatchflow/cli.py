@@ -63,6 +63,8 @@ def _parser() -> argparse.ArgumentParser:
     tap = command("tap", "show a topic's messages as lines")
     tap.add_argument("--follow", action="store_true", help="go on with messages to come")
     tap.add_argument("--rows", type=int, default=20, help="lines to show without --follow")
+    tap.add_argument("--starting", default="earliest", help="Kafka: first offsets")
+    tap.add_argument("--ending", default="latest", help="Kafka: last offsets, without --follow")
     tap.add_argument("--checkpoint", help="needed with --follow")
 
     history = command("history", "count over all messages a topic holds, open windows included")
@@ -104,11 +106,11 @@ def _publish(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> Non
 
 def _tap(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:
     if not args.follow:
-        tap_lines(topic_batch(spark, topic)).show(args.rows, truncate=False)
+        tap_lines(topic_batch(spark, topic, args.starting, args.ending)).show(args.rows, truncate=False)
         return
     if not args.checkpoint:
         raise SystemExit("--follow needs --checkpoint")
-    start_console(tap_lines(topic_stream(spark, topic)), "tap", args.checkpoint)
+    start_console(tap_lines(topic_stream(spark, topic, args.starting)), "tap", args.checkpoint)
     wait_for_any(spark)
 
 

@@ -6,7 +6,7 @@ from helpers import DAY, at, brute_counts, call, rows, with_batch, write_in_orde
 from pyspark.sql import functions as F
 
 from dispatchflow.config import CountSpec
-from dispatchflow.operators import distinct_events, parse_payload, tap_lines, window_counts
+from dispatchflow.operators import distinct_events, enrich, parse_payload, tap_lines, window_counts
 from dispatchflow.operators.events import call_events, drop_null_keys
 from dispatchflow.plans import counts_plan, enriched_plan
 from dispatchflow.schemas import schema
@@ -103,7 +103,9 @@ def test_two_outputs_from_one_query(spark, topic, folder):
     }
 
 
-def test_join_inside_the_stream(spark, topic, folder):
+@pytest.mark.parametrize("limit", [enrich.BROADCAST_ROWS, 0], ids=["broadcast", "shuffled"])
+def test_join_inside_the_stream(spark, topic, folder, monkeypatch, limit):
+    monkeypatch.setattr(enrich, "BROADCAST_ROWS", limit)
     write_in_order(spark, topic, messages(LATE))
     session = streaming_session(spark)
     enriched = enriched_plan(topic_stream(session, topic, max_files=1), codes_of(session))

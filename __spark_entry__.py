@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -281,6 +282,31 @@ _QUERIES: dict[str, Query] = {
 }
 
 
+def _there(module: str) -> bool:
+    try:
+        return find_spec(module) is not None
+    except ModuleNotFoundError:
+        return False
+
+
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL over training data, where that subpackage and the pipeline are installed."""
+    found: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    if _there("dispatchflow.llm.queries"):
+        from dispatchflow.llm import queries as own
+
+        found |= own.QUERIES
+        sql |= own.ORACLE
+        if _there("corpus_pipeline"):
+            import corpus_pipeline
+
+            found["pipeline"] = corpus_pipeline.run
+            if corpus_pipeline.ORACLE_SQL:
+                sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Sliding counts of distinct calls with the description of their code."""
     return queries()["enriched_counts"](spark, "/root/testdata/sf0.001")
@@ -288,7 +314,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every operator by name: a callable of session and table folder."""
-    return {name: _utc(query) for name, query in _QUERIES.items()}
+    return {name: _utc(query) for name, query in (_QUERIES | _training_data()[0]).items()}
 
 
 # The same in SQL
@@ -375,7 +401,7 @@ _WITH_NAMES = (
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name. ``progress_table`` reports measurements and has none."""
     all_calls = f"with {_CALLS} select * from calls"
-    return {
+    return _training_data()[1] | {
         "parse_payload": all_calls,
         "drop_null_keys": all_calls + " where original_crime_type_name is not null and disposition is not null",
         "distinct_events": f"with {_DISTINCT} select * from happened",

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -43,7 +44,6 @@ from dispatchflow.sources.tables import (
     TOPIC_NAME,
     as_calls,
     as_envelope,
-    events_stream,
     events_table,
     nation_codes,
     nations_table,
@@ -51,12 +51,13 @@ from dispatchflow.sources.tables import (
     write_json_lines,
 )
 from dispatchflow.streaming import (
-    progress_frame,
+    ProgressLog,
     read_output,
     start_counts,
     start_counts_and_enriched,
     start_files,
 )
+from dispatchflow.streaming.run import COUNTS_QUERY, start_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +66,11 @@ BY_MINUTE = CountSpec(resolution="minute")
 RECORDS_PER_ARRAY = 20_000
 CODES_PER_ARRAY = 1_000
 LIMITED_BATCHES = 5
+# The streams take the events in time order, so many slices, a batch for each.
+SLICES = 6
+FILES_A_SLICE = 4
+STATE_PARTITIONS = 8
+STREAM_SECONDS = 3600
 
 
 def _shown(frame: DataFrame) -> DataFrame:
@@ -126,7 +132,12 @@ def _enriched_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topic_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tap_lines(_envelope(spark, sf_dir))
+    """A topic followed into text files."""
+    folder = work_dir(spark, "tap")
+    topic = _topic_in_slices(spark, sf_dir, folder)
+    lines = tap_lines(topic_stream(streaming_session(spark, STATE_PARTITIONS), topic, max_files=FILES_A_SLICE))
+    _finish(start_text(lines, f"{folder}/out", "tap", f"{folder}/checkpoint", trigger=None))
+    return spark.read.text(f"{folder}/out").select(F.col("value").alias("line"))
 
 
 # Files and topics
@@ -201,11 +212,39 @@ def _rate_limited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
+def _finish(query: StreamingQuery) -> StreamingQuery:
+    """Wait for a query that ends by itself; a failure of it is raised."""
+    if not query.awaitTermination(STREAM_SECONDS):
+        query.stop()
+        raise TimeoutError(f"{query.name} ran for more than {STREAM_SECONDS} s")
+    return query
+
+
+def _topic_in_slices(spark: SparkSession, sf_dir: str, folder: str) -> Topic:
+    """All events as a topic that was written slice by slice in the order of time."""
+    events = events_table(spark, sf_dir)
+    topic = Topic(TOPIC_NAME, folder=f"{folder}/topics")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    bounds = [first + (last - first) * i / SLICES for i in range(1, SLICES)] if first else []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        slice_ = events
+        if low is not None:
+            slice_ = slice_.where(F.col("ts") >= F.lit(low))
+        if high is not None:
+            slice_ = slice_.where(F.col("ts") < F.lit(high))
+        write_topic(as_envelope(slice_.repartition(FILES_A_SLICE)), topic)
+    return topic
+
+
+def _messages_in_slices(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    topic = _topic_in_slices(spark, sf_dir, folder)
+    return topic_stream(streaming_session(spark, STATE_PARTITIONS), topic, max_files=FILES_A_SLICE)
+
+
 def _stream_counts(spark: SparkSession, sf_dir: str, spec: CountSpec) -> DataFrame:
     folder = work_dir(spark, "counts")
-    messages = as_envelope(events_stream(streaming_session(spark), sf_dir))
-    counts = counts_plan(messages, spec)
-    start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None).awaitTermination()
+    counts = counts_plan(_messages_in_slices(spark, sf_dir, folder), spec)
+    _finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
     return _shown(read_output(spark, f"{folder}/out"))
 
 
@@ -219,45 +258,82 @@ def _stream_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_enriched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "enriched")
-    messages = as_envelope(events_stream(streaming_session(spark), sf_dir))
-    start_counts_and_enriched(
-        counts_plan(messages),
+    query = start_counts_and_enriched(
+        counts_plan(_messages_in_slices(spark, sf_dir, folder)),
         lambda session: nation_codes(session, sf_dir),
         f"{folder}/counts",
         f"{folder}/enriched",
         f"{folder}/checkpoint",
         trigger=None,
-    ).awaitTermination()
+    )
+    _finish(query)
     return _shown(read_output(spark, f"{folder}/enriched"))
 
 
 def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events, then a second delivery of new events at old times: none of those may count."""
     folder = work_dir(spark, "late")
-    topic = Topic(TOPIC_NAME, folder=f"{folder}/topics")
+    topic = _topic_in_slices(spark, sf_dir, folder)
 
     def run() -> None:
-        counts = counts_plan(topic_stream(streaming_session(spark), topic))
-        start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None).awaitTermination()
+        messages = topic_stream(streaming_session(spark, STATE_PARTITIONS), topic, max_files=FILES_A_SLICE)
+        counts = counts_plan(messages)
+        _finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
 
     events = events_table(spark, sf_dir)
-    write_topic(as_envelope(events), topic)
     run()
     newest = events.agg(F.max("ts")).scalar()
     shifted = events.where(F.col("ts") < newest - F.expr("interval 1 day")).withColumn(
         "event_type", F.concat("event_type", F.lit(" late"))
     )
-    write_topic(as_envelope(shifted), topic)
+    write_topic(as_envelope(shifted.repartition(FILES_A_SLICE)), topic)
     run()
     return _shown(read_output(spark, f"{folder}/out"))
 
 
+def _stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a query that is run anew after each slice of the topic, and goes on where it ended."""
+    folder = work_dir(spark, "restart")
+    events = events_table(spark, sf_dir)
+    middle = events.agg(F.percentile_approx("ts", 0.5)).scalar()
+    topic = Topic(TOPIC_NAME, folder=f"{folder}/topics")
+    for part in (F.col("ts") < middle, F.col("ts") >= middle):
+        write_topic(as_envelope(events.where(part).repartition(FILES_A_SLICE)), topic)
+        counts = counts_plan(topic_stream(streaming_session(spark, STATE_PARTITIONS), topic))
+        _finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
+    return _shown(read_output(spark, f"{folder}/out"))
+
+
+def _publish_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, and different places of messages, of a topic that was published to twice."""
+    topic = Topic(TOPIC_NAME, folder=work_dir(spark, "twice"))
+    payloads = _envelope(spark, sf_dir).select(F.col("value").cast("string").alias("payload"))
+    for _ in range(2):
+        write_topic(as_messages(payloads, topic.name), topic)
+    places = topic_batch(spark, topic).groupBy("partition", "offset").agg(F.count(F.lit(1)).alias("n"))
+    return places.agg(F.sum("n").alias("messages"), F.count(F.lit(1)).alias("places"))
+
+
 def _progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a run's progress is the same every time: rows, batches with rows, and the last watermark."""
     folder = work_dir(spark, "progress")
-    messages = as_envelope(events_stream(streaming_session(spark), sf_dir))
-    query = start_counts(counts_plan(messages), f"{folder}/out", f"{folder}/checkpoint", trigger=None)
-    query.awaitTermination()
-    return progress_frame(spark, query)
+    messages = _messages_in_slices(spark, sf_dir, folder)
+    session = messages.sparkSession
+    log = ProgressLog(session, f"{folder}/progress")
+    session.streams.addListener(log)
+    try:
+        _finish(start_counts(counts_plan(messages), f"{folder}/out", f"{folder}/checkpoint", trigger=None))
+        log.close()
+    finally:
+        session.streams.removeListener(log)
+    kept = spark.read.parquet(f"{folder}/progress")
+    return kept.groupBy("query").agg(
+        F.sum("num_input_rows").alias("num_input_rows"),
+        F.count_if(F.col("num_input_rows") > 0).alias("batches"),
+        plain_time(F.max("watermark")).alias("watermark"),
+        (F.max("state_rows") < F.sum("num_input_rows")).alias("state_below_input"),
+        F.bool_and(F.col("end_offset").startswith("[")).alias("has_offsets"),
+    )
 
 
 _QUERIES: dict[str, Query] = {
@@ -278,6 +354,8 @@ _QUERIES: dict[str, Query] = {
     "stream_window_counts_by_minute": _stream_counts_by_minute,
     "stream_enriched_counts": _stream_enriched_counts,
     "stream_late_rows": _stream_late_rows,
+    "stream_restart": _stream_restart,
+    "publish_twice": _publish_twice,
     "progress_table": _progress_table,
 }
 
@@ -399,7 +477,7 @@ _WITH_NAMES = (
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL by query name. ``progress_table`` reports measurements and has none."""
+    """DuckDB SQL by query name."""
     all_calls = f"with {_CALLS} select * from calls"
     return _training_data()[1] | {
         "parse_payload": all_calls,
@@ -420,5 +498,11 @@ def oracle_sql() -> dict[str, str]:
         "stream_window_counts": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "stream_window_counts_by_minute": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "stream_enriched_counts": f"with {_COUNTS} {_WITH_NAMES} where {_CLOSED}",
+        "stream_restart": f"with {_COUNTS} select * from counts where {_CLOSED}",
+        "publish_twice": "select 2 * count(*) as messages, 2 * count(*) as places from events",
+        "progress_table": f"with {_DISTINCT} select '{COUNTS_QUERY}' as query, "
+        f"(select count(*) from events) as num_input_rows, {SLICES} as batches, "
+        "(select max(call_date_time_ts) - interval 10 minutes from happened) as watermark, "
+        "true as state_below_input, true as has_offsets",
         "stream_late_rows": f"with {_COUNTS} select * from counts where {_CLOSED}",
     }

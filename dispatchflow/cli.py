@@ -31,9 +31,10 @@ from dispatchflow.streaming import (
     start_console,
     start_counts,
     start_counts_and_enriched,
+    start_printed_counts,
     wait_for_any,
 )
-from dispatchflow.streaming.run import COUNTS_QUERY, ENRICHED_QUERY, TRIGGER
+from dispatchflow.streaming.run import COUNTS_QUERY, TRIGGER, print_rows, start_text
 
 _READERS = {
     "array": json_array_records,
@@ -52,6 +53,7 @@ def _parser() -> argparse.ArgumentParser:
         home = sub.add_mutually_exclusive_group(required=True)
         home.add_argument("--servers", help="Kafka bootstrap servers")
         home.add_argument("--folder", help="folder that holds the topic as parquet files")
+        sub.add_argument("--option", action="append", default=[], metavar="K=V", help="Kafka: a client option")
         sub.add_argument("--master")
         sub.add_argument("--shuffle-partitions", type=int)
         return sub
@@ -62,9 +64,11 @@ def _parser() -> argparse.ArgumentParser:
 
     tap = command("tap", "show a topic's messages as lines")
     tap.add_argument("--follow", action="store_true", help="go on with messages to come")
-    tap.add_argument("--rows", type=int, default=20, help="lines to show without --follow")
-    tap.add_argument("--starting", default="earliest", help="Kafka: first offsets")
-    tap.add_argument("--ending", default="latest", help="Kafka: last offsets, without --follow")
+    tap.add_argument("--rows", type=int, help="show so many lines only; not with --follow or --output")
+    tap.add_argument("--output", help="folder for the lines as text files; printed if left out")
+    tap.add_argument("--starting", help="Kafka: first offsets")
+    tap.add_argument("--ending", help="Kafka: last offsets, without --follow")
+    tap.add_argument("--once", action="store_true", help="with --follow: take what the topic holds and end")
     tap.add_argument("--checkpoint", help="needed with --follow")
 
     history = command("history", "count over all messages a topic holds, open windows included")
@@ -79,7 +83,7 @@ def _parser() -> argparse.ArgumentParser:
     live.add_argument("--progress", help="folder for the progress table")
     live.add_argument("--trigger", default=TRIGGER)
     live.add_argument("--once", action="store_true", help="take what the topic holds and end")
-    live.add_argument("--starting", default="earliest")
+    live.add_argument("--starting", help="Kafka: first offsets of a new checkpoint")
     live.add_argument("--max-per-trigger", type=int, help="Kafka: offsets a batch")
     live.add_argument("--min-partitions", type=int, help="Kafka: least number of read tasks")
     live.add_argument("--max-files", type=int, help="folder: files a batch")
@@ -105,13 +109,24 @@ def _publish(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> Non
 
 
 def _tap(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:
+    if args.rows is not None and (args.follow or args.output):
+        raise SystemExit("--rows is a preview: not with --follow or --output")
     if not args.follow:
-        tap_lines(topic_batch(spark, topic, args.starting, args.ending)).show(args.rows, truncate=False)
+        lines = tap_lines(topic_batch(spark, topic, args.starting, args.ending))
+        if args.output:
+            lines.write.text(args.output)
+        else:
+            print_rows(lines if args.rows is None else lines.limit(args.rows))
         return
     if not args.checkpoint:
         raise SystemExit("--follow needs --checkpoint")
-    start_console(tap_lines(topic_stream(spark, topic, args.starting)), "tap", args.checkpoint)
-    wait_for_any(spark)
+    lines = tap_lines(topic_stream(spark, topic, args.starting))
+    trigger = None if args.once else TRIGGER
+    if args.output:
+        query = start_text(lines, args.output, "tap", args.checkpoint, trigger)
+    else:
+        query = start_console(lines, "tap", args.checkpoint, trigger)
+    query.awaitTermination()
 
 
 def _history(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:
@@ -142,9 +157,14 @@ def _start_stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -
             trigger=trigger,
         )
     if args.plain:
-        return start_console(counts_plan(messages, spec), COUNTS_QUERY, args.checkpoint, trigger)
-    enriched = enriched_plan(messages, _codes(spark, args.codes, spec), spec)
-    return start_console(enriched, ENRICHED_QUERY, args.checkpoint, trigger)
+        return start_console(flatten_window(counts_plan(messages, spec)), COUNTS_QUERY, args.checkpoint, trigger)
+    return start_printed_counts(
+        counts_plan(messages, spec),
+        lambda session: _codes(session, args.codes, spec),
+        args.checkpoint,
+        spec,
+        trigger=trigger,
+    )
 
 
 def _stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -> None:
@@ -168,5 +188,6 @@ _COMMANDS = {"publish": _publish, "tap": _tap, "history": _history, "stream": _s
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = build_session(f"dispatchflow-{args.command}", args.master, args.shuffle_partitions)
-    topic = Topic(args.topic, servers=args.servers, folder=args.folder)
+    options = dict(pair.split("=", 1) for pair in args.option)
+    topic = Topic(args.topic, servers=args.servers, folder=args.folder, options=options)
     _COMMANDS[args.command](spark, topic, args)

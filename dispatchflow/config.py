@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
-import pandas as pd
-
 #: Times a window may hold, at a known resolution, to be counted as the bits of whole numbers.
 MAX_SLOTS = 1024
 
 _UNIT_SECONDS = {"second": 1, "minute": 60}
+_INTERVAL_SECONDS = _UNIT_SECONDS | {"hour": 3600, "day": 86400, "week": 604800, "millisecond": 1e-3}
+_INTERVAL = re.compile(r"(\d+(?:\.\d+)?)\s+([a-z]+?)s?(?:\s+|$)")
+
+
+def interval_seconds(text: str) -> float:
+    """Seconds of an interval as Spark writes it: ``10 minutes``, ``interval 1 hour 30 minutes``, ``1 week``."""
+    plain = re.sub(r"^interval\s+", "", text.strip().lower())
+    parts = _INTERVAL.findall(plain)
+    if not parts or _INTERVAL.sub("", plain) or any(unit not in _INTERVAL_SECONDS for _, unit in parts):
+        raise ValueError(f"no interval of fixed length: {text}")
+    return sum(float(n) * _INTERVAL_SECONDS[unit] for n, unit in parts)
 
 
 @dataclass(frozen=True)
@@ -62,7 +72,7 @@ class CountSpec:
         """How many different times a window can hold, where a resolution is given."""
         if not self.resolution:
             return None
-        return math.ceil(pd.Timedelta(self.window).total_seconds() / self.unit_seconds)
+        return math.ceil(interval_seconds(self.window) / self.unit_seconds)
 
 
 CALLS = CountSpec()

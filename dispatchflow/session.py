@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import SparkSession
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STOCK_SHUFFLE_PARTITIONS = "200"
 
 
 def build_session(
@@ -42,12 +41,9 @@ def state_partitions(spark: SparkSession) -> int:
     """How many partitions a new streaming query keeps its state in.
 
     The number is fixed for the life of a checkpoint and AQE does not adapt it. It is the session's
-    ``spark.sql.shuffle.partitions`` where somebody chose one, else one partition per core.
+    ``spark.sql.shuffle.partitions``, whatever that is; what happens to be up when a query starts plays no part.
     """
-    chosen = spark.conf.get("spark.sql.shuffle.partitions")
-    if chosen != _STOCK_SHUFFLE_PARTITIONS:
-        return int(chosen)
-    return max(spark.sparkContext.defaultParallelism, 1)
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def streaming_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +16,29 @@ _ROW_BITS = 33  # monotonically_increasing_id: the partition stands above 33 bit
 
 @dataclass(frozen=True)
 class Topic:
-    """A topic's name and where it lives: Kafka bootstrap servers, or a folder."""
+    """A topic's name and where it lives: Kafka bootstrap servers, or a folder.
+
+    ``options`` are settings of the Kafka client (``kafka.security.protocol``, ``kafka.client.id``) or of Spark's
+    Kafka source and sink; reads and writes both pass them on.
+    """
 
     name: str
     servers: str | None = None
     folder: str | None = None
+    options: dict[str, str] = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         if (self.servers is None) == (self.folder is None):
             raise ValueError("a topic has either servers or a folder")
+        if self.folder and self.options:
+            raise ValueError(f"a folder topic has no options: {sorted(self.options)}")
+
+    def refuse(self, **given) -> None:
+        """Fail if an option is given that this kind of topic does not know."""
+        for name, value in given.items():
+            if value is not None:
+                kind = "Kafka" if self.servers else "folder"
+                raise ValueError(f"{name} means nothing for a {kind} topic")
 
     @property
     def path(self) -> str:
@@ -51,13 +66,18 @@ def kafka_read_options(
         "maxOffsetsPerTrigger": max_per_trigger,
         "minPartitions": min_partitions,
     }
-    return {name: str(value) for name, value in options.items() if value is not None}
+    return {name: str(value) for name, value in options.items() if value is not None} | topic.options
+
+
+def kafka_write_options(topic: Topic) -> dict[str, str]:
+    """Options of the Kafka sink."""
+    return {"kafka.bootstrap.servers": topic.servers, "topic": topic.name} | topic.options
 
 
 def topic_stream(
     spark: SparkSession,
     topic: Topic,
-    starting: str = "earliest",
+    starting: str | None = None,
     max_per_trigger: int | None = None,
     min_partitions: int | None = None,
     max_files: int | None = None,
@@ -65,16 +85,19 @@ def topic_stream(
 ) -> DataFrame:
     """All messages of a topic and those to come.
 
-    A first start reads from ``starting``; a restart goes on where the checkpoint stands. The rate limit
-    is ``max_per_trigger`` offsets for Kafka, ``max_files`` files or ``max_bytes`` bytes for a folder. A
-    folder's files are taken in the order of their modification times, so with a limit they must have
+    A first start reads a Kafka topic from ``starting``, else from the earliest offsets, and a folder always from
+    its first file; a restart goes on where the checkpoint stands. The rate limit is ``max_per_trigger`` offsets
+    for Kafka, ``max_files`` files or ``max_bytes`` bytes for a folder; what the kind of topic does not know is
+    refused. A folder's files are taken in the order of their modification times, so with a limit they must have
     been written in the order of event time, as messages arrive in a Kafka topic.
     """
     if topic.servers:
+        topic.refuse(max_files=max_files, max_bytes=max_bytes)
         options = kafka_read_options(
-            topic, starting, max_per_trigger=max_per_trigger, min_partitions=min_partitions
+            topic, starting or "earliest", max_per_trigger=max_per_trigger, min_partitions=min_partitions
         )
         return spark.readStream.format("kafka").options(**options).load()
+    topic.refuse(starting=starting, max_per_trigger=max_per_trigger, min_partitions=min_partitions)
     limits = {"maxFilesPerTrigger": max_files, "maxBytesPerTrigger": max_bytes}
     options = {name: str(value) for name, value in limits.items() if value is not None}
     return spark.readStream.schema(ENVELOPE).options(**options).parquet(topic.path)
@@ -83,14 +106,18 @@ def topic_stream(
 def topic_batch(
     spark: SparkSession,
     topic: Topic,
-    starting: str = "earliest",
-    ending: str = "latest",
+    starting: str | None = None,
+    ending: str | None = None,
     min_partitions: int | None = None,
 ) -> DataFrame:
-    """The messages a topic holds now, in at least ``min_partitions`` partitions."""
+    """The messages a topic holds now, in at least ``min_partitions`` partitions.
+
+    Of a Kafka topic those from ``starting`` (earliest) to ``ending`` (latest); a folder is read whole.
+    """
     if topic.servers:
-        options = kafka_read_options(topic, starting, ending, min_partitions=min_partitions)
+        options = kafka_read_options(topic, starting or "earliest", ending or "latest", min_partitions=min_partitions)
         return spark.read.format("kafka").options(**options).load()
+    topic.refuse(starting=starting, ending=ending)
     return spread(spark.read.schema(ENVELOPE).parquet(topic.path), min_partitions)
 
 
@@ -117,22 +144,31 @@ def write_topic(messages: DataFrame, topic: Topic, max_records_per_file: int = 0
     """Append messages to a topic. The write ends when every message is stored.
 
     A Kafka broker assigns partition and offset. In a folder the writing task stands for the partition
-    and the row's place in it for the offset, which takes no shuffle; messages that already have them
-    keep theirs.
+    and the row's place in it for the offset, above what the partition already holds, which takes no shuffle;
+    messages that already have them keep theirs. Writes to one folder come one after another.
     """
     if topic.servers:
         (
             messages.select("key", "value")
             .write.format("kafka")
-            .option("kafka.bootstrap.servers", topic.servers)
-            .option("topic", topic.name)
+            .options(**kafka_write_options(topic))
             .save()
         )
         return
-    row = F.monotonically_increasing_id()
+    placed = messages
+    if "offset" not in messages.columns:
+        row = F.monotonically_increasing_id()
+        placed = messages.withColumn("__partition", F.shiftright(row, _ROW_BITS)).withColumn(
+            "__offset", row.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        )
+        if (held := _held(messages.sparkSession, topic)) is not None:
+            # One row for each partition, as many as a write has tasks.
+            placed = placed.join(F.broadcast(held), "__partition", "left").withColumn(
+                "__offset", F.col("__offset") + F.coalesce(F.col("__next"), F.lit(0))
+            )
     assigned = {
-        "partition": F.shiftright(row, _ROW_BITS),
-        "offset": row.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+        "partition": F.col("__partition"),
+        "offset": F.col("__offset"),
         "timestamp": F.current_timestamp(),
         "timestampType": F.lit(0),
     }
@@ -140,5 +176,17 @@ def write_topic(messages: DataFrame, topic: Topic, max_records_per_file: int = 0
         (F.col(f.name) if f.name in messages.columns else assigned[f.name]).cast(f.dataType).alias(f.name)
         for f in ENVELOPE
     ]
-    stored = messages.select(*columns).write.mode("append")
+    stored = placed.select(*columns).write.mode("append")
     stored.option("maxRecordsPerFile", max_records_per_file).parquet(topic.path)
+
+
+def _held(spark: SparkSession, topic: Topic) -> DataFrame | None:
+    """The next offset of each partition of a folder topic; None if there is no such folder yet."""
+    try:
+        stored = spark.read.schema(ENVELOPE).parquet(topic.path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    counted = stored.groupBy("partition").agg((F.max("offset") + 1).alias("__next"))
+    return counted.select(F.col("partition").cast("long").alias("__partition"), "__next")

@@ -1,6 +1,6 @@
 """Running the plans as streams, and their progress."""
 
-from dispatchflow.streaming.progress import PROGRESS_ROW, ProgressLog, progress_frame, progress_row
+from dispatchflow.streaming.progress import PROGRESS_ROW, ProgressLog, latest_progress, progress_row
 from dispatchflow.streaming.run import (
     read_output,
     start_console,
@@ -8,13 +8,14 @@ from dispatchflow.streaming.run import (
     start_counts_and_enriched,
     start_each,
     start_files,
+    start_printed_counts,
     wait_for_any,
 )
 
 __all__ = [
     "PROGRESS_ROW",
     "ProgressLog",
-    "progress_frame",
+    "latest_progress",
     "progress_row",
     "read_output",
     "start_console",
@@ -22,5 +23,6 @@ __all__ = [
     "start_counts_and_enriched",
     "start_each",
     "start_files",
+    "start_printed_counts",
     "wait_for_any",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import threading
+from collections.abc import Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from dispatchflow.schemas import schema
 
 PROGRESS_ROW = schema(
     "query string, batch_id long, num_input_rows long, input_rps double, processed_rps double, "
-    "batch_ms long, watermark timestamp, state_rows long, rows_dropped long"
+    "batch_ms long, watermark timestamp, state_rows long, rows_dropped long, start_offset string, end_offset string"
 )
 
 
@@ -38,11 +39,18 @@ def progress_row(progress: StreamingQueryProgress) -> tuple:
         _instant(progress.eventTime.get("watermark")),
         sum(operator.numRowsTotal for operator in progress.stateOperators),
         sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators),
+        _offsets(source.startOffset for source in progress.sources),
+        _offsets(source.endOffset for source in progress.sources),
     )
 
 
-def progress_frame(spark: SparkSession, *queries: StreamingQuery) -> DataFrame:
-    """The reports Spark still holds of some queries: a fixed number of the latest each."""
+def _offsets(offsets: Iterable[str | None]) -> str:
+    """The offsets of a query's sources as a JSON array: Spark gives JSON text, or null at the start."""
+    return f"[{', '.join(offset or 'null' for offset in offsets)}]"
+
+
+def latest_progress(spark: SparkSession, *queries: StreamingQuery) -> DataFrame:
+    """The reports Spark still holds of some queries: about the last hundred. ``ProgressLog`` keeps all."""
     rows = [progress_row(report) for query in queries for report in query.recentProgress]
     return spark.createDataFrame(rows, PROGRESS_ROW)
 
@@ -63,16 +71,22 @@ class ProgressLog(StreamingQueryListener):
         self._change = threading.Condition()
 
     def _flush(self) -> None:
-        rows, self._rows = self._rows, []
-        if rows:
-            frame = self._spark.createDataFrame(rows, PROGRESS_ROW).coalesce(1)
+        """Write what is held; a failed write keeps it for the next."""
+        if self._rows:
+            frame = self._spark.createDataFrame(self._rows, PROGRESS_ROW).coalesce(1)
             frame.write.mode("append").parquet(self._folder)
+            self._rows = []
 
     def close(self, timeout: float = 60) -> None:
-        """Wait for the last reports, which Spark delivers on a thread of its own, and write them."""
+        """Wait for the last reports, which Spark delivers on a thread of its own, and write them.
+
+        If they do not come in time, what came is written and the call fails.
+        """
         with self._change:
-            self._change.wait_for(lambda: self._running == 0, timeout)
+            ended = self._change.wait_for(lambda: self._running == 0, timeout)
             self._flush()
+            if not ended:
+                raise TimeoutError(f"{self._running} queries had not reported their end after {timeout} s")
 
     def onQueryStarted(self, event) -> None:
         with self._change:

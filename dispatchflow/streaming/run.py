@@ -1,7 +1,8 @@
-"""Starting streaming queries: append mode, a checkpoint always, one output folder per batch."""
+"""Starting streaming queries: append mode, a checkpoint always, one output folder per run and batch."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from dispatchflow.config import CALLS, CountSpec
 from dispatchflow.operators import flatten_window, with_descriptions
+from dispatchflow.operators.enrich import CodeTableSize
 
 # Query names and trigger of the calls-for-service job.
 COUNTS_QUERY = "Original Crime Type Count Aggregation"
@@ -26,8 +28,43 @@ def _writer(frame: DataFrame, name: str, checkpoint: str, trigger: str | None) -
 def start_console(
     frame: DataFrame, name: str, checkpoint: str, trigger: str | None = TRIGGER
 ) -> StreamingQuery:
-    """Print each batch's rows in full width."""
-    return _writer(frame, name, checkpoint, trigger).format("console").option("truncate", "false").start()
+    """Print every row of each batch, one a line. Rows reach the driver a partition at a time."""
+
+    def show(batch: DataFrame, batch_id: int) -> None:
+        print_rows(batch, f"Batch: {batch_id}")
+
+    return start_each(frame, show, name, checkpoint, trigger)
+
+
+def print_rows(frame: DataFrame, title: str | None = None) -> None:
+    """All rows as lines on the driver's output: the only column as it is, several between bars."""
+    if title:
+        print(f"{title}: {' | '.join(frame.columns)}", flush=True)
+    for row in frame.toLocalIterator():
+        print(" | ".join(str(value) for value in row), flush=True)
+
+
+def start_printed_counts(
+    counts: DataFrame,
+    codes: Callable[[SparkSession], DataFrame],
+    checkpoint: str,
+    spec: CountSpec = CALLS,
+    name: str = ENRICHED_QUERY,
+    trigger: str | None = TRIGGER,
+) -> StreamingQuery:
+    """Print closed windows, and the same with descriptions, of each batch that has any."""
+
+    def show(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                print_rows(batch, f"Batch: {batch_id}, {COUNTS_QUERY}")
+                joined = with_descriptions(batch, codes(batch.sparkSession), spec)
+                print_rows(joined, f"Batch: {batch_id}, {name}")
+        finally:
+            batch.unpersist()
+
+    return start_each(flatten_window(counts), show, name, checkpoint, trigger)
 
 
 def start_each(
@@ -52,20 +89,30 @@ def _adaptive(spark: SparkSession) -> Iterator[None]:
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
-def _store(batch: DataFrame, folder: str, batch_id: int) -> str:
-    """Write a batch to its own folder, replacing what an earlier try of the batch left there."""
-    path = f"{folder.rstrip('/')}/batch_id={batch_id}"
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A short name for the query that a checkpoint belongs to: it has written its id there when it started."""
+    said = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
+def _store(batch: DataFrame, folder: str, checkpoint: str, batch_id: int) -> str:
+    """Write a batch to its own folder, replacing what an earlier try of the batch left there.
+
+    Batches are numbered from 0 by every checkpoint, so the folder is the run's and the batch's: a new
+    checkpoint adds to what earlier ones have written.
+    """
+    path = f"{folder.rstrip('/')}/run={_run_of(batch.sparkSession, checkpoint)}/batch_id={batch_id}"
     batch.write.mode("overwrite").parquet(path)
     return path
 
 
-def _store_closed(batch: DataFrame, folder: str, batch_id: int) -> str:
+def _store_closed(batch: DataFrame, folder: str, checkpoint: str, batch_id: int) -> str:
     """The same for closed windows: few rows in as many pieces as there are state partitions.
 
     AQE merges the pieces, and splits a large one, into files of the advisory size.
     """
     with _adaptive(batch.sparkSession):
-        return _store(batch.hint("rebalance"), folder, batch_id)
+        return _store(batch.hint("rebalance"), folder, checkpoint, batch_id)
 
 
 def start_files(
@@ -74,11 +121,23 @@ def start_files(
     """Write each batch to ``folder`` as parquet, once also if the batch is run again."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        _store(batch, folder, batch_id)
+        _store(batch, folder, checkpoint, batch_id)
 
     return start_each(frame, store, name, checkpoint, trigger)
 
 
+def start_text(
+    lines: DataFrame, folder: str, name: str, checkpoint: str, trigger: str | None = TRIGGER
+) -> StreamingQuery:
+    """Write lines as text files, a folder for each run and batch."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        run = _run_of(batch.sparkSession, checkpoint)
+        batch.write.mode("overwrite").text(f"{folder.rstrip('/')}/run={run}/batch_id={batch_id}")
+
+    return start_each(lines, store, name, checkpoint, trigger)
+
+
 def start_counts(
     counts: DataFrame,
     folder: str,
@@ -89,7 +148,7 @@ def start_counts(
     """Write closed windows, flattened, to ``folder``."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        _store_closed(batch, folder, batch_id)
+        _store_closed(batch, folder, checkpoint, batch_id)
 
     return start_each(flatten_window(counts), store, name, checkpoint, trigger)
 
@@ -112,17 +171,19 @@ def start_counts_and_enriched(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = _store_closed(batch, counts_folder, batch_id)
+        stored = _store_closed(batch, counts_folder, checkpoint, batch_id)
         spark = batch.sparkSession
         closed = spark.read.schema(batch.schema).parquet(stored)
-        _store(with_descriptions(closed, codes(spark), spec), enriched_folder, batch_id)
+        # Without closed windows there is nothing that a code could multiply: the codes need no check.
+        size = CodeTableSize(0, 0) if closed.isEmpty() else None
+        _store(with_descriptions(closed, codes(spark), spec, size), enriched_folder, checkpoint, batch_id)
 
     return start_each(flatten_window(counts), store, name, checkpoint, trigger)
 
 
 def read_output(spark: SparkSession, folder: str) -> DataFrame:
-    """All batches written to a folder so far; ``batch_id`` says which batch a row came with."""
-    return spark.read.parquet(folder)
+    """All batches of all runs written to a folder so far; ``batch_id`` says which batch a row came with."""
+    return spark.read.parquet(folder).drop("run")
 
 
 def wait_for_any(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@ import json
 import pytest
 from helpers import DAY, payloads
 
+from dispatchflow.config import interval_seconds
 from dispatchflow.operators import check_codes, parse_payload
 from dispatchflow.schemas import CALL_RECORD, ENVELOPE
 from dispatchflow.sources import (
@@ -18,7 +19,7 @@ from dispatchflow.sources import (
     typed_array_records,
     write_topic,
 )
-from dispatchflow.sources.topics import kafka_read_options
+from dispatchflow.sources.topics import kafka_read_options, kafka_write_options
 
 
 def values(spark, topic):
@@ -182,3 +183,40 @@ def test_known_codes(spark):
     codes = builtin_codes(spark)
     assert check_codes(codes).rows == 19
     assert sorted(r["disposition"] for r in codes.where("description = 'Cancel'").collect()) == ["22", "CAN"]
+
+
+def test_second_write_goes_on_with_offsets(spark, tmp_path):
+    topic = Topic("t", folder=str(tmp_path))
+    for _ in range(3):
+        write_topic(as_messages(spark.range(100, numPartitions=2).selectExpr("'{}' as payload"), "t"), topic)
+    places = topic_batch(spark, topic).select("partition", "offset")
+    assert places.count() == places.distinct().count() == 300
+
+
+def test_kafka_client_options_go_to_reads_and_writes():
+    topic = Topic("t", servers="a:1", options={"kafka.security.protocol": "SSL", "kafka.client.id": "x"})
+    for options in (kafka_read_options(topic), kafka_write_options(topic)):
+        assert options["kafka.security.protocol"] == "SSL"
+        assert options["kafka.client.id"] == "x"
+    assert kafka_write_options(topic)["topic"] == "t"
+
+
+def test_options_that_mean_nothing_are_refused(spark, tmp_path):
+    folder = Topic("t", folder=str(tmp_path))
+    for wrong in ({"starting": "latest"}, {"max_per_trigger": 2}, {"min_partitions": 2}):
+        with pytest.raises(ValueError, match="folder"):
+            topic_stream(spark, folder, **wrong)
+    with pytest.raises(ValueError, match="folder"):
+        topic_batch(spark, folder, ending="latest")
+    for wrong in ({"max_files": 1}, {"max_bytes": 1}):
+        with pytest.raises(ValueError, match="Kafka"):
+            topic_stream(spark, Topic("t", servers="a:1"), **wrong)
+    with pytest.raises(ValueError, match="options"):
+        Topic("t", folder="/x", options={"kafka.client.id": "x"})
+
+
+def test_intervals_are_read_as_spark_writes_them():
+    for text, seconds in (("1 week", 604800), ("interval 10 minutes", 600), ("1 hour 30 minutes", 5400)):
+        assert interval_seconds(text) == seconds
+    with pytest.raises(ValueError):
+        interval_seconds("1 month")

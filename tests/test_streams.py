@@ -10,12 +10,13 @@ from dispatchflow.operators import distinct_events, enrich, parse_payload, tap_l
 from dispatchflow.operators.events import call_events, drop_null_keys
 from dispatchflow.plans import counts_plan, enriched_plan
 from dispatchflow.schemas import schema
+from dispatchflow.streaming.run import _store
 from dispatchflow.session import state_partitions, streaming_session, work_dir
 from dispatchflow.sources import Topic, topic_batch, topic_stream
 from dispatchflow.streaming import (
     PROGRESS_ROW,
     ProgressLog,
-    progress_frame,
+    latest_progress,
     read_output,
     start_counts,
     start_counts_and_enriched,
@@ -69,7 +70,7 @@ def test_late_rows(spark, topic, folder):
     counts = counts_plan(topic_stream(streaming_session(spark), topic, max_files=1))
     query = finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
     assert with_batch(read_output(spark, f"{folder}/out")) == CLOSED
-    progress = progress_frame(spark, query).orderBy("batch_id").collect()
+    progress = latest_progress(spark, query).orderBy("batch_id").collect()
     assert [p["num_input_rows"] for p in progress] == [4, 1, 3, 4, 0]
     marks = [p["watermark"].strftime("%H:%M") for p in progress]
     assert marks == ["00:00", "00:02", "00:21", "00:35", "01:50"]
@@ -214,31 +215,35 @@ def test_distinct_on_a_stream_is_bounded(spark, topic, folder):
     assert query.lastProgress.stateOperators[0].numRowsTotal <= 1
 
 
-def test_batch_written_again_replaces_itself(spark, topic, folder):
+def test_batch_written_again_replaces_itself_and_no_other_run(spark, topic, folder):
     write_in_order(spark, topic, messages(LATE[:1]))
     stream = topic_stream(streaming_session(spark), topic)
     for attempt in ("first", "second"):
-        # A new checkpoint makes the query write its batch 0 a second time.
+        # A new checkpoint begins with batch 0 again: its rows come beside those of the first.
         finish(start_files(stream, f"{folder}/out", attempt, f"{folder}/{attempt}", trigger=None))
-    assert read_output(spark, f"{folder}/out").count() == 4
+    assert read_output(spark, f"{folder}/out").count() == 8
+    batch = topic_batch(spark, topic)
+    for _ in range(2):  # the same batch of the same run
+        _store(batch, f"{folder}/out", f"{folder}/first", 0)
+    assert read_output(spark, f"{folder}/out").count() == 8
 
 
 def test_small_partitions_are_written_as_few_files(spark, topic, folder):
     write_in_order(spark, topic, messages(LATE))
     counts = counts_plan(topic_stream(streaming_session(spark), topic, max_files=1))
     finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
-    written = spark.read.parquet(f"{folder}/out/batch_id=2").inputFiles()
+    written = spark.read.parquet(f"{folder}/out/run=*/batch_id=2").inputFiles()
     assert len(written) == 1
 
 
 def test_repeated_code_ends_the_query(spark, topic, folder):
-    write_in_order(spark, topic, messages(LATE[:1]))
+    write_in_order(spark, topic, messages(LATE))
 
     def twice(session):
         return codes_of(session).union(codes_of(session))
 
     query = start_counts_and_enriched(
-        counts_plan(topic_stream(streaming_session(spark), topic)),
+        counts_plan(topic_stream(streaming_session(spark), topic, max_files=1)),
         twice,
         f"{folder}/counts",
         f"{folder}/enriched",
@@ -272,7 +277,7 @@ def test_messages_are_handed_to_a_function(spark, topic, folder):
 
     lines = tap_lines(topic_stream(streaming_session(spark), topic, max_files=1))
     finish(start_each(lines, handle, "tap", f"{folder}/checkpoint", trigger=None))
-    assert seen == [(0, ["t:0:0: key=null value={}", "t:0:1: key=null value=[]"]), (1, ["t:0:0: key=null value=1"])]
+    assert seen == [(0, ["t:0:0: key=null value={}", "t:0:1: key=null value=[]"]), (1, ["t:0:2: key=null value=1"])]
 
 
 def test_rate_limit_takes_files_in_order(spark, topic, folder):
@@ -304,7 +309,7 @@ def test_progress_log(spark, topic, folder):
     kept = spark.read.parquet(f"{folder}/progress").orderBy("batch_id")
     assert kept.schema == PROGRESS_ROW
     columns = ["query", "batch_id", "num_input_rows", "watermark", "state_rows", "rows_dropped"]
-    shown = progress_frame(spark, query).orderBy("batch_id")
+    shown = latest_progress(spark, query).orderBy("batch_id")
     assert kept.select(columns).collect() == shown.select(columns).collect()
 
 
@@ -314,7 +319,7 @@ def test_state_partitions(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
     assert state_partitions(spark) == 2
     session.conf.set("spark.sql.shuffle.partitions", "200")
-    assert state_partitions(session) == spark.sparkContext.defaultParallelism
+    assert state_partitions(session) == 200
 
 
 def test_work_dir_is_the_shared_folder(spark):
@@ -329,3 +334,25 @@ def test_stream_and_batch_share_their_columns(spark, topic):
     assert stream.isStreaming
     batch = counts_plan(topic_batch(spark, topic))
     assert stream.schema.simpleString() == batch.schema.simpleString()
+
+
+def test_every_report_of_many_batches_is_kept(spark, topic, folder):
+    write_in_order(spark, topic, [["{}"]] * 104)
+    session = streaming_session(spark, 1)
+    log = ProgressLog(session, f"{folder}/progress")
+    session.streams.addListener(log)
+    try:
+        stream = topic_stream(session, topic, max_files=1)
+        finish(start_each(stream, lambda batch, batch_id: batch.count(), "many", f"{folder}/checkpoint", trigger=None))
+        log.close()
+    finally:
+        session.streams.removeListener(log)
+    kept = spark.read.parquet(f"{folder}/progress").where("num_input_rows > 0")
+    assert kept.selectExpr("sum(num_input_rows)", "count(distinct end_offset)").first()[:] == (104, 104)
+
+
+def test_unended_queries_fail_the_close(spark, folder):
+    log = ProgressLog(spark, f"{folder}/progress")
+    log.onQueryStarted(None)
+    with pytest.raises(TimeoutError):
+        log.close(0.1)

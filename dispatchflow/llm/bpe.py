@@ -10,7 +10,9 @@ space; ``Encoder`` checks that it does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,28 +32,41 @@ _SPACES = b" \t\n\v\f\r"
 _PROBE = "a b\t<x> don't  12,5\nÉté"
 
 
-class Words(dict):
-    """Ids of words as little-endian unsigned 32-bit numbers. Keeps what was used lately in two generations."""
+# How tokenizers split whose pieces may be looked up one by one, and what such a file says of it.
+_LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# The same over printable ASCII and the letters of Latin-1; other words go to the library whole.
+_ORDINARY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 
-    def __init__(self, tokenizer):
+
+class Memory(dict):
+    """Values by key, made where missing. Keeps what was used lately, in two generations of bounded size."""
+
+    def __init__(self, make: Callable):
         super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encoded(word)
-        if len(word) <= 128:
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 128:
             if len(self) >= _WORDS:
                 self.older = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be seen."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    unseen = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(unseen)}
 
-    def encoded(self, data: bytes) -> bytes:
-        """By the library, without memory."""
-        ids = self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -63,13 +78,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Words(self.tokenizer)
+        said = json.loads(self.tokenizer.to_str())
+        splits = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_piece = (
+            (said["normalizer"] or {}).get("normalizers") == _LOWERED
+            and splits[0].get("pattern") == {"Regex": _SPLIT}
+            and [s.get("type") for s in splits] == ["Split", "ByteLevel"]
+            and not splits[1].get("add_prefix_space")
+            and not splits[1].get("use_regex")
+            and all("<|" in t["content"] for t in said["added_tokens"])
+        )
+        self.words = Memory(self._word)
+        self.pieces = Memory(self._piece)
         self.chunks: dict[bytes, tuple] = {}
         self.kept = 0
         self.encoded_chunks = self.reused_chunks = 0
-        if self.plain(_PROBE.encode()) != self.words.encoded(_PROBE.encode()):
+        if self.plain(_PROBE.encode()) != self.encoded(_PROBE.encode()):
             raise ValueError("the tokenizer does not treat words between white space one by one")
 
+    def encoded(self, data: bytes) -> bytes:
+        """Ids by the library, as little-endian unsigned 32-bit numbers, without memory."""
+        ids = self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if self.by_piece and b"<|" not in word:
+            text = word.decode("utf-8", "replace")
+            if _ORDINARY.fullmatch(text):
+                return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        return self.encoded(word)
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize("".join(map(_LETTERS.__getitem__, piece.encode())))
+        return b"".join(t.id.to_bytes(4, "little") for t in tokens)
+
     def plain(self, data: bytes) -> bytes:
         """The ids of a whole text, word by word."""
         return b"".join(map(self.words.__getitem__, data.split()))
@@ -134,7 +176,7 @@ class Encoder:
         width = 1
         while True:
             left, right = before_ids[-width:], after_ids[:width]
-            found = self.words.encoded(b" ".join([*before[-width:], word, *after[:width]]))
+            found = self.encoded(b" ".join([*before[-width:], word, *after[:width]]))
             start, end = sum(map(len, left)), len(found) - sum(map(len, right))
             if found[:start] == b"".join(left) and found[end:] == b"".join(right) and start <= end:
                 return found[start:end]

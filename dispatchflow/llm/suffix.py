@@ -22,7 +22,7 @@ from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, plain_text, stored
@@ -30,7 +30,7 @@ from .common import in_arrow, plain_text, stored
 LENGTH = 100
 GRAM = 24
 # An anchor with more different spans is resolved by shuffling its strings.
-SORTED_SPANS = 1024
+SORTED_SPANS = 8192
 _BLOCK = 1 << 19
 _ROWS = 8192
 _PLACE_BITS = np.uint64(24)
@@ -134,15 +134,26 @@ def _parts(texts: list[str | None], length: int) -> Iterator[list[tuple[int, int
 
 
 def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, span, id, place of all spans."""
+    """anchor, span, id, place of all spans; ``span`` is null where an equal one comes earlier in the same lot.
+
+    Those are known to be repeats before anything is shuffled, so that a passage that very many documents share
+    sends one span for each lot of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rank = np.unique(np.array(batch.column("id").to_pylist()), return_inverse=True)[1] if len(batch) else None
             for lot in _parts(batch.column("text").to_pylist(), length):
                 part, anchor, span, place = _spans(lot, length, gram)
-                ids = batch.column("id").take(pa.array(np.array([r for r, _, _ in lot])[part]))
+                row = np.array([r for r, _, _ in lot])[part]
+                order = np.lexsort((place, rank[row], span, anchor))
+                same = (anchor[order][1:] == anchor[order][:-1]) & (span[order][1:] == span[order][:-1])
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = same
+                ids = batch.column("id").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(span), ids, pa.array(place)], names=["anchor", "span", "id", "place"]
+                    [pa.array(anchor), pa.array(span, mask=again), ids, pa.array(place)],
+                    names=["anchor", "span", "id", "place"],
                 )
 
     id_type = docs.schema["id"].dataType.simpleString()
@@ -160,6 +171,9 @@ def _sorted_out(spans: DataFrame) -> DataFrame:
         last = None  # the last row
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            known = table.column("span").is_null()
+            yield from _marked(table.filter(known).drop_columns(["span"]), False)
+            table = table.filter(table.column("span").is_valid())
             if last is not None:
                 table = pa.concat_tables([last, table])
             if not table.num_rows:
@@ -195,7 +209,8 @@ def _sorted_out(spans: DataFrame) -> DataFrame:
 
     keys = ["anchor", "span", "id", "place"]
     id_type = spans.schema["id"].dataType.simpleString()
-    dealt = spans.repartition("anchor").sortWithinPartitions(*keys).select(*keys)
+    spread = F.when(F.col("span").isNull(), F.xxhash64("id", "place")).otherwise(F.col("anchor"))
+    dealt = spans.repartition(spread).sortWithinPartitions(*keys).select(*keys)
     return in_arrow(dealt, run, f"anchor bigint, id {id_type}, place bigint, open boolean")
 
 
@@ -247,7 +262,7 @@ class _Suffix:
 
     __slots__ = ("data", "before", "hashes", "order", "anchor", "offsets")
 
-    def __init__(self, piece: bytes, place: int, order: tuple, hashes: list[int]):
+    def __init__(self, piece: bytes, place: int, order: tuple, hashes: memoryview):
         start, count, distance = _shape(place)
         self.data, self.before, self.hashes = piece[distance:], piece[:distance], hashes
         self.order, self.anchor = order, start + distance
@@ -328,7 +343,7 @@ def _suffix_sorted(spans: DataFrame, length: int) -> DataFrame:
             high = low
             while high < len(rows) and rows[high]["anchor"] == rows[low]["anchor"]:
                 high += 1
-            group = [_Suffix(r["bytes"], r["place"], (r["id"],), hashes[i].tolist()) for i, r in enumerate(rows[low:high], low)]
+            group = [_Suffix(r["bytes"], r["place"], (r["id"],), memoryview(hashes[i])) for i, r in enumerate(rows[low:high], low)]
             found += repeated_strings(group, length)
             low = high
         ids = pa.array([order[0] for order, _ in found], types["id"])
@@ -366,9 +381,8 @@ def _string_by_string(spans: DataFrame, length: int) -> DataFrame:
     strings = strings.select(
         "id", (F.col("first") + F.col("i")).alias("start"), F.substr("bytes", F.col("i") + 1, F.lit(length)).alias("string")
     ).distinct()
-    firsts = strings.groupBy(F.col("string").alias("of")).agg(F.min(F.struct("id", "start")).alias("earliest"))
-    again = strings.join(firsts, F.col("string") == F.col("of")).where(F.struct("id", "start") != F.col("earliest"))
-    return again.select("id", F.shiftleft("start", 16).alias("place"))
+    nth = F.row_number().over(Window.partitionBy("string").orderBy("id", "start"))
+    return strings.withColumn("nth", nth).where("nth > 1").select("id", F.shiftleft("start", 16).alias("place"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_spans: int = SORTED_SPANS) -> DataFrame:

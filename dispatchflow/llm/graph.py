@@ -29,7 +29,8 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
         least = least.select("at", F.least("low", "at").alias("m"))
-        large = _relinked(both.join(least, F.col("u") == F.col("at")).where("v > u")).distinct()
+        upward = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = _relinked(upward.join(least, F.col("u") == F.col("at"))).distinct()
         lowest = large.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
         small = _relinked(large.join(lowest, F.col("u") == F.col("at")).where("v <> m"))
         small = small.unionByName(lowest.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()

@@ -282,8 +282,26 @@ def _compared(table: pa.Table, bucket: np.ndarray, most: int, pairwise: int, kin
         links_ = list(_leaders(ids[low:high], prints[low:high], most))
         first.append(np.array([a for a, _ in links_], ids.dtype))
         second.append(np.array([b for _, b in links_], ids.dtype))
-    columns = [np.concatenate(x) if x else ids[:0] for x in (first, second)]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names=["a", "b"])
+    columns = [np.concatenate(x).tolist() if x else [] for x in (first, second)]
+    joined = _forest(zip(*columns, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in joined], names=["a", "b"])
+
+
+def _forest(found: Iterator[tuple]) -> tuple[list, list]:
+    """As few links as join the same: each end of a link with the smallest one it is joined to."""
+    above: dict = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in found:
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    ends = [(top(x), x) for x in above]
+    return [a for a, b in ends if a != b], [b for a, b in ends if a != b]
 
 
 def drop_near(

@@ -297,8 +297,11 @@ class ExtractionParams:
 
 def fitted(pages: DataFrame, params: ExtractionParams = ExtractionParams()) -> TreeModel:
     """A model from the marked pages of this package and a bounded sample of ``pages`` (id, html)."""
-    chosen = pages.where("html is not null").orderBy(F.xxhash64("html"), "id").limit(params.sample_pages)
-    sample = [r["html"] for r in chosen.select("html").collect()]
+    known = pages.where("html is not null").withColumn("hash", F.xxhash64("html"))
+    # Hashes alone are sorted out first, so that no task sends more pages than the sample has.
+    chosen = known.select("hash").distinct().orderBy("hash").limit(params.sample_pages)
+    found = known.join(F.broadcast(chosen), "hash", "left_semi").dropDuplicates(["hash"])
+    sample = [r["html"] for r in found.select("html").collect()]
     return train([(p, False, 1.0) for p in LABELLED] + [(p, True, params.own_weight) for p in sample])
 
 

@@ -269,10 +269,9 @@ def train(pages: list[tuple[str, bool, float]], smoothing: float = 0.1) -> TreeM
     for what in counts[0].keys() | counts[1].keys():
         kind = what[0]
         # Hints differ from site to site: how often one was seen counts, not its share of all hints.
-        share = [
-            (counts[s][what] + smoothing) / ((totals[s][kind] if kind != "hint" else sum(totals[s].values())) + 1)
-            for s in (0, 1)
-        ]
+        # And one name in a class says more than a tag, a length or links, which all kinds of text share.
+        least, within = (smoothing / 5, "tag") if kind == "hint" else (smoothing, kind)
+        share = [(counts[s][what] + least) / (totals[s][within] + 1) for s in (0, 1)]
         odds[what] = math.log(share[1] / share[0])
     rows = tuple(tuple(x / sum(row) for x in row) for row in edges)
     return TreeModel(odds, rows)
@@ -292,7 +291,7 @@ class ExtractionParams:
     """``sample_pages`` bounds the pages of the table that teach the model, by what their tags mean."""
 
     sample_pages: int = 256
-    own_weight: float = 0.25
+    own_weight: float = 0.02
 
 
 def fitted(pages: DataFrame, params: ExtractionParams = ExtractionParams()) -> TreeModel:

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, plain_text
+from .common import in_arrow, plain_text, slices
 
 # A cut comes where the hash of the last _WINDOW bytes has _CUT_BITS zeros: every 1,024 bytes on average.
 _WINDOW = 32
 _CUT_BITS = 10
 _LONGEST = 1 << 14
-_WORDS = 250_000
-_CHUNK_BYTES = 24 << 20
+_WORDS = 150_000
+_CHUNK_BYTES = 16 << 20
 _SPACES = b" \t\n\v\f\r"
 _PROBE = "a b\t<x> don't  12,5\nÉté"
 
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             found = [own.chunked(plain_text(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "ids"])
 
@@ -278,7 +278,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = decoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [own.decode(ids_of(ids)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("ids"), pa.array(texts, pa.string())], names=["id", "ids", "decoded"]

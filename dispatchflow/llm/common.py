@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,13 @@ def in_pandas(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
     return frame.mapInPandas(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of a batch takes little memory."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def plain_text(text: str | None) -> bytes:
     """UTF-8 of a text, nothing for null."""
     return text.encode("utf-8", "surrogatepass") if text else b""

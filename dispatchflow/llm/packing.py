@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import in_arrow, plain_text, stored
+from .common import in_arrow, plain_text, slices, stored
 
 _LONG_WORD = 6
 _ROWS = 1 << 14
@@ -50,7 +50,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         kind = _kind(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             signatures, found = [], []
             for text in batch.column("text").to_pylist():
                 data = plain_text(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact, packing, pages, quality, sharding, simhash, suffix, toxicity
-from .common import in_arrow
+from .common import in_arrow, slices
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,24 +37,20 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [bpe.ids_of(data) for data in batch.column("ids").to_pylist()]
-            shown = [hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest() for own in ids]
+        own = bpe.decoder(path)
+        for batch in slices(batches):
+            rows = [bpe.ids_of(data) for data in batch.column("ids").to_pylist()]
+            shown = [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in rows]
+            decoded = [hashlib.sha256(own.decode(ids).encode()).hexdigest() for ids in rows]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([len(own) for own in ids], pa.int64()),
-                    pa.array(shown, pa.string()),
-                    batch.column("decoded_sha256"),
-                ],
+                [batch.column("id"), pa.array(list(map(len, rows)), pa.int64()), pa.array(shown), pa.array(decoded)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    rows = decoded.select("id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return in_arrow(rows, digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(encoded, digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,17 @@ SHINGLE_WORDS = 5
 SEED = 42
 # A bucket of more fingerprints is not compared pair by pair.
 PAIRWISE = 128
+# The same for fingerprints of several words, whose larger buckets are compared along a tree.
+TREE_FROM = 512
 # A bucket of more fingerprints of several words is told apart by longer chains.
 CROWD = 4096
+# Deviations of the Hamming distance that a pair of the wanted similarity may lie above the mean.
+SLACK = 3.0
+# Spanning forests without common links that are taken from a bucket, so that more than one link is tried.
+FORESTS = 3
 _BLOCK = 1 << 15
 _ROWS = 1 << 16
-_MIXERS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -39,9 +45,14 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return [b" ".join(part) for part in zip(*(words[i:] for i in range(size)), strict=False)]
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS, words: int = 1) -> bytes:
-    """64 bits for each of ``words``, highest first: a bit is set if it is in over half the shingles' hashes."""
+def fingerprint(text: str | None, size: int = SHINGLE_WORDS, words: int = 1, repeats: bool = True) -> bytes:
+    """64 bits for each of ``words``, highest first: a bit is set if it is in over half the shingles' hashes.
+
+    Without ``repeats``, a shingle counts once however often it is there.
+    """
     parts = shingles(text, size)
+    if not repeats:
+        parts = list(dict.fromkeys(parts))
     ones = np.zeros(64 * words, dtype=np.int64)
     for start in range(0, len(parts), _BLOCK):
         block = parts[start : start + _BLOCK]
@@ -49,8 +60,8 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS, words: int = 1) ->
         for k in range(words):
             some = hashes
             if k:
-                some = hashes.astype(np.uint64) * _MIXERS[k]
-                some = ((some ^ (some >> np.uint64(31))) * _MIXERS[1]).astype(">u8")
+                some = (hashes.astype(np.uint64) ^ np.uint64(k)) * _ODD
+                some = ((some ^ (some >> np.uint64(31))) * _ODD).astype(">u8")
             bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1)
             ones[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.uint32)
     return np.packbits(2 * ones > len(parts)).tobytes()
@@ -62,13 +73,14 @@ def fingerprints(
     text_column: str = "text",
     size: int = SHINGLE_WORDS,
     words: int = 1,
+    repeats: bool = True,
 ) -> DataFrame:
     """id, fingerprint (8 bytes for each of ``words``) of each row. No words, also null: all bits zero."""
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(text, size, words) for text in batch.column("text").to_pylist()]
+            prints = [fingerprint(text, size, words, repeats) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(prints, pa.binary())], names=["id", "fingerprint"]
             )
@@ -175,39 +187,29 @@ def near_components(
     return prints.join(named, F.col("print") == F.col("of")).select("id", "print", "component_id")
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Bits that two shingle sets of this Jaccard similarity differ in, by the angle between them."""
-    cosine = 2 * similarity / (1 + similarity)
-    return math.floor(bits * math.acos(cosine) / math.pi)
-
-
-def _leaders(ids: np.ndarray, prints: np.ndarray, most: int) -> Iterator[tuple]:
-    """Links of a crowded bucket: the first fingerprint that has no link leads, with links to all within reach."""
-    open_ = np.ones(len(ids), bool)
-    while open_.any():
-        lead = int(open_.argmax())
-        near = np.bitwise_count(prints ^ prints[lead]).sum(axis=1) <= most
-        near[lead] = False
-        open_ &= ~near
-        open_[lead] = False
-        for i in np.flatnonzero(near):
-            yield ids[lead], ids[i]
+def most_bits(similarity: float, bits: int, slack: float = SLACK) -> int:
+    """Bits that two shingle sets of this Jaccard similarity differ in: the mean by their angle, and ``slack`` deviations."""
+    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * rate + slack * math.sqrt(bits * rate * (1 - rate)))
 
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, pairwise: int = PAIRWISE, crowd: int = CROWD) -> DataFrame:
-    """a, b of distinct fingerprints (fingerprint binary, id) that differ in what ``similarity`` allows at most.
+def similar_links(
+    prints: DataFrame, similarity: float = 0.8, tree_from: int = TREE_FROM, crowd: int = CROWD
+) -> DataFrame:
+    """a, b of distinct fingerprints (fingerprint binary, id) that differ in ``most_bits`` at most: candidates.
 
     The ring is cut at every byte. Fingerprints meet by a cut and the chain of bytes from there on, the first
     segments of a chain without differences, long enough that few others have it; a chain that more than ``crowd``
     share is followed further. With k bytes in a chain, all links of fewer than (bytes / k) bits are found for
-    certain, and others with the chance that one of the chains has no difference. Buckets up to ``pairwise`` are
-    compared pair by pair: the cumulative difference from chain to chain must stay within the budget. In larger
-    ones, every fingerprint is compared with the leaders.
+    certain, and others with the chance that one of the chains has no difference. In a bucket, the cumulative
+    difference from chain to chain must stay within the budget. Of the links in a
+    bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
+    each of ``FORESTS`` forests (one in a bucket of more than ``tree_from``).
     """
     row = prints.agg(F.count(F.lit(1)), F.max(F.octet_length("fingerprint"))).first()
     size = row[1] or 8
     most = most_bits(similarity, 8 * size)
-    width = max(2, -(-(max(row[0], 1).bit_length() - 4) // 8))
+    width = max(2, -(-(max(row[0], 1).bit_length() - 10) // 8))
     ring = F.concat("fingerprint", "fingerprint")
     id_type = prints.schema["id"].dataType.simpleString()
 
@@ -239,18 +241,18 @@ def similar_links(prints: DataFrame, similarity: float = 0.8, pairwise: int = PA
             bucket = _bucket_numbers(table)
             end = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
             if end:
-                yield _compared(table.slice(0, end), bucket[:end], most, pairwise, kind)
+                yield _compared(table.slice(0, end), bucket[:end], most, tree_from, kind)
             held = [table.slice(end)]
             count = table.num_rows - end
         if count:
             table = pa.concat_tables(held)
-            yield _compared(table, _bucket_numbers(table), most, pairwise, kind)
+            yield _compared(table, _bucket_numbers(table), most, tree_from, kind)
 
     found = []
     for bucket in buckets:
         dealt = bucket.repartition("cut", "chain").sortWithinPartitions("cut", "chain", "id")
         found.append(in_arrow(dealt.select("cut", "chain", "id", "fingerprint"), run, f"a {id_type}, b {id_type}"))
-    return union_all(found)
+    return union_all(found).distinct()
 
 
 def _bucket_numbers(table: pa.Table) -> np.ndarray:
@@ -260,48 +262,88 @@ def _bucket_numbers(table: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((cut[1:] != cut[:-1]) | new)])
 
 
-def _compared(table: pa.Table, bucket: np.ndarray, most: int, pairwise: int, kind: pa.DataType) -> pa.RecordBatch:
-    """a, b of the links in whole buckets of a sorted table."""
+def _compared(table: pa.Table, bucket: np.ndarray, most: int, tree_from: int, kind: pa.DataType) -> pa.RecordBatch:
+    """a, b of the links in whole buckets of a sorted table, as forests of least differences."""
     ids = table.column("id").to_numpy()
     data = b"".join(table.column("fingerprint").to_pylist())
     prints = np.frombuffer(data, np.uint64).reshape(len(ids), -1)
     sizes = np.bincount(bucket)
-    small = sizes[bucket] <= pairwise
-    first, second = [], []
-    for apart in range(1, min(int(sizes[sizes <= pairwise].max(initial=0)), len(ids))):
+    small = sizes[bucket] <= tree_from
+    found = [np.zeros((3, 0), np.int64)]
+    for apart in range(1, min(int(sizes[sizes <= tree_from].max(initial=0)), len(ids))):
         at = np.flatnonzero((bucket[apart:] == bucket[:-apart]) & small[apart:])
         differ = np.zeros(len(at), np.int64)
         for word in range(prints.shape[1]):  # the chain grows by a word, and what is over budget goes
             differ += np.bitwise_count(prints[at, word] ^ prints[at + apart, word])
             stays = differ <= most
             at, differ = at[stays], differ[stays]
-        first.append(ids[at])
-        second.append(ids[at + apart])
-    for number in np.flatnonzero(sizes > pairwise):
+        found.append(np.stack([differ, at, at + apart]))
+    for number in np.flatnonzero(sizes > tree_from):
         low, high = np.searchsorted(bucket, [number, number + 1])
-        links_ = list(_leaders(ids[low:high], prints[low:high], most))
-        first.append(np.array([a for a, _ in links_], ids.dtype))
-        second.append(np.array([b for _, b in links_], ids.dtype))
-    columns = [np.concatenate(x).tolist() if x else [] for x in (first, second)]
-    joined = _forest(zip(*columns, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in joined], names=["a", "b"])
-
-
-def _forest(found: Iterator[tuple]) -> tuple[list, list]:
-    """As few links as join the same: each end of a link with the smallest one it is joined to."""
-    above: dict = {}
-
-    def top(x):
+        found.append(_tree(prints[low:high], most) + np.array([[0], [low], [low]]))
+    differ, first, second = np.concatenate(found, axis=1)
+    order = np.argsort(differ, kind="stable")
+    links_ = _forests(bucket[first[order]].tolist(), ids[first[order]].tolist(), ids[second[order]].tolist())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in links_], names=["a", "b"])
+
+
+def _tree(prints: np.ndarray, most: int) -> np.ndarray:
+    """differ, first, second of the links of at most ``most`` bits in a spanning tree of least differences."""
+    rows = len(prints)
+    least, above = np.full(rows, 1 << 30), np.zeros(rows, np.int64)
+    open_ = np.ones(rows, bool)
+    links_, at = [], 0
+    for _ in range(rows - 1):
+        open_[at] = False
+        differ = np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int64)
+        closer = open_ & (differ < least)
+        least[closer], above[closer] = differ[closer], at
+        at = int(np.where(open_, least, 1 << 31).argmin())
+        if least[at] <= most:
+            links_.append((least[at], above[at], at))
+    return np.array(links_, np.int64).reshape(-1, 3).T
+
+
+def _forests(group: list, first: list, second: list) -> tuple[list, list]:
+    """Of links in order, those that join in their group what the links before them do not, ``FORESTS`` times over."""
+    forests: list[dict] = [{} for _ in range(FORESTS)]
+
+    def top(above, x):
         while above.setdefault(x, x) != x:
             above[x] = x = above[above[x]]
         return x
 
-    for a, b in found:
-        a, b = top(a), top(b)
-        if a != b:
-            above[max(a, b)] = min(a, b)
-    ends = [(top(x), x) for x in above]
-    return [a for a, b in ends if a != b], [b for a, b in ends if a != b]
+    a, b = [], []
+    for g, x, y in zip(group, first, second, strict=True):
+        for above in forests:
+            one, two = top(above, (g, x)), top(above, (g, y))
+            if one != two:
+                above[one] = two
+                a.append(min(x, y))
+                b.append(max(x, y))
+                break
+    return a, b
+
+
+def resemblance(a: str | None, b: str | None, size: int = SHINGLE_WORDS) -> float:
+    """Jaccard similarity of the shingle sets of two texts; 1 for two texts without words."""
+    one, two = set(shingles(a, size)), set(shingles(b, size))
+    return len(one & two) / len(one | two) if one or two else 1.0
+
+
+def verified(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b of the candidates whose whole texts (id, text) have the similarity."""
+    of = {side: texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text")) for side in "ab"}
+    pairs = candidates.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_text", "b_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)
+            near = pa.array([resemblance(a, b, size) >= similarity for a, b in both], pa.bool_())
+            yield batch.select(["a", "b"]).filter(near)
+
+    kind = candidates.schema["a"].dataType.simpleString()
+    return in_arrow(pairs, run, f"a {kind}, b {kind}")
 
 
 def drop_near(
@@ -310,16 +352,20 @@ def drop_near(
     text_column: str = "text",
     size: int = SHINGLE_WORDS,
     similarity: float = 0.8,
-    words: int = 4,
+    words: int = 6,
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of documents joined by links, the one of smallest id.
 
-    Texts without words are copies of each other. Rows with a null id stay. Rows of one id stay or go together.
+    A link is a candidate by fingerprint whose shingle sets have the Jaccard similarity. Texts without words are
+    copies of each other. Rows with a null id stay. Rows of one id stay or go together.
     """
-    prints = stored(fingerprints(docs, id_column, text_column, size, words), "prints")
+    prints = stored(fingerprints(docs, id_column, text_column, size, words, repeats=False), "prints")
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("id")).where("id is not null")
     nodes = stored(nodes, "nodes")
-    roots = components(similar_links(nodes, similarity), "similar")
+    candidates = stored(similar_links(nodes, similarity), "candidates")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ends, "id", "left_semi")
+    roots = components(verified(candidates, texts, size, similarity), "similar")
     named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(
         F.col("fingerprint").alias("of"), F.coalesce("root", "id").alias("stays")
     )

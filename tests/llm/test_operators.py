@@ -134,6 +134,52 @@ def test_near_documents_leave_one(spark, docs):
     assert kept == {1000, *(o[0] for o in others)}
 
 
+def test_near_documents_as_by_all_pairs(spark):
+    draw = random.Random(11)
+    words = {}
+    for group in range(6):
+        base = [f"g{group}w{draw.randrange(4000)}" for _ in range(250)]
+        for _ in range(60):
+            own = list(base)
+            for at in draw.sample(range(250), draw.randint(0, 12)):
+                own[at] = f"x{draw.randrange(10**6)}"
+            words[len(words)] = own
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    near = ((i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    should = set(_joined(len(sets), near))
+    rows = spark.createDataFrame([(i, " ".join(w), "en", "d", 1, "k") for i, w in words.items()], SCHEMA)
+    kept = {r.doc_id for r in simhash.drop_near(rows).collect()}
+    assert should <= kept  # a text goes only for one that is as similar as asked
+    assert len(kept - should) <= 0.02 * len(sets)
+
+
+def test_tree_of_a_large_bucket_joins_as_all_pairs_do():
+    draw = np.random.default_rng(5)
+    prints = draw.integers(0, 1 << 63, (6, 3), dtype=np.uint64).repeat(50, axis=0)
+    for row in prints:
+        for bit in draw.integers(0, 192, 12):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    table = pa.table(
+        {"cut": [0] * 300, "chain": [b""] * 300, "id": range(300), "fingerprint": [p.tobytes() for p in prints]}
+    )
+    bucket = np.zeros(300, int)
+    joined = []
+    for tree_from in (1, 1000):
+        links = simhash._compared(table, bucket, 16, tree_from, pa.int64()).to_pydict()
+        joined.append(_joined(300, zip(links["a"], links["b"], strict=True)))
+        assert len(links["a"]) == 300 - len(set(joined[-1]))
+    every = ((i, j) for i in range(300) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 16)
+    assert joined[0] == joined[1] == _joined(300, every)
+
+
+def _joined(count, links):
+    of = list(range(count))
+    for a, b in links:
+        low, high = sorted((of[a], of[b]))
+        of = [low if x == high else x for x in of]
+    return of
+
+
 def _repeat_words(words):
     at = {}
     for i in range(len(words) - 4):

@@ -24,6 +24,7 @@ from dispatchflow.operators import (
     flatten_window,
     parse_payload,
     tap_lines,
+    window_counts,
 )
 from dispatchflow.plans import counts_plan, enriched_plan
 from dispatchflow.schemas import CALL_RECORD
@@ -131,6 +132,15 @@ def _enriched_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(enriched_plan(_envelope(spark, sf_dir), nation_codes(spark, sf_dir), BY_MINUTE))
 
 
+def _text_time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by the minute where times are text with seconds, and calls of a full hour have none."""
+    records = drop_null_keys(parse_payload(_envelope(spark, sf_dir)))
+    seconds = F.make_dt_interval(secs=F.col("crime_id").cast("bigint") % 60)
+    time = F.when(F.minute("call_date_time") != 0, F.col("call_date_time") + seconds)
+    texts = records.withColumn("call_date_time", F.date_format(time, "yyyy-MM-dd HH:mm:ss"))
+    return _shown(window_counts(call_events(texts, BY_MINUTE), BY_MINUTE))
+
+
 def _topic_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A topic followed into text files."""
     folder = work_dir(spark, "tap")
@@ -256,6 +266,15 @@ def _stream_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_counts(spark, sf_dir, BY_MINUTE)
 
 
+def _stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct calls as a stream of its own. Slices are in the order of time, so that no row is late."""
+    folder = work_dir(spark, "distinct")
+    records = parse_payload(_messages_in_slices(spark, sf_dir, folder), CALLS.payload_columns)
+    events = distinct_events(call_events(drop_null_keys(records)))
+    _finish(start_files(events, f"{folder}/out", "distinct", f"{folder}/checkpoint", trigger=None))
+    return _shown(read_output(spark, f"{folder}/out"))
+
+
 def _stream_enriched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "enriched")
     query = start_counts_and_enriched(
@@ -343,6 +362,7 @@ _QUERIES: dict[str, Query] = {
     "window_counts": _window_counts,
     "enriched_counts": _enriched_counts,
     "enriched_counts_by_minute": _enriched_counts_by_minute,
+    "text_time_counts": _text_time_counts,
     "topic_tap": _topic_tap,
     "dim_scan": _dim_scan,
     "publish_records": _publish_records,
@@ -352,6 +372,7 @@ _QUERIES: dict[str, Query] = {
     "rate_limited_batches": _rate_limited_batches,
     "stream_window_counts": _stream_window_counts,
     "stream_window_counts_by_minute": _stream_counts_by_minute,
+    "stream_distinct_events": _stream_distinct_events,
     "stream_enriched_counts": _stream_enriched_counts,
     "stream_late_rows": _stream_late_rows,
     "stream_restart": _stream_restart,
@@ -476,6 +497,11 @@ _WITH_NAMES = (
 )
 
 
+_TIMED_COUNTS = _COUNTS.replace(
+    "disposition is not null", "disposition is not null and extract(minute from call_date_time) <> 0"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     all_calls = f"with {_CALLS} select * from calls"
@@ -486,6 +512,8 @@ def oracle_sql() -> dict[str, str]:
         "window_counts": f"with {_COUNTS} select * from counts",
         "enriched_counts": f"with {_COUNTS} {_WITH_NAMES}",
         "enriched_counts_by_minute": f"with {_COUNTS} {_WITH_NAMES}",
+        "text_time_counts": f"with {_TIMED_COUNTS} select * from counts",
+        "stream_distinct_events": f"with {_DISTINCT} select * from happened",
         "topic_tap": f"with {_MESSAGES} select concat(topic, ':', partition, ':', \"offset\", "
         "': key=null value=', value) as line from messages",
         "dim_scan": "select cast(n_nationkey as varchar) as disposition, n_name as description from nation",

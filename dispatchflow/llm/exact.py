@@ -25,11 +25,12 @@ def text_digest(text: Column) -> Column:
 def frequent_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """digest, keep_id, group_size of each digest that holds at least ``support`` of the rows.
 
-    At most 1 / support rows. The Misra-Gries summary misses none; false candidates go when counted.
+    At most 1 / support rows. The Misra-Gries summary misses none; false candidates go when counted. It counts
+    digests as hex text: its counters tell byte arrays apart by object, so that no count of a binary column grows.
     """
     rows = digests.count()
-    summary = digests.stat.freqItems(["digest"], support)
-    candidates = summary.select(F.explode("digest_freqItems").alias("digest"))
+    summary = digests.select(F.hex("digest").alias("digest")).stat.freqItems(["digest"], support)
+    candidates = summary.select(F.explode("digest_freqItems").alias("hex")).select(F.unhex("hex").alias("digest"))
     return (
         digests.join(F.broadcast(candidates), "digest", "left_semi")
         .groupBy("digest")

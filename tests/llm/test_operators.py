@@ -65,6 +65,16 @@ def test_exact_groups(docs, none, rows):
     assert exact.exact_groups(none).count() == exact.drop_exact(none).count() == 0
 
 
+def test_frequent_digests_early_in_every_partition(spark):
+    """A third of the rows, then 2 % of the rows, each before thousands of others in its partition."""
+    for copies in (1000, 60):
+        texts = [t for part in range(3) for t in ["hot"] * copies + [f"{part} {i}" for i in range(2000)]]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 3), "id int, text string")
+        found = exact.frequent_digests(docs.select("id", exact.text_digest(docs.text).alias("digest")), 0.01).collect()
+        want = (hashlib.sha256(b"hot").digest(), 0, 3 * copies)
+        assert [(bytes(r.digest), r.keep_id, r.group_size) for r in found] == [want]
+
+
 def test_exact_sql(spark, docs):
     database = duckdb.connect()
     documents = docs.select("doc_id", "text").toPandas()

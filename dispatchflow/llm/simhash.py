@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, plain_text, stored, union_all
+from .common import in_arrow, plain_text, stored
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -26,7 +26,7 @@ SEED = 42
 PAIRWISE = 128
 # The same for fingerprints of several words, whose larger buckets are compared along a tree.
 TREE_FROM = 512
-# A bucket of more fingerprints of several words is told apart by longer chains.
+# A bucket of more fingerprints of several words is dealt to blocks, which are compared two by two.
 CROWD = 4096
 # Deviations of the Hamming distance that a pair of the wanted similarity may lie above the mean.
 SLACK = 3.0
@@ -199,8 +199,9 @@ def similar_links(
     """a, b of distinct fingerprints (fingerprint binary, id) that differ in ``most_bits`` at most: candidates.
 
     The ring is cut at every byte. Fingerprints meet by a cut and the chain of bytes from there on, the first
-    segments of a chain without differences, long enough that few others have it; a chain that more than ``crowd``
-    share is followed further. With k bytes in a chain, all links of fewer than (bytes / k) bits are found for
+    segments of a chain without differences, long enough that few others have it. A bucket of more than ``crowd`` is
+    dealt to blocks of half as many, and each two blocks meet in a task of their own, so no pair is left out for a
+    bucket's size. With k bytes in a chain, all links of fewer than (bytes / k) bits are found for
     certain, and others with the chance that one of the chains has no difference. In a bucket, the cumulative
     difference from chain to chain must stay within the budget. Of the links in a
     bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
@@ -213,20 +214,14 @@ def similar_links(
     ring = F.concat("fingerprint", "fingerprint")
     id_type = prints.schema["id"].dataType.simpleString()
 
-    def chains(frame: DataFrame, length: int) -> DataFrame:
-        return frame.select("fingerprint", "id", "cut", F.substring(ring, F.col("cut") + 1, F.lit(length)).alias("chain"))
-
+    chain = F.substring(ring, F.col("cut") + 1, F.lit(width)).alias("chain")
     cuts = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cut")
-    placed = chains(prints.select("fingerprint", "id", cuts), width)
-    buckets = []
-    while True:
-        crowded = placed.groupBy("cut", "chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n")
-        crowded = stored(crowded, "crowded")
-        buckets.append(placed.join(crowded, ["cut", "chain"], "left_anti"))
-        if width >= size or crowded.isEmpty():
-            break
-        width += 1
-        placed = chains(placed.join(crowded, ["cut", "chain"], "left_semi"), width)
+    placed = prints.select("fingerprint", "id", cuts).select("fingerprint", "id", "cut", chain)
+    crowded = placed.groupBy("cut", "chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    blocks = F.ceil(F.col("n") * 2 / F.lit(crowd)).cast("int").alias("blocks")
+    crowded = stored(crowded.select("cut", "chain", blocks), "crowded")
+    few = placed.join(crowded, ["cut", "chain"], "left_anti").withColumns({"low": F.lit(0), "high": F.lit(0)})
+    many = _with_other_blocks(placed.join(crowded, ["cut", "chain"]), own=False).drop("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -248,18 +243,32 @@ def similar_links(
             table = pa.concat_tables(held)
             yield _compared(table, _bucket_numbers(table), most, tree_from, kind)
 
-    found = []
-    for bucket in buckets:
-        dealt = bucket.repartition("cut", "chain").sortWithinPartitions("cut", "chain", "id")
-        found.append(in_arrow(dealt.select("cut", "chain", "id", "fingerprint"), run, f"a {id_type}, b {id_type}"))
-    return union_all(found).distinct()
+    keys = ["cut", "chain", "low", "high"]
+    dealt = few.unionByName(many).repartition(*keys).sortWithinPartitions(*keys, "id")
+    return in_arrow(dealt.select(*keys, "id", "fingerprint"), run, f"a {id_type}, b {id_type}").distinct()
+
+
+def _with_other_blocks(frame: DataFrame, own: bool) -> DataFrame:
+    """Each row (id, ``blocks``: of how many) once for each two blocks, low and high, of which it is in one.
+
+    With ``own``, also once for its block alone.
+    """
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = every if own else F.array_remove(every, F.col("block"))
+    rows = frame.withColumn("block", block).withColumn("other", F.explode(others))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return rows.drop("other", "blocks")
 
 
 def _bucket_numbers(table: pa.Table) -> np.ndarray:
-    """Numbers of the buckets in a sorted table."""
-    cut, chain = table.column("cut").to_numpy(), table.column("chain").to_pylist()
+    """Numbers of the buckets, or of two blocks of one, in a sorted table."""
+    chain = table.column("chain").to_pylist()
     new = np.fromiter((a != b for a, b in zip(chain[1:], chain, strict=False)), bool, len(chain) - 1)
-    return np.concatenate([[0], np.cumsum((cut[1:] != cut[:-1]) | new)])
+    for name in ("cut", "low", "high"):
+        column = table.column(name).to_numpy()
+        new |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.cumsum(new)])
 
 
 def _compared(table: pa.Table, bucket: np.ndarray, most: int, tree_from: int, kind: pa.DataType) -> pa.RecordBatch:

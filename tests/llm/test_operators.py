@@ -183,6 +183,20 @@ def test_tree_of_a_large_bucket_joins_as_all_pairs_do():
     assert joined[0] == joined[1] == _joined(300, every)
 
 
+def _pairs_of_one_chain(count):
+    """Fingerprints of 48 bytes with equal first two: 2 i and 2 i + 1 differ by a bit in each other byte."""
+    draw = random.Random(9)
+    for _ in range(count):
+        one = b"ab" + draw.randbytes(46)
+        yield from (one, b"ab" + bytes(x ^ 1 << draw.randrange(8) for x in one[2:]))
+
+
+def test_links_of_a_crowded_bucket_are_all_found(spark):
+    prints = spark.createDataFrame([(p, i) for i, p in enumerate(_pairs_of_one_chain(50))], "fingerprint binary, id int")
+    links = {(r.a, r.b) for r in simhash.similar_links(prints, crowd=16).collect()}
+    assert links == {(i, i + 1) for i in range(0, 100, 2)}
+
+
 def _joined(count, links):
     of = list(range(count))
     for a, b in links:

@@ -30,8 +30,11 @@ TREE_FROM = 512
 CROWD = 4096
 # Deviations of the Hamming distance that a pair of the wanted similarity may lie above the mean.
 SLACK = 3.0
-# Spanning forests without common links that are taken from a bucket, so that more than one link is tried.
+# Spanning forests without common links that are taken from a bucket, so that more than one link is tried at first.
 FORESTS = 3
+# Rows and bytes of text in a block of those that are compared text by text.
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 1 << 22
 _BLOCK = 1 << 15
 _ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +208,8 @@ def similar_links(
     certain, and others with the chance that one of the chains has no difference. In a bucket, the cumulative
     difference from chain to chain must stay within the budget. Of the links in a
     bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
-    each of ``FORESTS`` forests (one in a bucket of more than ``tree_from``).
+    each of ``FORESTS`` forests (one in a bucket of more than ``tree_from``). So they join all that are within the
+    budget, but a link left out may be the more similar one: see ``remaining``.
     """
     row = prints.agg(F.count(F.lit(1)), F.max(F.octet_length("fingerprint"))).first()
     size = row[1] or 8
@@ -355,6 +359,81 @@ def verified(candidates: DataFrame, texts: DataFrame, size: int, similarity: flo
     return in_arrow(pairs, run, f"a {kind}, b {kind}")
 
 
+def remaining(
+    candidates: DataFrame, parts: DataFrame, texts: DataFrame, size: int, similarity: float, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """a, b of the links of the similarity that ``parts`` (node, root), joined by verified candidates, leave out.
+
+    The candidates join all that are within the budget in a bucket. What they join but verified ones leave apart is
+    compared text by text, every two documents of different parts, in blocks; a task gives a link only if it joins
+    two parts not yet joined in it.
+    """
+    kind = candidates.schema["a"].dataType.simpleString()
+    group = components(candidates, "near").select(F.col("node").alias("id"), F.col("root").alias("near"))
+    rows = group.join(parts, F.col("id") == F.col("node"), "left").select("id", "near", F.coalesce("root", "id").alias("part"))
+    rows = stored(rows.join(texts, "id"), "grouped")
+    groups = rows.groupBy("near").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.octet_length("text")).alias("bytes"),
+        F.min("part").alias("first"),
+        F.max("part").alias("last"),
+    )
+    blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
+    groups = groups.where("n > 2 and first <> last")  # of two, the one pair was a candidate
+    rows = rows.join(groups.select("near", blocks.alias("blocks")), "near")
+    keys = ["near", "low", "high"]
+    dealt = _with_other_blocks(rows, own=True).repartition(*keys).sortWithinPartitions(*keys, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        schema = None
+        for batch in batches:
+            type_ = batch.schema.field("id").type
+            schema = pa.schema([("a", type_), ("b", type_)])
+            for row in batch.to_pylist():
+                if held and any(row[k] != held[0][k] for k in keys):
+                    yield pa.RecordBatch.from_pylist(_joining(held, size, similarity), schema)
+                    held = []
+                held.append(row)
+        if held:
+            yield pa.RecordBatch.from_pylist(_joining(held, size, similarity), schema)
+
+    return in_arrow(dealt.select(*keys, "block", "id", "part", "text"), run, f"a {kind}, b {kind}").distinct()
+
+
+def _joining(rows: list[dict], size: int, similarity: float) -> list[dict]:
+    """Links a, b of the similarity that join parts: of every two rows of one block, or of two from block to block."""
+    number: dict[bytes, int] = {}
+    sets = [
+        np.array([number.setdefault(s, len(number)) for s in set(shingles(row["text"], size))], np.int64) for row in rows
+    ]
+    sizes = np.array([len(s) for s in sets])
+    names: dict = {}
+    part = np.array([names.setdefault(row["part"], len(names)) for row in rows])
+    block = np.array([row["block"] for row in rows])
+    two = rows[0]["low"] != rows[0]["high"]
+    partner = block == rows[0]["high"]
+    has = np.zeros(len(number), bool)
+    found = []
+    for at in np.flatnonzero(block == rows[0]["low"]):
+        if not two:
+            partner[at] = False
+        few, many = np.minimum(sizes, sizes[at]), np.maximum(sizes, sizes[at])
+        others = np.flatnonzero(partner & (part != part[at]) & (few > 0) & (few >= similarity * many - 1e-6))
+        if not len(others):
+            continue
+        has[sets[at]] = True
+        starts = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+        common = np.add.reduceat(has[np.concatenate([sets[o] for o in others])], starts, dtype=np.int64)
+        has[sets[at]] = False
+        for other in others[common / (sizes[at] + sizes[others] - common) >= similarity]:
+            if part[other] != part[at]:
+                part[part == part[other]] = part[at]
+                a, b = sorted((rows[at]["id"], rows[other]["id"]))
+                found.append({"a": a, "b": b})
+    return found
+
+
 def drop_near(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -365,8 +444,9 @@ def drop_near(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of documents joined by links, the one of smallest id.
 
-    A link is a candidate by fingerprint whose shingle sets have the Jaccard similarity. Texts without words are
-    copies of each other. Rows with a null id stay. Rows of one id stay or go together.
+    A link is a candidate by fingerprint, or two texts joined by candidates, whose shingle sets have the Jaccard
+    similarity. Texts without words are copies of each other. Rows with a null id stay. Rows of one id stay or go
+    together.
     """
     prints = stored(fingerprints(docs, id_column, text_column, size, words, repeats=False), "prints")
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("id")).where("id is not null")
@@ -374,7 +454,11 @@ def drop_near(
     candidates = stored(similar_links(nodes, similarity), "candidates")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ends, "id", "left_semi")
-    roots = components(verified(candidates, texts, size, similarity), "similar")
+    sure = stored(verified(candidates, texts, size, similarity), "verified")
+    roots = components(sure, "similar")
+    more = stored(remaining(candidates, roots, texts, size, similarity), "remaining")
+    if not more.isEmpty():
+        roots = components(sure.unionByName(more), "similar")
     named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(
         F.col("fingerprint").alias("of"), F.coalesce("root", "id").alias("stays")
     )

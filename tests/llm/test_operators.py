@@ -197,6 +197,38 @@ def test_links_of_a_crowded_bucket_are_all_found(spark):
     assert links == {(i, i + 1) for i in range(0, 100, 2)}
 
 
+def test_similar_texts_farther_apart_than_others(spark, monkeypatch):
+    """Two texts right at 0.9 whose fingerprints differ more than from those of ten other texts between them."""
+    prints = [bytearray(bytes(range(48))) for _ in range(12)]
+    for i, one in enumerate(prints[:10]):
+        one[8 + i] ^= 1
+    for one, first in ((prints[10], 20), (prints[11], 30)):
+        for at in range(10):
+            one[first + at] ^= 3
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"{i}x{k}" for k in range(290)) for i in range(10)] + [" ".join(words), " ".join(words[:285])]
+    rows = spark.createDataFrame([(i, t, "en", "d", 1, "k") for i, t in enumerate(texts)], SCHEMA)
+    made = spark.createDataFrame([(i, bytes(p)) for i, p in enumerate(prints)], "id bigint, fingerprint binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_, **__: made)
+    for block_rows in (1024, 3):
+        monkeypatch.setattr(simhash.remaining, "__defaults__", (block_rows,))
+        assert {r.doc_id for r in simhash.drop_near(rows).collect()} == set(range(11))
+
+
+def test_joining_as_by_all_pairs():
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = ["", *(" ".join(w if draw.random() < 0.99 else "x" for w in base[draw.randrange(4) :]) for _ in range(80))]
+    rows = [{"id": i, "part": i, "text": t, "block": i % 3, "low": 0, "high": 0} for i, t in enumerate(texts)]
+    every = [(i, j) for i in range(81) for j in range(i) if simhash.resemblance(texts[i], texts[j]) >= 0.8]
+    found = []
+    for low, high in itertools.combinations_with_replacement(range(3), 2):
+        some = [r | {"low": low, "high": high} for r in rows if r["block"] in (low, high)]
+        found += [(link["a"], link["b"]) for link in simhash._joining(some, 5, 0.8)]
+    assert all(simhash.resemblance(texts[a], texts[b]) >= 0.8 for a, b in found) and len(found) < len(every)
+    assert _joined(81, found) == _joined(81, every)
+
+
 def _joined(count, links):
     of = list(range(count))
     for a, b in links:

@@ -26,6 +26,8 @@ SEED = 42
 PAIRWISE = 128
 # The same for fingerprints of several words, whose larger buckets are compared along a tree.
 TREE_FROM = 512
+# Bytes in which fingerprints of several words must agree to meet. Not by the number of rows: what is found would be too.
+CHAIN = 2
 # A bucket of more fingerprints of several words is dealt to blocks, which are compared two by two.
 CROWD = 4096
 # Deviations of the Hamming distance that a pair of the wanted similarity may lie above the mean.
@@ -202,23 +204,21 @@ def similar_links(
     """a, b of distinct fingerprints (fingerprint binary, id) that differ in ``most_bits`` at most: candidates.
 
     The ring is cut at every byte. Fingerprints meet by a cut and the chain of bytes from there on, the first
-    segments of a chain without differences, long enough that few others have it. A bucket of more than ``crowd`` is
+    segments of a chain without differences. The chain is as long for any number of rows. A bucket of more than ``crowd`` is
     dealt to blocks of half as many, and each two blocks meet in a task of their own, so no pair is left out for a
-    bucket's size. With k bytes in a chain, all links of fewer than (bytes / k) bits are found for
+    bucket's size. With k bytes (``CHAIN``) in a chain, all links of fewer than (bytes / k) bits are found for
     certain, and others with the chance that one of the chains has no difference. In a bucket, the cumulative
     difference from chain to chain must stay within the budget. Of the links in a
     bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
     each of ``FORESTS`` forests (one in a bucket of more than ``tree_from``). So they join all that are within the
     budget, but a link left out may be the more similar one: see ``remaining``.
     """
-    row = prints.agg(F.count(F.lit(1)), F.max(F.octet_length("fingerprint"))).first()
-    size = row[1] or 8
+    size = prints.agg(F.max(F.octet_length("fingerprint"))).first()[0] or 8
     most = most_bits(similarity, 8 * size)
-    width = max(2, -(-(max(row[0], 1).bit_length() - 10) // 8))
     ring = F.concat("fingerprint", "fingerprint")
     id_type = prints.schema["id"].dataType.simpleString()
 
-    chain = F.substring(ring, F.col("cut") + 1, F.lit(width)).alias("chain")
+    chain = F.substring(ring, F.col("cut") + 1, F.lit(CHAIN)).alias("chain")
     cuts = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cut")
     placed = prints.select("fingerprint", "id", cuts).select("fingerprint", "id", "cut", chain)
     crowded = placed.groupBy("cut", "chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dispatchflow.llm import bpe, chat, exact, packing, pages, quality, sharding, simhash, suffix, toxicity
@@ -197,6 +198,22 @@ def test_links_of_a_crowded_bucket_are_all_found(spark):
     assert links == {(i, i + 1) for i in range(0, 100, 2)}
 
 
+def test_links_do_not_depend_on_the_number_of_rows(spark):
+    prints = spark.createDataFrame([(p, i) for i, p in enumerate(_pairs_of_one_chain(3))], "fingerprint binary, id int")
+
+    class Many:
+        """The table as if it had 2^27 rows."""
+
+        def __getattr__(self, name):
+            return getattr(prints, name)
+
+        def agg(self, *columns):
+            return prints.agg(F.lit(1 << 27), columns[1]) if len(columns) > 1 else prints.agg(*columns)
+
+    links = [{(r.a, r.b) for r in simhash.similar_links(table).collect()} for table in (prints, Many())]
+    assert links == [{(0, 1), (2, 3), (4, 5)}] * 2
+
+
 def test_similar_texts_farther_apart_than_others(spark, monkeypatch):
     """Two texts right at 0.9 whose fingerprints differ more than from those of ten other texts between them."""
     prints = [bytearray(bytes(range(48))) for _ in range(12)]

@@ -1,9 +1,12 @@
-"""SimHash near-duplicates, candidates by pigeonring filtering.
+"""SimHash near-duplicates, candidates by pigeonring filtering for 64 bits and by banding for fingerprints of several words.
 
 A fingerprint is cut into segments that lie on a ring. If two fingerprints differ in at most t of all bits, then
 from some segment on every chain of l consecutive segments differs in at most l * t / m bits. With t < m such a
 chain begins with an equal segment, so fingerprints meet by (segment, its bits), and what does not keep to the
-budget of each longer chain goes before the whole fingerprints are compared.
+budget of each longer chain goes before the whole fingerprints are compared. ``links`` does this.
+
+``similar_links``, the pipeline's stage, does not: its budget is wider than its segments are many, and what meets by
+chains within budget is too much (README). There fingerprints meet by a chain of equal bytes, which is banding.
 """
 
 from __future__ import annotations
@@ -203,13 +206,12 @@ def similar_links(
 ) -> DataFrame:
     """a, b of distinct fingerprints (fingerprint binary, id) that differ in ``most_bits`` at most: candidates.
 
-    The ring is cut at every byte. Fingerprints meet by a cut and the chain of bytes from there on, the first
-    segments of a chain without differences. The chain is as long for any number of rows. A bucket of more than ``crowd`` is
+    This is banding on a ring cut at every byte, not pigeonring filtering: fingerprints meet by a cut and the chain of
+    bytes from there on, if it has no difference. The chain is as long for any number of rows. A bucket of more than ``crowd`` is
     dealt to blocks of half as many, and each two blocks meet in a task of their own, so no pair is left out for a
     bucket's size. With k bytes (``CHAIN``) in a chain, all links of fewer than (bytes / k) bits are found for
-    certain, and others with the chance that one of the chains has no difference. In a bucket, the cumulative
-    difference from chain to chain must stay within the budget. Of the links in a
-    bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
+    certain, and others with the chance that one of the chains has no difference. In a bucket, only
+    the difference of whole fingerprints must be within the budget. Of the links in a bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
     each of ``FORESTS`` forests (one in a bucket of more than ``tree_from``). So they join all that are within the
     budget, but a link left out may be the more similar one: see ``remaining``.
     """
@@ -286,7 +288,7 @@ def _compared(table: pa.Table, bucket: np.ndarray, most: int, tree_from: int, ki
     for apart in range(1, min(int(sizes[sizes <= tree_from].max(initial=0)), len(ids))):
         at = np.flatnonzero((bucket[apart:] == bucket[:-apart]) & small[apart:])
         differ = np.zeros(len(at), np.int64)
-        for word in range(prints.shape[1]):  # the chain grows by a word, and what is over budget goes
+        for word in range(prints.shape[1]):  # what is over the whole budget goes early
             differ += np.bitwise_count(prints[at, word] ^ prints[at + apart, word])
             stays = differ <= most
             at, differ = at[stays], differ[stays]

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 
 RANK_BUCKETS = 1024
+# A key of this share of the rows is hot; 1 / HOT_SHARE keys at most are.
+HOT_SHARE = 0.001
+# What is left of a text's bytes for its terms: digits, a-z, A-Z as a-z and all beyond ASCII, else a space.
+_TERM_BYTES = bytes(c + 32 if chr(c).isupper() and c < 128 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
@@ -60,6 +64,11 @@ def plain_text(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def terms(text: str | None) -> list[bytes]:
+    """Runs of ASCII digits and letters and of anything beyond ASCII, with A-Z in lower case."""
+    return plain_text(text).translate(_TERM_BYTES).split()
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -83,3 +92,31 @@ def with_rank(frame: DataFrame, within: list[str], spread: Column, order: list[C
     return joined.withColumn(rank, F.col("__offset") + F.col("__place")).drop(
         "__bucket", "__place", "__offset", *(f"__of_{k}" for k in keys)
     )
+
+
+def with_hot_keys(rows: DataFrame, table: DataFrame, keys: list[str], holds: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``table``, whose keys are unique and whose column ``holds`` says how many rows have each.
+
+    Keys that hold a share of HOT_SHARE of the ``total`` go by broadcast, 1 / HOT_SHARE of them at most, so that the
+    others, which are shuffled, leave no task with much more than the rest.
+    """
+    hot = table.where(F.col(holds) >= F.lit(total * HOT_SHARE))
+    rest = table.where(F.col(holds) < F.lit(total * HOT_SHARE))
+    there = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left")
+    return there.unionByName(others)
+
+
+def in_order(frame: DataFrame, order: list[Column], rank: str) -> DataFrame:
+    """Rows numbered from 1 in a total order: sorted by ranges, not in one task.
+
+    A range's numbers begin where those of the ranges before it end; the sizes of the ranges, as many as there are
+    partitions, are all that meets in one place.
+    """
+    dealt = stored(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    numbered = dealt.withColumn("__place", place).join(F.broadcast(offsets), "__range")
+    return numbered.withColumn(rank, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")

@@ -10,7 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, packing, pages, quality, sharding, simhash, suffix, toxicity
+from . import (
+    bpe,
+    chat,
+    exact,
+    minhash,
+    packing,
+    pages,
+    quality,
+    resampling,
+    search,
+    sharding,
+    simhash,
+    suffix,
+    toxicity,
+)
 from .common import in_arrow, slices
 
 TOKENIZER = "word_bpe_49k.json"
@@ -107,6 +121,22 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+    return hits.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_documents(_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    rows = resampling.resampled(docs, target, n=1, buckets=10_000, min_words=20, percent=10, seed=2024)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -118,6 +148,9 @@ QUERIES = {
     "op8_suffix": op8_suffix,
     "op9_toxicity": op9_toxicity,
     "op10_exact": op10_exact,
+    "op11_search": op11_search,
+    "op12_minhash": op12_minhash,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE = {
@@ -128,5 +161,113 @@ with texts as (
 ),
 found as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from texts group by 1)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from texts join found using (text_sha256)
+""",
+    "op11_search": r"""
+with doc_terms as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents
+),
+lengths as (select doc_id, count(*) as n from doc_terms group by 1),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as length from lengths),
+asked as (
+  select item_id, unnest(regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+),
+query as (select item_id, term, count(*) as times from asked group by 1, 2),
+held as (select doc_id, term, count(*) as tf from doc_terms where term in (select term from query) group by 1, 2),
+weights as (
+  select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1))) as bigint) as w
+  from held, totals group by term, docs
+),
+parts as (
+  select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length))) as part
+  from held join weights using (term) join lengths using (doc_id), totals
+),
+scores as (
+  select item_id, doc_id, cast(sum(times * part) as bigint) as score from query join parts using (term) group by 1, 2
+),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank,
+         doc_id, score
+  from scores where score > 0
+)
+select * from ranked where rank <= 10
+""",
+    "op12_minhash": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+           else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as shingle
+  from words
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * common >= 80 * (x.n + y.n - common)
+),
+edges as (select a, b from links union select b, a from links),
+reached as (
+  select doc_id, doc_id as other from documents
+  union
+  select reached.doc_id, edges.b from reached join edges on edges.a = reached.other
+),
+smallest as (select doc_id, min(other) as component_id from reached group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from smallest left join sizes using (doc_id)
+""",
+    "op13_resampling": r"""
+with crc_table as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps
+  from (select unnest(range(0, 256)) as i)
+),
+texts as (
+  select 'd' as side, doc_id as id, "text" from documents union all select 'b', item_id, "text" from benchmark
+),
+words as (
+  select side, id, unnest(regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+  from texts
+),
+hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode(word))),
+           lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)),
+           lambda c, x: xor(c >> 8, steps[1 + (xor(c, x) & 255)])), 4294967295) % 10000 as bucket
+  from (select distinct word from words), crc_table
+),
+counts as (
+  select bucket, count(*) filter (where side = 'd') as s, count(*) filter (where side = 'b') as t
+  from words join hashed using (word) group by 1
+),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1) * (sum(s) over () + 10000))::double / ((s + 1) * (sum(t) over () + 10000))::double))::bigint as gain
+  from counts
+),
+sums as (
+  select id as doc_id, count(*) as n_features, sum(gain)::bigint as gain
+  from words join hashed using (word) join gains using (bucket) where side = 'd' group by 1
+),
+scored as (
+  select doc_id, coalesce(n_features, 0) as n_features,
+         coalesce((gain - (gain % n_features + n_features) % n_features) // n_features, 0) as weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as noise
+  from documents left join sums using (doc_id)
+),
+placed as (
+  select doc_id, row_number() over (order by weight + noise desc, doc_id) as place, count(*) over () as able
+  from scored where n_features >= 20
+)
+select doc_id, n_features, weight, weight + noise as score, case when place <= 10 * able // 100 then place end as rank
+from scored left join placed using (doc_id)
 """,
 }

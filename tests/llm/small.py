@@ -1,0 +1,30 @@
+"""A small table of documents with the odd cases, for the operators that read whole texts."""
+
+import random
+
+SCHEMA = "doc_id bigint, text string, row string, key binary, q int, id string, band int"
+WORDS = ["alpha", "Beta", "gamma,", "d'été", "straße", "I'll", "x9", "ΟΔΟΣ", "naïve", "the", "of", "and", "to", "Kappa"]
+
+
+def texts():
+    draw = random.Random(3)
+    made = [" ".join(draw.choices(WORDS, k=n)) for n in (3, 12, 25, 60, 60, 200, 400)]
+    lines = ["\n".join(" ".join(draw.choices(WORDS, k=5)) for _ in range(n)) for n in (4, 30)]
+    common = lines[0].split("\n")[0]
+    lines += [f"{common}\n{i}\n\n{common}\n{draw.choice(WORDS)} end" for i in range(6)]
+    base = [f"w{draw.randrange(400)}" for _ in range(300)]
+    near = []
+    for changed in (0, 3, 6, 9, 12, 15, 30):
+        words = list(base)
+        for at in draw.sample(range(300), changed):
+            words[at] = f"v{at}"
+        near.append(" ".join(words))
+    chain = [" ".join(f"c{i}" for i in range(low, low + 60)) for low in (0, 5, 10, 15, 40)]
+    long = " ".join(draw.choices(WORDS, k=20_000))
+    return [None, "", " \t\n", "...", "one", "One", *made, made[3], made[4].upper(), *lines, *near, *chain, long, None]
+
+
+def rows():
+    """Ids in no order, one row twice, two rows of one text, and columns named like the operators' own."""
+    found = [(i * 37 % 101, t, "r", b"k", 1, "i", 2) for i, t in enumerate(texts())]
+    return [*found, found[9]]

@@ -1,0 +1,98 @@
+"""Min-max hashing against all pairs of whole sets."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from small import SCHEMA, rows
+
+from dispatchflow.llm import minhash
+
+
+def sets_of(found):
+    sets = []
+    for id_, text, *_ in found:
+        words = (text or "").encode().lower().split()
+        sets.append((id_, {b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()))
+    return sets
+
+
+def brute(found, percent=80):
+    sets = sets_of(found)
+    above = {i: i for i, _ in sets}
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            a, b = sorted((top(a), top(b)))
+            above[b] = a
+    return sorted((i, len(s), top(i), i == top(i)) for i, s in sets)
+
+
+def got(frame):
+    assert frame.columns == ["id", "n_shingles", "component_id", "kept"]
+    return sorted(map(tuple, frame.collect()))
+
+
+@pytest.mark.parametrize("block_rows, star", [(2048, 4096), (2, 2)])
+def test_as_all_pairs(spark, block_rows, star):
+    docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    want = brute(rows())
+    assert len({c for _, n, c, _ in want if n}) < sum(1 for _, n, _, _ in want if n) - 3
+    assert got(minhash.near_documents(docs, block_rows=block_rows, star=star)) == want
+
+
+def varied(count, spread, seed=2):
+    """Variants of one text, ``spread`` of its 200 words changed in each: some pairs are similar by 0.8, some are not."""
+    draw = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    found = []
+    for i in range(count):
+        words = list(base)
+        for at in draw.sample(range(200), draw.randint(0, spread)):
+            words[at] = f"x{i}.{at}"
+        found.append((i, " ".join(words)))
+    return found
+
+
+def test_a_group_that_no_star_joins(spark):
+    """Hundreds of variants without a centre: what the smallest of a bucket does not join, the blocks do."""
+    found = [(i + 1000, t) for i, t in varied(150, 12)]
+    docs = spark.createDataFrame(found, "doc_id bigint, text string").repartition(3)
+    want = brute(found)
+    assert 1 < len({c for _, _, c, _ in want}) < 120
+    assert got(minhash.near_documents(docs, block_rows=16)) == want
+
+
+def test_links_of_a_block_join_only_what_is_apart():
+    sets = [np.arange(low, low + 100, dtype=np.uint64) for low in range(0, 40, 2)]
+    made = [{"low": 0, "high": 0, "block": 0, "id": i, "part": i, "set": s.tobytes()} for i, s in enumerate(sets)]
+    assert len(minhash._joining(made, 80)) == len(sets) - 1
+    one = [row | {"part": 7} for row in made]
+    assert minhash._joining(one, 80) == []
+
+
+def test_estimate_is_unbiased_and_signatures_agree_with_sets():
+    draw = np.random.default_rng(5)
+    errors = []
+    for _ in range(60):
+        both = draw.integers(0, 2**64, 400, np.uint64)
+        one, two = np.unique(both[:350]), np.unique(both[50:])
+        errors.append(minhash.similarity(minhash.signature(one), minhash.signature(two)) - 0.75)
+    assert abs(np.mean(errors)) < 0.02
+    whole = minhash.signature(both)
+    assert (whole[0] <= minhash.signature(one)[0]).all() and (whole[1] >= minhash.signature(one)[1]).all()
+
+
+def test_nulls_empty_table_and_null_ids(spark):
+    schema = "doc_id bigint, text string"
+    assert minhash.near_documents(spark.createDataFrame([], schema)).count() == 0
+    docs = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "alone here"), (9, None), (8, "")], schema)
+    found = sorted(map(tuple, minhash.near_documents(docs).collect()), key=str)
+    want = [(3, 2, 3, True), (8, 0, 8, True), (9, 0, 9, True), (None, 1, None, True), (None, 2, 3, False)]
+    assert found == want

@@ -94,8 +94,10 @@ def with_rank(frame: DataFrame, within: list[str], spread: Column, order: list[C
     )
 
 
-def with_hot_keys(rows: DataFrame, table: DataFrame, keys: list[str], holds: str, total: int) -> DataFrame:
-    """``rows`` left joined with ``table``, whose keys are unique and whose column ``holds`` says how many rows have each.
+def with_hot_keys(
+    rows: DataFrame, table: DataFrame, keys: list[str], holds: str, total: int, how: str = "left"
+) -> DataFrame:
+    """``rows`` joined with ``table``, whose keys are unique and whose column ``holds`` says how many rows have each.
 
     Keys that hold a share of HOT_SHARE of the ``total`` go by broadcast, 1 / HOT_SHARE of them at most, so that the
     others, which are shuffled, leave no task with much more than the rest.
@@ -103,7 +105,7 @@ def with_hot_keys(rows: DataFrame, table: DataFrame, keys: list[str], holds: str
     hot = table.where(F.col(holds) >= F.lit(total * HOT_SHARE))
     rest = table.where(F.col(holds) < F.lit(total * HOT_SHARE))
     there = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left")
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
     return there.unionByName(others)
 
 

@@ -35,7 +35,7 @@ PERMUTATIONS = 70
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 1 << 24
 # Members that are compared with their bucket's smallest in one task.
-STAR = 4096
+STAR = 256
 _CHUNK = 4096
 _draw = np.random.Generator(np.random.PCG64(12))
 _XOR = _draw.integers(0, 2**64, PERMUTATIONS, np.uint64)[:, None]
@@ -67,9 +67,9 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
 
 
 def band_keys(values: np.ndarray) -> list[int]:
-    """A 64-bit key for each band of a signature."""
+    """A 64-bit key for each band of a signature, of the band's number and its values."""
     bands = np.ascontiguousarray(values.reshape(-1, BAND))
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(b.tobytes()) for b in bands]), ">i8").tolist()
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(b.tobytes(), i) for i, b in enumerate(bands)]), ">i8").tolist()
 
 
 def signatures(source: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -121,12 +121,11 @@ def near_documents(
         F.count(F.lit(1)).alias("rows"),
     )
     nodes = stored(nodes, "nodes")
-    placed = nodes.where("id is not null").select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    buckets = placed.groupBy("band", "key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
+    placed = nodes.where("id is not null").select("id", "n_shingles", F.explode("bands").alias("key"))
+    buckets = placed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
     buckets = stored(buckets.where("members > 1"), "buckets")
     total = buckets.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    shared = placed.join(buckets.select("band", "key"), ["band", "key"], "left_semi")
-    shared = stored(with_hot_keys(shared, buckets, ["band", "key"], "members", total), "shared")
+    shared = stored(with_hot_keys(placed, buckets, ["key"], "members", total, "inner"), "shared")
     sets = stored(_sets(source, shared.select("id").distinct(), nodes, size), "sets")
 
     stars = shared.where("id <> least").select("least", "id").distinct()
@@ -156,7 +155,8 @@ def _sets(source: DataFrame, wanted: DataFrame, nodes: DataFrame, size: int) ->
             yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "set"])
 
     kind = source.schema["id"].dataType.simpleString()
-    some = in_arrow(source.join(wanted, "id", "left_semi"), run, f"id {kind}, digest binary, set binary")
+    # The ids grow with the texts: they are merged at every size, and never broadcast.
+    some = in_arrow(source.join(wanted.hint("merge"), "id", "left_semi"), run, f"id {kind}, digest binary, set binary")
     return some.join(nodes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
 
 
@@ -197,12 +197,12 @@ def _star_links(stars: DataFrame, sets: DataFrame, percent: int, star: int) -> D
 
 
 def _other_links(shared: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """a, b of links that join parts (node, root) with a bucket (band, key) in common.
+    """a, b of links that join parts (node, root) with a bucket in common.
 
     Rows of a bucket's largest part are not compared with each other, nor any of one part. So the largest part is dealt
     to blocks of its own, which meet only the blocks of other rows; those meet all.
     """
-    keys = ["band", "key"]
+    keys = ["key"]
     kind = sets.schema["id"].dataType.simpleString()
     rooted = shared.join(parts, F.col("id") == F.col("node"), "left")
     rooted = rooted.select(*keys, "id", "n_shingles", F.coalesce("root", "id").alias("part"))

@@ -25,8 +25,7 @@ from .common import in_arrow, plain_text, slices
 # A cut comes where the hash of the last _WINDOW bytes has _CUT_BITS zeros: every 1,024 bytes on average.
 _WINDOW = 32
 _CUT_BITS = 10
-_LONGEST = 1 << 14
-_WORDS = 150_000
+_WORDS = 400_000
 _CHUNK_BYTES = 16 << 20
 _SPACES = b" \t\n\v\f\r"
 _PROBE = "a b\t<x> don't  12,5\nÉté"
@@ -103,13 +102,19 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         if self.by_piece and b"<|" not in word:
+            # ASCII letters, with or without one mark after them, are one or two pieces without any search.
+            if word.isalpha():
+                return self.pieces[word.lower().decode()]
+            if word[-1:] in (b".", b",") and word[:-1].isalpha():
+                return self.pieces[word[:-1].lower().decode()] + self.pieces[word[-1:].decode()]
             text = word.decode("utf-8", "replace")
             if _ORDINARY.fullmatch(text):
                 return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
         return self.encoded(word)
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize("".join(map(_LETTERS.__getitem__, piece.encode())))
+        shown = piece if piece.isascii() else "".join(map(_LETTERS.__getitem__, piece.encode()))
+        tokens = self.tokenizer.model.tokenize(shown)
         return b"".join(t.id.to_bytes(4, "little") for t in tokens)
 
     def plain(self, data: bytes) -> bytes:

@@ -17,6 +17,8 @@ from ..session import work_dir
 RANK_BUCKETS = 1024
 # A key of this share of the rows is hot; 1 / HOT_SHARE keys at most are.
 HOT_SHARE = 0.001
+# Rows of a few columns of fixed size that are broadcast at most; their number is measured first.
+BROADCAST_ROWS = 200_000
 # What is left of a text's bytes for its terms: digits, a-z, A-Z as a-z and all beyond ASCII, else a space.
 _TERM_BYTES = bytes(c + 32 if chr(c).isupper() and c < 128 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -94,6 +96,28 @@ def with_rank(frame: DataFrame, within: list[str], spread: Column, order: list[C
     )
 
 
+def free_name(frame: DataFrame, wanted: str) -> str:
+    """A column name that the frame does not have, in any case of letters."""
+    taken = {name.lower() for name in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows whose keys are not in ``gone``, a stored table; ``keys`` are expressions over rows by its column names.
+
+    Nulls are equal to each other. A table of BROADCAST_ROWS or fewer goes to all tasks, so that whole texts are not
+    shuffled for the sake of the few that go; a larger one is joined by shuffle.
+    """
+    names = {key: free_name(rows, f"__{key}") for key in keys}
+    some = gone.select(*(F.col(key).alias(name) for key, name in names.items()))
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        some = F.broadcast(some)
+    same = reduce(Column.__and__, (keys[key].eqNullSafe(F.col(name)) for key, name in names.items()))
+    return rows.join(some, same, "left_anti")
+
+
 def with_hot_keys(
     rows: DataFrame, table: DataFrame, keys: list[str], holds: str, total: int, how: str = "left"
 ) -> DataFrame:

@@ -7,10 +7,12 @@ where they lie. All other digests are shuffled; none of them has more than that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored, without
 
 # A digest is frequent from this share of the rows; there are 1,000 frequent digests at most.
 SUPPORT = 0.001
@@ -69,22 +71,23 @@ def drop_exact(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of a repeated row one stays.
 
-    Copies of frequent texts are removed map-side, before anything is shuffled.
+    Groups are those of ``exact_groups``, of ids and digests only. Copies of frequent texts are decided map-side. The
+    rows that go are taken out where they lie as long as they are few (see ``without``), so whole texts are not shuffled.
+    An empty table gives no rows.
     """
-    keyed = docs.withColumn("__digest", text_digest(F.col(text_column)))
-    digests = stored(keyed.select(F.col(id_column).alias("id"), F.col("__digest").alias("digest")), "digests")
-    frequent = stored(frequent_digests(digests, support), "frequent")
-    winners = frequent.select(F.col("digest").alias("__frequent"), F.col("keep_id").alias("__winner"))
-    left = keyed.join(F.broadcast(winners), F.col("__digest") == F.col("__frequent"), "left").where(
-        F.col("__frequent").isNull() | F.col(id_column).eqNullSafe(F.col("__winner"))
-    )
-    kept = (
-        _grouped(digests, frequent)
-        .where("kept")
-        .groupBy(F.col("id").alias("__id"), F.col("digest").alias("__kept"))
-        .agg(F.count(F.lit(1)).alias("__copies"))
-    )
-    same = F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
-    found = left.join(kept, same)
-    repeated = found.where("__copies > 1").dropDuplicates(["__id", "__digest"])
-    return found.where("__copies = 1").unionByName(repeated).select(*(docs[c] for c in docs.columns))
+    rows = docs.select(F.col(id_column).alias("id"), text_digest(F.col(text_column)).alias("digest"))
+    digests = stored(rows, "digests")
+    found = _grouped(digests, stored(frequent_digests(digests, support), "frequent"))
+    found = found.groupBy("id", "digest").agg(F.any_value("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    unlike = stored(found.where("not kept or copies > 1"), "unlike")
+    keys = {"id": F.col(id_column), "digest": text_digest(F.col(text_column))}
+    left = without(docs, unlike, keys)
+    repeated = unlike.where("kept")
+    if repeated.isEmpty():
+        return left
+    names = {key: free_name(docs, f"__{key}") for key in keys}
+    again = docs.withColumns({names[key]: value for key, value in keys.items()})
+    copies = repeated.select(*(F.col(key).alias(f"{names[key]}_") for key in keys))
+    same = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names.values()))
+    one = again.join(copies, same, "left_semi").dropDuplicates(list(names.values())).drop(*names.values())
+    return left.unionByName(one)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import in_arrow, plain_text, slices, stored
 
-_LONG_WORD = 6
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _ROWS = 1 << 14
 
 
@@ -38,9 +38,12 @@ class PackingParams:
     b: float = 0.75
 
 
-def _signature(words: list[bytes]) -> int:
-    """The smallest hash of a text's longer words: texts with many words in common often have it in common."""
-    return min((zlib.crc32(w) for w in set(words) if len(w) >= _LONG_WORD), default=-1)
+def _signature(ids: np.ndarray) -> int:
+    """The smallest hash of two ids next to each other: texts with many words in common often have it in common."""
+    if len(ids) < 2:
+        return -1
+    pairs = (ids[:-1].astype(np.uint64) * _ODD[0] + ids[1:]) * _ODD[1]
+    return int((pairs >> np.uint64(16)).min())
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_column: str) -> DataFrame:
@@ -53,10 +56,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text
         for batch in slices(batches):
             signatures, found = [], []
             for text in batch.column("text").to_pylist():
-                data = plain_text(text)
-                words = data.split()
-                ids = np.frombuffer(b"".join(map(own.words.__getitem__, words)), "<u4")
-                signatures.append(_signature(words))
+                ids = np.frombuffer(own.plain(plain_text(text)), "<u4")
+                signatures.append(_signature(ids))
                 found.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(signatures, pa.int64()), pa.array(found, pa.binary())],

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, in_pandas, plain_text, stored
+from .common import in_arrow, in_pandas, plain_text, stored, without
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -244,9 +244,11 @@ def keep_good(
     text_column: str = "text",
     language_column: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text passes all rules, with all their columns."""
+    """The rows of ``docs`` whose text passes all rules, with all their columns.
+
+    Null and empty texts go. Repeated rows stay or go together. An empty table gives no rows.
+    """
     verdicts = judged(docs, rules, id_column, text_column, language_column)
-    good = verdicts.where("kept").select(F.col("id").alias("__id"), F.col("content").alias("__content")).distinct()
+    bad = stored(verdicts.where("not kept").select("id", "content").distinct(), "bad")
     content = F.xxhash64(F.col(text_column), F.col(language_column).cast("string"))
-    same = docs[id_column].eqNullSafe(F.col("__id")) & (content == F.col("__content"))
-    return docs.join(good, same, "left_semi")
+    return without(docs, bad, {"id": F.col(id_column), "content": content})

@@ -1,17 +1,13 @@
-"""SimHash near-duplicates, candidates by pigeonring filtering for 64 bits and by banding for fingerprints of several words.
+"""SimHash near-duplicates, candidates by pigeonring filtering.
 
 A fingerprint is cut into segments that lie on a ring. If two fingerprints differ in at most t of all bits, then
 from some segment on every chain of l consecutive segments differs in at most l * t / m bits. With t < m such a
 chain begins with an equal segment, so fingerprints meet by (segment, its bits), and what does not keep to the
-budget of each longer chain goes before the whole fingerprints are compared. ``links`` does this.
-
-``similar_links``, the pipeline's stage, does not: its budget is wider than its segments are many, and what meets by
-chains within budget is too much (README). There fingerprints meet by a chain of equal bytes, which is banding.
+budget of each longer chain goes before the whole fingerprints are compared.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,29 +16,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, plain_text, stored
+from .common import in_arrow, plain_text, stored, without
 from .graph import components
 
 SHINGLE_WORDS = 5
 SEED = 42
 # A bucket of more fingerprints is not compared pair by pair.
 PAIRWISE = 128
-# The same for fingerprints of several words, whose larger buckets are compared along a tree.
-TREE_FROM = 512
-# Bytes in which fingerprints of several words must agree to meet. Not by the number of rows: what is found would be too.
-CHAIN = 2
-# A bucket of more fingerprints of several words is dealt to blocks, which are compared two by two.
-CROWD = 4096
-# Deviations of the Hamming distance that a pair of the wanted similarity may lie above the mean.
-SLACK = 3.0
-# Spanning forests without common links that are taken from a bucket, so that more than one link is tried at first.
-FORESTS = 3
-# Rows and bytes of text in a block of those that are compared text by text.
-BLOCK_ROWS = 1024
-BLOCK_BYTES = 1 << 22
 _BLOCK = 1 << 15
-_ROWS = 1 << 16
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -53,42 +34,26 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return [b" ".join(part) for part in zip(*(words[i:] for i in range(size)), strict=False)]
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS, words: int = 1, repeats: bool = True) -> bytes:
-    """64 bits for each of ``words``, highest first: a bit is set if it is in over half the shingles' hashes.
-
-    Without ``repeats``, a shingle counts once however often it is there.
-    """
+def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> bytes:
+    """64 bits, highest first: a bit is set if it is in over half the shingles' hashes, repeats included."""
     parts = shingles(text, size)
-    if not repeats:
-        parts = list(dict.fromkeys(parts))
-    ones = np.zeros(64 * words, dtype=np.int64)
+    ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(parts), _BLOCK):
-        block = parts[start : start + _BLOCK]
-        hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(p, SEED) for p in block]), dtype=">u8")
-        for k in range(words):
-            some = hashes
-            if k:
-                some = (hashes.astype(np.uint64) ^ np.uint64(k)) * _ODD
-                some = ((some ^ (some >> np.uint64(31))) * _ODD).astype(">u8")
-            bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1)
-            ones[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.uint32)
+        data = b"".join([xxhash.xxh64_digest(p, SEED) for p in parts[start : start + _BLOCK]])
+        bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint32)
     return np.packbits(2 * ones > len(parts)).tobytes()
 
 
 def fingerprints(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    size: int = SHINGLE_WORDS,
-    words: int = 1,
-    repeats: bool = True,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE_WORDS
 ) -> DataFrame:
-    """id, fingerprint (8 bytes for each of ``words``) of each row. No words, also null: all bits zero."""
+    """id, fingerprint (8 bytes) of each row. No words, also null: all bits zero."""
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(text, size, words, repeats) for text in batch.column("text").to_pylist()]
+            prints = [fingerprint(text, size) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(prints, pa.binary())], names=["id", "fingerprint"]
             )
@@ -195,275 +160,18 @@ def near_components(
     return prints.join(named, F.col("print") == F.col("of")).select("id", "print", "component_id")
 
 
-def most_bits(similarity: float, bits: int, slack: float = SLACK) -> int:
-    """Bits that two shingle sets of this Jaccard similarity differ in: the mean by their angle, and ``slack`` deviations."""
-    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * rate + slack * math.sqrt(bits * rate * (1 - rate)))
-
-
-def similar_links(
-    prints: DataFrame, similarity: float = 0.8, tree_from: int = TREE_FROM, crowd: int = CROWD
-) -> DataFrame:
-    """a, b of distinct fingerprints (fingerprint binary, id) that differ in ``most_bits`` at most: candidates.
-
-    This is banding on a ring cut at every byte, not pigeonring filtering: fingerprints meet by a cut and the chain of
-    bytes from there on, if it has no difference. The chain is as long for any number of rows. A bucket of more than ``crowd`` is
-    dealt to blocks of half as many, and each two blocks meet in a task of their own, so no pair is left out for a
-    bucket's size. With k bytes (``CHAIN``) in a chain, all links of fewer than (bytes / k) bits are found for
-    certain, and others with the chance that one of the chains has no difference. In a bucket, only
-    the difference of whole fingerprints must be within the budget. Of the links in a bucket, forests of least difference are given: a link left out closes a ring of links that differ no more, in
-    each of ``FORESTS`` forests (one in a bucket of more than ``tree_from``). So they join all that are within the
-    budget, but a link left out may be the more similar one: see ``remaining``.
-    """
-    size = prints.agg(F.max(F.octet_length("fingerprint"))).first()[0] or 8
-    most = most_bits(similarity, 8 * size)
-    ring = F.concat("fingerprint", "fingerprint")
-    id_type = prints.schema["id"].dataType.simpleString()
-
-    chain = F.substring(ring, F.col("cut") + 1, F.lit(CHAIN)).alias("chain")
-    cuts = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cut")
-    placed = prints.select("fingerprint", "id", cuts).select("fingerprint", "id", "cut", chain)
-    crowded = placed.groupBy("cut", "chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-    blocks = F.ceil(F.col("n") * 2 / F.lit(crowd)).cast("int").alias("blocks")
-    crowded = stored(crowded.select("cut", "chain", blocks), "crowded")
-    few = placed.join(crowded, ["cut", "chain"], "left_anti").withColumns({"low": F.lit(0), "high": F.lit(0)})
-    many = _with_other_blocks(placed.join(crowded, ["cut", "chain"]), own=False).drop("block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        count, kind = 0, None
-        for batch in batches:
-            kind = batch.schema.field("id").type
-            held.append(pa.Table.from_batches([batch]))
-            count += batch.num_rows
-            if count < _ROWS:
-                continue
-            table = pa.concat_tables(held)
-            bucket = _bucket_numbers(table)
-            end = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-            if end:
-                yield _compared(table.slice(0, end), bucket[:end], most, tree_from, kind)
-            held = [table.slice(end)]
-            count = table.num_rows - end
-        if count:
-            table = pa.concat_tables(held)
-            yield _compared(table, _bucket_numbers(table), most, tree_from, kind)
-
-    keys = ["cut", "chain", "low", "high"]
-    dealt = few.unionByName(many).repartition(*keys).sortWithinPartitions(*keys, "id")
-    return in_arrow(dealt.select(*keys, "id", "fingerprint"), run, f"a {id_type}, b {id_type}").distinct()
-
-
-def _with_other_blocks(frame: DataFrame, own: bool) -> DataFrame:
-    """Each row (id, ``blocks``: of how many) once for each two blocks, low and high, of which it is in one.
-
-    With ``own``, also once for its block alone.
-    """
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    others = every if own else F.array_remove(every, F.col("block"))
-    rows = frame.withColumn("block", block).withColumn("other", F.explode(others))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return rows.drop("other", "blocks")
-
-
-def _bucket_numbers(table: pa.Table) -> np.ndarray:
-    """Numbers of the buckets, or of two blocks of one, in a sorted table."""
-    chain = table.column("chain").to_pylist()
-    new = np.fromiter((a != b for a, b in zip(chain[1:], chain, strict=False)), bool, len(chain) - 1)
-    for name in ("cut", "low", "high"):
-        column = table.column(name).to_numpy()
-        new |= column[1:] != column[:-1]
-    return np.concatenate([[0], np.cumsum(new)])
-
-
-def _compared(table: pa.Table, bucket: np.ndarray, most: int, tree_from: int, kind: pa.DataType) -> pa.RecordBatch:
-    """a, b of the links in whole buckets of a sorted table, as forests of least differences."""
-    ids = table.column("id").to_numpy()
-    data = b"".join(table.column("fingerprint").to_pylist())
-    prints = np.frombuffer(data, np.uint64).reshape(len(ids), -1)
-    sizes = np.bincount(bucket)
-    small = sizes[bucket] <= tree_from
-    found = [np.zeros((3, 0), np.int64)]
-    for apart in range(1, min(int(sizes[sizes <= tree_from].max(initial=0)), len(ids))):
-        at = np.flatnonzero((bucket[apart:] == bucket[:-apart]) & small[apart:])
-        differ = np.zeros(len(at), np.int64)
-        for word in range(prints.shape[1]):  # what is over the whole budget goes early
-            differ += np.bitwise_count(prints[at, word] ^ prints[at + apart, word])
-            stays = differ <= most
-            at, differ = at[stays], differ[stays]
-        found.append(np.stack([differ, at, at + apart]))
-    for number in np.flatnonzero(sizes > tree_from):
-        low, high = np.searchsorted(bucket, [number, number + 1])
-        found.append(_tree(prints[low:high], most) + np.array([[0], [low], [low]]))
-    differ, first, second = np.concatenate(found, axis=1)
-    order = np.argsort(differ, kind="stable")
-    links_ = _forests(bucket[first[order]].tolist(), ids[first[order]].tolist(), ids[second[order]].tolist())
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in links_], names=["a", "b"])
-
-
-def _tree(prints: np.ndarray, most: int) -> np.ndarray:
-    """differ, first, second of the links of at most ``most`` bits in a spanning tree of least differences."""
-    rows = len(prints)
-    least, above = np.full(rows, 1 << 30), np.zeros(rows, np.int64)
-    open_ = np.ones(rows, bool)
-    links_, at = [], 0
-    for _ in range(rows - 1):
-        open_[at] = False
-        differ = np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int64)
-        closer = open_ & (differ < least)
-        least[closer], above[closer] = differ[closer], at
-        at = int(np.where(open_, least, 1 << 31).argmin())
-        if least[at] <= most:
-            links_.append((least[at], above[at], at))
-    return np.array(links_, np.int64).reshape(-1, 3).T
-
-
-def _forests(group: list, first: list, second: list) -> tuple[list, list]:
-    """Of links in order, those that join in their group what the links before them do not, ``FORESTS`` times over."""
-    forests: list[dict] = [{} for _ in range(FORESTS)]
-
-    def top(above, x):
-        while above.setdefault(x, x) != x:
-            above[x] = x = above[above[x]]
-        return x
-
-    a, b = [], []
-    for g, x, y in zip(group, first, second, strict=True):
-        for above in forests:
-            one, two = top(above, (g, x)), top(above, (g, y))
-            if one != two:
-                above[one] = two
-                a.append(min(x, y))
-                b.append(max(x, y))
-                break
-    return a, b
-
-
-def resemblance(a: str | None, b: str | None, size: int = SHINGLE_WORDS) -> float:
-    """Jaccard similarity of the shingle sets of two texts; 1 for two texts without words."""
-    one, two = set(shingles(a, size)), set(shingles(b, size))
-    return len(one & two) / len(one | two) if one or two else 1.0
-
-
-def verified(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """a, b of the candidates whose whole texts (id, text) have the similarity."""
-    of = {side: texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text")) for side in "ab"}
-    pairs = candidates.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_text", "b_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)
-            near = pa.array([resemblance(a, b, size) >= similarity for a, b in both], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
-
-    kind = candidates.schema["a"].dataType.simpleString()
-    return in_arrow(pairs, run, f"a {kind}, b {kind}")
-
-
-def remaining(
-    candidates: DataFrame, parts: DataFrame, texts: DataFrame, size: int, similarity: float, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """a, b of the links of the similarity that ``parts`` (node, root), joined by verified candidates, leave out.
-
-    The candidates join all that are within the budget in a bucket. What they join but verified ones leave apart is
-    compared text by text, every two documents of different parts, in blocks; a task gives a link only if it joins
-    two parts not yet joined in it.
-    """
-    kind = candidates.schema["a"].dataType.simpleString()
-    group = components(candidates, "near").select(F.col("node").alias("id"), F.col("root").alias("near"))
-    rows = group.join(parts, F.col("id") == F.col("node"), "left").select("id", "near", F.coalesce("root", "id").alias("part"))
-    rows = stored(rows.join(texts, "id"), "grouped")
-    groups = rows.groupBy("near").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length("text")).alias("bytes"),
-        F.min("part").alias("first"),
-        F.max("part").alias("last"),
-    )
-    blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
-    groups = groups.where("n > 2 and first <> last")  # of two, the one pair was a candidate
-    rows = rows.join(groups.select("near", blocks.alias("blocks")), "near")
-    keys = ["near", "low", "high"]
-    dealt = _with_other_blocks(rows, own=True).repartition(*keys).sortWithinPartitions(*keys, "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        schema = None
-        for batch in batches:
-            type_ = batch.schema.field("id").type
-            schema = pa.schema([("a", type_), ("b", type_)])
-            for row in batch.to_pylist():
-                if held and any(row[k] != held[0][k] for k in keys):
-                    yield pa.RecordBatch.from_pylist(_joining(held, size, similarity), schema)
-                    held = []
-                held.append(row)
-        if held:
-            yield pa.RecordBatch.from_pylist(_joining(held, size, similarity), schema)
-
-    return in_arrow(dealt.select(*keys, "block", "id", "part", "text"), run, f"a {kind}, b {kind}").distinct()
-
-
-def _joining(rows: list[dict], size: int, similarity: float) -> list[dict]:
-    """Links a, b of the similarity that join parts: of every two rows of one block, or of two from block to block."""
-    number: dict[bytes, int] = {}
-    sets = [
-        np.array([number.setdefault(s, len(number)) for s in set(shingles(row["text"], size))], np.int64) for row in rows
-    ]
-    sizes = np.array([len(s) for s in sets])
-    names: dict = {}
-    part = np.array([names.setdefault(row["part"], len(names)) for row in rows])
-    block = np.array([row["block"] for row in rows])
-    two = rows[0]["low"] != rows[0]["high"]
-    partner = block == rows[0]["high"]
-    has = np.zeros(len(number), bool)
-    found = []
-    for at in np.flatnonzero(block == rows[0]["low"]):
-        if not two:
-            partner[at] = False
-        few, many = np.minimum(sizes, sizes[at]), np.maximum(sizes, sizes[at])
-        others = np.flatnonzero(partner & (part != part[at]) & (few > 0) & (few >= similarity * many - 1e-6))
-        if not len(others):
-            continue
-        has[sets[at]] = True
-        starts = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
-        common = np.add.reduceat(has[np.concatenate([sets[o] for o in others])], starts, dtype=np.int64)
-        has[sets[at]] = False
-        for other in others[common / (sizes[at] + sizes[others] - common) >= similarity]:
-            if part[other] != part[at]:
-                part[part == part[other]] = part[at]
-                a, b = sorted((rows[at]["id"], rows[other]["id"]))
-                found.append({"a": a, "b": b})
-    return found
-
-
 def drop_near(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     size: int = SHINGLE_WORDS,
-    similarity: float = 0.8,
-    words: int = 6,
+    most: int = 2,
+    segments: int = 3,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of documents joined by links, the one of smallest id.
+    """The rows of ``docs`` that stay, with all their columns: of each component, those of the smallest id.
 
-    A link is a candidate by fingerprint, or two texts joined by candidates, whose shingle sets have the Jaccard
-    similarity. Texts without words are copies of each other. Rows with a null id stay. Rows of one id stay or go
-    together.
+    Rows with a null id stay. Rows of one id stay or go together. Texts without words, null ones too, share a
+    fingerprint and are one component. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, id_column, text_column, size, words, repeats=False), "prints")
-    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("id")).where("id is not null")
-    nodes = stored(nodes, "nodes")
-    candidates = stored(similar_links(nodes, similarity), "candidates")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ends, "id", "left_semi")
-    sure = stored(verified(candidates, texts, size, similarity), "verified")
-    roots = components(sure, "similar")
-    more = stored(remaining(candidates, roots, texts, size, similarity), "remaining")
-    if not more.isEmpty():
-        roots = components(sure.unionByName(more), "similar")
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("fingerprint").alias("of"), F.coalesce("root", "id").alias("stays")
-    )
-    gone = prints.join(named, F.col("fingerprint") == F.col("of")).where("id <> stays")
-    gone = gone.select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("__id"), "left_anti")
+    found = stored(near_components(docs, id_column, text_column, size, most, segments), "near")
+    return without(docs, found.where("id <> component_id").select("id").distinct(), {"id": F.col(id_column)})

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, plain_text, stored
+from .common import free_name, in_arrow, plain_text, stored
 
 LENGTH = 100
 GRAM = 24
@@ -422,7 +422,7 @@ def cut_repeats(
     copy and stays whole. An empty table gives no rows. Other columns are not read.
     """
     joined = _with_places(docs.select(id_column, text_column), id_column, text_column, length, gram, sorted_spans)
-    source = joined.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col("__places"))
+    source = joined.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), joined.columns[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -468,25 +468,26 @@ def drop_repeats(
             yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(joined.select(*docs.columns, "__places"), run, shape)
+    return in_arrow(joined, run, shape)
 
 
 def _with_places(
     docs: DataFrame, id_column: str, text_column: str, length: int, gram: int, sorted_spans: int
 ) -> DataFrame:
-    """The rows with ``__places``: repeated strings of each, null if there are none."""
+    """The rows and, last, the places of each row's repeated strings, null if there are none."""
     if not gram < length <= 255:
         raise ValueError("a string has at most 255 bytes and is longer than a gram")
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = repeats(source.where("id is not null"), length, gram, sorted_spans)
-    gone = found.groupBy(F.col("id").alias("__id")).agg(F.collect_list("place").alias("__places"))
-    return docs.join(gone, docs[id_column] == F.col("__id"), "left").drop("__id")
+    own, places = free_name(docs, "__id"), free_name(docs, "__places")
+    gone = found.groupBy(F.col("id").alias(own)).agg(F.collect_list("place").alias(places))
+    return docs.join(gone, F.col(id_column) == F.col(own), "left").select(*docs.columns, places)
 
 
 def _with_runs(
     batch: pa.RecordBatch, text_column: str, length: int, null: bool = False
 ) -> Iterator[tuple[bytes | None, list[tuple[int, int]]]]:
-    places = batch.column("__places")
+    places = batch.column(batch.num_columns - 1)
     for row, text in enumerate(batch.column(text_column).to_pylist()):
         own = _runs(places[row].values.to_numpy(), length) if places[row].is_valid else []
         yield (None if null and text is None else plain_text(text)), own

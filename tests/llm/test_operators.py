@@ -133,125 +133,43 @@ def test_links_join_all_within_two_bits(spark, pairwise):
     assert {i: roots.get(i, i) for i in prints} == _classes(prints)
 
 
-def test_near_documents_leave_one(spark, docs):
-    draw = random.Random(4)
-    words = [f"w{draw.randrange(5000)}" for _ in range(300)]
-    copies = []
-    for i in range(8):
-        own = list(words)
-        own[draw.randrange(300)] = "changed"
-        copies.append((1000 + i, " ".join(own), "en", "d", 1, "k"))
-    others = [(2000 + i, " ".join(f"w{draw.randrange(5000)}" for _ in range(300)), "en", "d", 1, "k") for i in range(8)]
-    kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(copies + others, SCHEMA)).collect()}
-    assert kept == {1000, *(o[0] for o in others)}
-
-
-def test_near_documents_as_by_all_pairs(spark):
-    draw = random.Random(11)
-    words = {}
-    for group in range(6):
-        base = [f"g{group}w{draw.randrange(4000)}" for _ in range(250)]
-        for _ in range(60):
-            own = list(base)
-            for at in draw.sample(range(250), draw.randint(0, 12)):
-                own[at] = f"x{draw.randrange(10**6)}"
-            words[len(words)] = own
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
-    near = ((i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    should = set(_joined(len(sets), near))
-    rows = spark.createDataFrame([(i, " ".join(w), "en", "d", 1, "k") for i, w in words.items()], SCHEMA)
-    kept = {r.doc_id for r in simhash.drop_near(rows).collect()}
-    assert should <= kept  # a text goes only for one that is as similar as asked
-    assert len(kept - should) <= 0.02 * len(sets)
-
-
-def test_tree_of_a_large_bucket_joins_as_all_pairs_do():
-    draw = np.random.default_rng(5)
-    prints = draw.integers(0, 1 << 63, (6, 3), dtype=np.uint64).repeat(50, axis=0)
-    for row in prints:
-        for bit in draw.integers(0, 192, 12):
-            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    table = pa.table(
-        {"cut": [0] * 300, "chain": [b""] * 300, "id": range(300), "fingerprint": [p.tobytes() for p in prints]}
-    )
-    bucket = np.zeros(300, int)
-    joined = []
-    for tree_from, forests in ((1, 1), (1000, simhash.FORESTS)):
-        links = simhash._compared(table, bucket, 16, tree_from, pa.int64()).to_pydict()
-        joined.append(_joined(300, zip(links["a"], links["b"], strict=True)))
-        assert 300 - len(set(joined[-1])) <= len(links["a"]) <= forests * (300 - len(set(joined[-1])))
-    every = ((i, j) for i in range(300) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 16)
-    assert joined[0] == joined[1] == _joined(300, every)
-
-
-def _pairs_of_one_chain(count):
-    """Fingerprints of 48 bytes with equal first two: 2 i and 2 i + 1 differ by a bit in each other byte."""
-    draw = random.Random(9)
-    for _ in range(count):
-        one = b"ab" + draw.randbytes(46)
-        yield from (one, b"ab" + bytes(x ^ 1 << draw.randrange(8) for x in one[2:]))
-
-
-def test_links_of_a_crowded_bucket_are_all_found(spark):
-    prints = spark.createDataFrame([(p, i) for i, p in enumerate(_pairs_of_one_chain(50))], "fingerprint binary, id int")
-    links = {(r.a, r.b) for r in simhash.similar_links(prints, crowd=16).collect()}
-    assert links == {(i, i + 1) for i in range(0, 100, 2)}
-
-
-def test_links_do_not_depend_on_the_number_of_rows(spark):
-    prints = spark.createDataFrame([(p, i) for i, p in enumerate(_pairs_of_one_chain(3))], "fingerprint binary, id int")
-
-    class Many:
-        """The table as if it had 2^27 rows."""
-
-        def __getattr__(self, name):
-            return getattr(prints, name)
-
-        def agg(self, *columns):
-            return prints.agg(F.lit(1 << 27), columns[1]) if len(columns) > 1 else prints.agg(*columns)
-
-    links = [{(r.a, r.b) for r in simhash.similar_links(table).collect()} for table in (prints, Many())]
-    assert links == [{(0, 1), (2, 3), (4, 5)}] * 2
-
-
-def test_similar_texts_farther_apart_than_others(spark, monkeypatch):
-    """Two texts right at 0.9 whose fingerprints differ more than from those of ten other texts between them."""
-    prints = [bytearray(bytes(range(48))) for _ in range(12)]
-    for i, one in enumerate(prints[:10]):
-        one[8 + i] ^= 1
-    for one, first in ((prints[10], 20), (prints[11], 30)):
-        for at in range(10):
-            one[first + at] ^= 3
-    words = [f"w{i}" for i in range(300)]
-    texts = [" ".join(f"{i}x{k}" for k in range(290)) for i in range(10)] + [" ".join(words), " ".join(words[:285])]
-    rows = spark.createDataFrame([(i, t, "en", "d", 1, "k") for i, t in enumerate(texts)], SCHEMA)
-    made = spark.createDataFrame([(i, bytes(p)) for i, p in enumerate(prints)], "id bigint, fingerprint binary")
-    monkeypatch.setattr(simhash, "fingerprints", lambda *_, **__: made)
-    for block_rows in (1024, 3):
-        monkeypatch.setattr(simhash.remaining, "__defaults__", (block_rows,))
-        assert {r.doc_id for r in simhash.drop_near(rows).collect()} == set(range(11))
-
-
-def test_joining_as_by_all_pairs():
-    draw = random.Random(6)
-    base = [f"w{i}" for i in range(100)]
-    texts = ["", *(" ".join(w if draw.random() < 0.99 else "x" for w in base[draw.randrange(4) :]) for _ in range(80))]
-    rows = [{"id": i, "part": i, "text": t, "block": i % 3, "low": 0, "high": 0} for i, t in enumerate(texts)]
-    every = [(i, j) for i in range(81) for j in range(i) if simhash.resemblance(texts[i], texts[j]) >= 0.8]
-    found = []
-    for low, high in itertools.combinations_with_replacement(range(3), 2):
-        some = [r | {"low": low, "high": high} for r in rows if r["block"] in (low, high)]
-        found += [(link["a"], link["b"]) for link in simhash._joining(some, 5, 0.8)]
-    assert all(simhash.resemblance(texts[a], texts[b]) >= 0.8 for a, b in found) and len(found) < len(every)
-    assert _joined(81, found) == _joined(81, every)
-
-
-def _joined(count, links):
-    of = list(range(count))
-    for a, b in links:
-        low, high = sorted((of[a], of[b]))
-        of = [low if x == high else x for x in of]
-    return of
+def test_near_documents_leave_one(spark, docs, none, rows):
+    """Of each class of the brute-force links the smallest id stays; null ids stay, rows of one id go together."""
+    prints = {}
+    for identifier, text, *_ in rows:
+        prints[identifier] = _print(text, 3)
+    want = sorted(i for i, top in _classes(prints).items() if i == top)
+    kept = simhash.drop_near(docs, size=3)
+    assert kept.columns == docs.columns
+    assert len(want) < len(prints)
+    assert sorted({r.doc_id for r in kept.collect()}) == want
+    assert kept.where("doc_id = 49").count() == sum(r[0] == 49 for r in rows) * (49 in want)
+    assert simhash.drop_near(none).count() == 0
+    without_id = [(None, "some words of no one", "en", "d", 1, "k"), (5, "some words of no one", "en", "d", 1, "k")]
+    found = simhash.drop_near(spark.createDataFrame([*without_id, (7, "some words of no one", "en", "d", 1, "k")], SCHEMA))
+    assert sorted((r.doc_id is None, r.doc_id) for r in found.collect()) == [(False, 5), (True, None)]
+
+
+# Columns that are called as the operators call theirs.
+CLASHING = "doc_id bigint, text string, lang string, id bigint, __id bigint, __ID_ int, __digest string, __kept int, digest binary, __content bigint, __places string, content int, kept int, n_words int, row int, place int"
+
+
+@pytest.mark.parametrize(
+    "stage", [exact.drop_exact, quality.keep_good, simhash.drop_near, suffix.drop_repeats], ids=lambda f: f.__name__
+)
+def test_columns_that_clash(spark, stage):
+    """Stages of the pipeline keep all columns whatever they are called, and their decisions are the same."""
+    words = [f"word{i} of the line" for i in range(60)]
+    texts = [" ".join(words[:40]), " ".join(words[:40]), " ".join(words[10:50]), None, "", " ".join(words[:40])]
+    more = (3, 4, 5, "d", 6, b"x", 7, "p", 8, 9, 10, 11, 12)
+    made = [(i, t, "en", *more) for i, t in zip([1, 2, 3, 4, 5, 2], texts, strict=True)]
+    rows = spark.createDataFrame(made, CLASHING)
+    found = stage(rows)
+    assert found.columns == rows.columns
+    plain = stage(rows.select("doc_id", "text", "lang"))
+    assert sorted(map(str, found.select("doc_id", "text", "lang").collect())) == sorted(map(str, plain.collect()))
+    assert all(tuple(r)[3:] == tuple(bytearray(x) if isinstance(x, bytes) else x for x in more) for r in found.collect())
+    assert stage(rows.limit(0)).count() == 0
 
 
 def _repeat_words(words):

@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: quality rules, three kinds of deduplication, packing.
 
-Each stage takes what its predecessor kept and returns the columns of documents; the last returns pieces.
+Each stage takes what its predecessor kept and returns the columns of documents; the last returns pieces. Null and
+empty texts go with the quality rules; a table that is empty, or of which nothing is kept, goes through all stages and
+gives no pieces. Rows with a null id are never copies of others and stay. Columns beyond those of documents are kept,
+whatever they are called, up to the last stage.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts with five-word shingles similar by 0.8 or more, the one of smallest id."""
-    return simhash.drop_near(docs, size=5, similarity=0.8)
+    """Of texts joined by fingerprints of three-word shingles that differ in 2 bits or fewer, the one of smallest id."""
+    return simhash.drop_near(docs, size=3, most=2)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Hash fingerprints, sampled anchors and windows filled by score are nothing that SQL can express.
+# Windows filled by score and a hash that DuckDB does not have are nothing that SQL can express.
 ORACLE_SQL = None
 
 

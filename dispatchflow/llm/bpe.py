@@ -25,7 +25,7 @@ from .common import in_arrow, plain_text, slices
 # A cut comes where the hash of the last _WINDOW bytes has _CUT_BITS zeros: every 1,024 bytes on average.
 _WINDOW = 32
 _CUT_BITS = 10
-_WORDS = 400_000
+_WORDS, _PIECES_KEPT = 300_000, 20_000
 _CHUNK_BYTES = 16 << 20
 _SPACES = b" \t\n\v\f\r"
 _PROBE = "a b\t<x> don't  12,5\nÉté"
@@ -42,16 +42,16 @@ _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-ö
 class Memory(dict):
     """Values by key, made where missing. Keeps what was used lately, in two generations of bounded size."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= 128:
-            if len(self) >= _WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -87,8 +87,8 @@ class Encoder:
             and not splits[1].get("use_regex")
             and all("<|" in t["content"] for t in said["added_tokens"])
         )
-        self.words = Memory(self._word)
-        self.pieces = Memory(self._piece)
+        self.words = Memory(self._word, _WORDS)
+        self.pieces = Memory(self._piece, _PIECES_KEPT)
         self.chunks: dict[bytes, tuple] = {}
         self.kept = 0
         self.encoded_chunks = self.reused_chunks = 0

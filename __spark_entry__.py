@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import sys
+import time
 from collections.abc import Callable
+from contextlib import suppress
+from dataclasses import replace
 from pathlib import Path
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,8 @@ from dispatchflow.sources import (
     json_array_records,
     json_line_records,
     radio_codes,
+    split_array_records,
+    split_typed_records,
     spread,
     topic_batch,
     topic_stream,
@@ -47,15 +53,19 @@ from dispatchflow.sources.tables import (
     events_table,
     nation_codes,
     nations_table,
+    write_json_array,
     write_json_arrays,
     write_json_lines,
 )
 from dispatchflow.streaming import (
     ProgressLog,
+    open_windows,
     read_output,
+    read_together,
     start_counts,
     start_counts_and_enriched,
     start_files,
+    stop_between_batches,
 )
 from dispatchflow.streaming.run import COUNTS_QUERY, start_text
 
@@ -63,6 +73,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # The calls' times are whole minutes, so counting by the minute gives the same.
 BY_MINUTE = CountSpec(resolution="minute")
+WIDE = CountSpec(window="60 minutes")
+# Bytes of the blocks that one large array is read in, so that small tables have several too.
+ARRAY_BLOCK = 1 << 16
 RECORDS_PER_ARRAY = 20_000
 CODES_PER_ARRAY = 1_000
 LIMITED_BATCHES = 5
@@ -131,6 +144,15 @@ def _enriched_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(enriched_plan(_envelope(spark, sf_dir), nation_codes(spark, sf_dir), BY_MINUTE))
 
 
+def _wide_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of an hour every five minutes, from panes."""
+    return _shown(counts_plan(_envelope(spark, sf_dir), WIDE))
+
+
+def _wide_window_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(counts_plan(_envelope(spark, sf_dir), replace(WIDE, resolution="minute")))
+
+
 def _text_time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by the minute where times are text with seconds, and calls of a full hour have none."""
     records = drop_null_keys(parse_payload(_envelope(spark, sf_dir)))
@@ -179,6 +201,21 @@ def _publish_typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, typed_array_records(spark, _array_files(spark, sf_dir), CALL_RECORD))
 
 
+def _large_array(spark: SparkSession, sf_dir: str) -> str:
+    path = work_dir(spark, "array")
+    write_json_array(as_calls(events_table(spark, sf_dir)), path)
+    return path
+
+
+def _publish_large_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls from one array in one file, read in blocks."""
+    return _published(spark, split_array_records(spark, _large_array(spark, sf_dir), ARRAY_BLOCK))
+
+
+def _publish_large_typed_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, split_typed_records(spark, _large_array(spark, sf_dir), CALL_RECORD, ARRAY_BLOCK))
+
+
 def _publish_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "lines")
     write_json_lines(as_calls(events_table(spark, sf_dir)), path)
@@ -265,6 +302,104 @@ def _stream_counts_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_counts(spark, sf_dir, BY_MINUTE)
 
 
+def _stream_counts_one_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of exact times with one state operator, the parts of a window added up where its batch is written."""
+    folder = work_dir(spark, "parts")
+    counts = counts_plan(_messages_in_slices(spark, sf_dir, folder), parts=True)
+    _finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
+    return _shown(read_output(spark, f"{folder}/out"))
+
+
+def _stream_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that the stream of counts has not closed at the end, read from its state."""
+    folder = work_dir(spark, "open")
+    counts = counts_plan(_messages_in_slices(spark, sf_dir, folder))
+    _finish(start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger=None))
+    return _shown(open_windows(spark, f"{folder}/checkpoint"))
+
+
+def _stream_two_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outputs of a query that failed between its two writes and was run again, read together.
+
+    ``same_after_failure``: after the failure a reader saw as many windows in both, though the first held more.
+    """
+    folder = work_dir(spark, "two")
+    counts_folder, enriched_folder = f"{folder}/counts", f"{folder}/enriched"
+    messages = _messages_in_slices(spark, sf_dir, folder)
+    calls = []
+
+    def failing(session: SparkSession) -> DataFrame:
+        calls.append(1)
+        if len(calls) == SLICES // 2:
+            raise ConnectionError("the code table is out of reach")
+        return nation_codes(session, sf_dir)
+
+    def run(codes: Callable[[SparkSession], DataFrame]) -> StreamingQuery:
+        return start_counts_and_enriched(
+            counts_plan(messages, parts=True), codes, counts_folder, enriched_folder, f"{folder}/checkpoint", trigger=None
+        )
+
+    with suppress(StreamingQueryException):
+        _finish(run(failing))
+    counts, enriched = (frame.count() for frame in read_together(spark, counts_folder, enriched_folder))
+    written = spark.read.parquet(counts_folder).count()
+    _finish(run(lambda session: nation_codes(session, sf_dir)))
+    counted, described = read_together(spark, counts_folder, enriched_folder)
+    both = described.join(counted, counted.columns, "left_semi")
+    return _shown(both).withColumn("same_after_failure", F.lit(counts == enriched and written > counts))
+
+
+def _joined_stream(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    folder = work_dir(spark, how)
+    query = start_counts_and_enriched(
+        counts_plan(_messages_in_slices(spark, sf_dir, folder), parts=True),
+        lambda session: nation_codes(session, sf_dir),
+        f"{folder}/counts",
+        f"{folder}/joined",
+        f"{folder}/checkpoint",
+        trigger=None,
+        how=how,
+    )
+    _finish(query)
+    return _shown(read_output(spark, f"{folder}/joined"))
+
+
+def _stream_known_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of known codes, with descriptions."""
+    return _joined_stream(spark, sf_dir, "inner")
+
+
+def _stream_unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of codes that the code table does not have."""
+    return _joined_stream(spark, sf_dir, "left_anti")
+
+
+def _stream_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with a processing-time trigger, stopped while messages are left, started again and run to their end.
+
+    ``went_on``: the first run ended before the last slice, and the second began where it ended.
+    """
+    folder = work_dir(spark, "stopped")
+    messages = _messages_in_slices(spark, sf_dir, folder)
+
+    def start() -> StreamingQuery:
+        counts = counts_plan(messages, parts=True)
+        return start_counts(counts, f"{folder}/out", f"{folder}/checkpoint", trigger="1 second")
+
+    first = start()
+    until = time.monotonic() + STREAM_SECONDS
+    while first.isActive and not first.recentProgress and time.monotonic() < until:
+        time.sleep(0.05)
+    stop_between_batches(first)
+    done = [p.batchId for p in first.recentProgress if p.numInputRows]
+    second = start()
+    second.processAllAvailable()
+    stop_between_batches(second)
+    rest = [p.batchId for p in second.recentProgress if p.numInputRows]
+    went_on = len(done) < SLICES and rest[:1] == [done[-1] + 1] and len(done) + len(rest) == SLICES
+    return _shown(read_output(spark, f"{folder}/out")).withColumn("went_on", F.lit(went_on))
+
+
 def _stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct calls as a stream of its own. Slices are in the order of time, so that no row is late."""
     folder = work_dir(spark, "distinct")
@@ -361,16 +496,26 @@ _QUERIES: dict[str, Query] = {
     "window_counts": _window_counts,
     "enriched_counts": _enriched_counts,
     "enriched_counts_by_minute": _enriched_counts_by_minute,
+    "wide_window_counts": _wide_window_counts,
+    "wide_window_counts_by_minute": _wide_window_counts_by_minute,
     "text_time_counts": _text_time_counts,
     "topic_tap": _topic_tap,
     "dim_scan": _dim_scan,
     "publish_records": _publish_records,
     "publish_typed_records": _publish_typed_records,
+    "publish_large_array": _publish_large_array,
+    "publish_large_typed_array": _publish_large_typed_array,
     "publish_json_lines": _publish_json_lines,
     "topic_scan": _topic_scan,
     "rate_limited_batches": _rate_limited_batches,
     "stream_window_counts": _stream_window_counts,
     "stream_window_counts_by_minute": _stream_counts_by_minute,
+    "stream_counts_one_state": _stream_counts_one_state,
+    "stream_open_windows": _stream_open_windows,
+    "stream_two_outputs": _stream_two_outputs,
+    "stream_known_codes": _stream_known_codes,
+    "stream_unknown_codes": _stream_unknown_codes,
+    "stream_stopped": _stream_stopped,
     "stream_distinct_events": _stream_distinct_events,
     "stream_enriched_counts": _stream_enriched_counts,
     "stream_late_rows": _stream_late_rows,
@@ -483,6 +628,7 @@ counts as (
 )"""
 )
 
+_WIDE_COUNTS = _COUNTS.replace("range(0, 2)", "range(0, 12)").replace("interval 10 minutes as", "interval 60 minutes as")
 _CLOSED = "window_end <= (select max(call_date_time_ts) from happened) - interval 10 minutes"
 _WITH_NAMES = (
     "select counts.*, n_name as description from counts "
@@ -519,6 +665,17 @@ def oracle_sql() -> dict[str, str]:
         "stream_window_counts": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "stream_window_counts_by_minute": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "stream_enriched_counts": f"with {_COUNTS} {_WITH_NAMES} where {_CLOSED}",
+        "stream_counts_one_state": f"with {_COUNTS} select * from counts where {_CLOSED}",
+        "stream_open_windows": f"with {_COUNTS} select * from counts where not ({_CLOSED})",
+        "stream_two_outputs": f"with {_COUNTS} {_WITH_NAMES.replace('n_name as', 'true as same_after_failure, n_name as')} where {_CLOSED}",
+        "stream_known_codes": f"with {_COUNTS} {_WITH_NAMES} where {_CLOSED} and n_name is not null",
+        "stream_unknown_codes": f"with {_COUNTS} select * from counts where {_CLOSED} "
+        "and disposition not in (select cast(n_nationkey as varchar) from nation)",
+        "stream_stopped": f"with {_COUNTS} select *, true as went_on from counts where {_CLOSED}",
+        "wide_window_counts": f"with {_WIDE_COUNTS} select * from counts",
+        "wide_window_counts_by_minute": f"with {_WIDE_COUNTS} select * from counts",
+        "publish_large_array": all_calls,
+        "publish_large_typed_array": all_calls,
         "stream_restart": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "publish_twice": "select 2 * count(*) as messages, 2 * count(*) as places from events",
         "progress_table": f"with {_DISTINCT} select '{COUNTS_QUERY}' as query, "

@@ -145,10 +145,10 @@ def _start_stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -
         spark, topic, args.starting, args.max_per_trigger, args.min_partitions, args.max_files, args.max_bytes
     )
     if args.output and args.plain:
-        return start_counts(counts_plan(messages, spec), f"{args.output}/counts", args.checkpoint, trigger=trigger)
+        return start_counts(counts_plan(messages, spec, parts=True), f"{args.output}/counts", args.checkpoint, trigger=trigger)
     if args.output:
         return start_counts_and_enriched(
-            counts_plan(messages, spec),
+            counts_plan(messages, spec, parts=True),
             lambda session: _codes(session, args.codes, spec),
             f"{args.output}/counts",
             f"{args.output}/enriched",
@@ -159,7 +159,7 @@ def _start_stream(spark: SparkSession, topic: Topic, args: argparse.Namespace) -
     if args.plain:
         return start_console(flatten_window(counts_plan(messages, spec)), COUNTS_QUERY, args.checkpoint, trigger)
     return start_printed_counts(
-        counts_plan(messages, spec),
+        counts_plan(messages, spec, parts=True),
         lambda session: _codes(session, args.codes, spec),
         args.checkpoint,
         spec,

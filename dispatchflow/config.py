@@ -67,6 +67,16 @@ class CountSpec:
         """Seconds between two neighbouring times, where a resolution is given."""
         return _UNIT_SECONDS[self.resolution] if self.resolution else None
 
+    @property
+    def slide_seconds(self) -> float:
+        return interval_seconds(self.slide)
+
+    @property
+    def panes(self) -> int | None:
+        """How many slides make up a window, where they do so without a rest."""
+        micros, slide = (round(interval_seconds(text) * 1_000_000) for text in (self.window, self.slide))
+        return micros // slide if micros % slide == 0 else None
+
     @property
     def slots(self) -> int | None:
         """How many different times a window can hold, where a resolution is given."""

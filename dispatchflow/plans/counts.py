@@ -14,10 +14,10 @@ from dispatchflow.operators import (
 )
 
 
-def counts_plan(envelope: DataFrame, spec: CountSpec = CALLS) -> DataFrame:
-    """Messages to sliding counts of distinct events."""
+def counts_plan(envelope: DataFrame, spec: CountSpec = CALLS, parts: bool = False) -> DataFrame:
+    """Messages to sliding counts of distinct events; ``parts`` as in ``window_counts``, for the sinks of ``streaming``."""
     records = drop_null_keys(parse_payload(envelope, spec.payload_columns), spec)
-    return window_counts(call_events(records, spec), spec)
+    return window_counts(call_events(records, spec), spec, parts)
 
 
 def enriched_plan(envelope: DataFrame, codes: DataFrame, spec: CountSpec = CALLS) -> DataFrame:

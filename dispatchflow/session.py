@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -61,6 +63,17 @@ def streaming_session(spark: SparkSession, partitions: int | None = None) -> Spa
     return child
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers of all executors, once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_package_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._package_shipped = True
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder, under ``spark.checkpoint.dir``, that every executor can reach.
 

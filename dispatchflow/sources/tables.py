@@ -64,17 +64,6 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, be it one file or a folder (a glob pattern allows either).
-
-    A table of fewer files than there are cores is spread over the cores.
-    """
-    table = events_table(spark, sf_dir)
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
-    cores = spark.sparkContext.defaultParallelism
-    return stream.repartition(cores) if table.rdd.getNumPartitions() < cores else stream
-
-
 def nations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations under the field names of a code file."""
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
@@ -102,6 +91,15 @@ def write_json_arrays(records: DataFrame, path: str, per_file: int) -> None:
     )
 
 
+def write_json_array(records: DataFrame, path: str) -> None:
+    """All records as one array in one file, written by one task that holds a record at a time."""
+    text = record_json(F.struct(*records.columns))
+    comma = F.when(F.monotonically_increasing_id() > 0, ",").otherwise("[")
+    lines = records.coalesce(1).select(F.concat(comma, text).alias("value"))
+    end = records.sparkSession.sql("select ']' as value")
+    lines.unionByName(end).coalesce(1).write.text(path)
+
+
 def write_json_lines(records: DataFrame, path: str) -> None:
     """Records as JSON lines."""
     records.select(record_json(F.struct(*records.columns)).alias("value")).write.text(path)

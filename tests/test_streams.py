@@ -10,7 +10,7 @@ from dispatchflow.operators import distinct_events, enrich, parse_payload, tap_l
 from dispatchflow.operators.events import call_events, drop_null_keys
 from dispatchflow.plans import counts_plan, enriched_plan
 from dispatchflow.schemas import schema
-from dispatchflow.streaming.run import _store
+from dispatchflow.streaming.commits import CommitLog, Commits
 from dispatchflow.session import state_partitions, streaming_session, work_dir
 from dispatchflow.sources import Topic, topic_batch, topic_stream
 from dispatchflow.streaming import (
@@ -222,10 +222,15 @@ def test_batch_written_again_replaces_itself_and_no_other_run(spark, topic, fold
         # A new checkpoint begins with batch 0 again: its rows come beside those of the first.
         finish(start_files(stream, f"{folder}/out", attempt, f"{folder}/{attempt}", trigger=None))
     assert read_output(spark, f"{folder}/out").count() == 8
+    commits = Commits(CommitLog.of(f"{folder}/out"), f"{folder}/first")
+    assert not commits.open(spark, commits.last)  # a batch that is committed is not written again
+    assert commits.last >= 0
     batch = topic_batch(spark, topic)
-    for _ in range(2):  # the same batch of the same run
-        _store(batch, f"{folder}/out", f"{folder}/first", 0)
-    assert read_output(spark, f"{folder}/out").count() == 8
+    for _ in range(2):  # a batch that is tried twice, and then committed
+        batch.write.mode("overwrite").parquet(commits.place(f"{folder}/out", commits.last + 1))
+        assert read_output(spark, f"{folder}/out").count() == 8
+    commits.done(spark, commits.last + 1, {f"{folder}/out": batch.schema})
+    assert read_output(spark, f"{folder}/out").count() == 12
 
 
 def test_small_partitions_are_written_as_few_files(spark, topic, folder):

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_dir
+from ..session import ship_package, work_dir
 
 RANK_BUCKETS = 1024
 # A key of this share of the rows is hot; 1 / HOT_SHARE keys at most are.
@@ -31,26 +28,15 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers of all executors, once for a Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_package_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
-    context.addPyFile(archive)
-    context._package_shipped = True
-
-
 def in_arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with functions of this package."""
-    ship(frame.sparkSession)
+    ship_package(frame.sparkSession)
     return frame.mapInArrow(run, schema)
 
 
 def in_pandas(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInPandas`` with functions of this package."""
-    ship(frame.sparkSession)
+    ship_package(frame.sparkSession)
     return frame.mapInPandas(run, schema)
 
 

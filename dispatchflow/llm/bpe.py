@@ -25,7 +25,7 @@ from .common import in_arrow, plain_text, slices
 # A cut comes where the hash of the last _WINDOW bytes has _CUT_BITS zeros: every 1,024 bytes on average.
 _WINDOW = 32
 _CUT_BITS = 10
-_WORDS, _PIECES_KEPT = 300_000, 20_000
+_WORDS, _PIECES_KEPT = 150_000, 20_000
 _CHUNK_BYTES = 16 << 20
 _SPACES = b" \t\n\v\f\r"
 _PROBE = "a b\t<x> don't  12,5\nÉté"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 import time
 from collections.abc import Callable
 from contextlib import suppress
 from dataclasses import replace
+from datetime import timedelta
 from pathlib import Path
 
 from pyspark.errors import StreamingQueryException
@@ -59,11 +61,14 @@ from dispatchflow.sources.tables import (
 )
 from dispatchflow.streaming import (
     ProgressLog,
+    compact,
     open_windows,
+    read_days,
     read_output,
     read_together,
     start_counts,
     start_counts_and_enriched,
+    start_daily_counts,
     start_files,
     stop_between_batches,
 )
@@ -74,6 +79,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The calls' times are whole minutes, so counting by the minute gives the same.
 BY_MINUTE = CountSpec(resolution="minute")
 WIDE = CountSpec(window="60 minutes")
+ONE_DAY = 9
 # Bytes of the blocks that one large array is read in, so that small tables have several too.
 ARRAY_BLOCK = 1 << 16
 RECORDS_PER_ARRAY = 20_000
@@ -364,6 +370,43 @@ def _joined_stream(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     return _shown(read_output(spark, f"{folder}/joined"))
 
 
+def _stream_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that begin on the tenth day, from output by day: a batch came twice, and days before were compacted."""
+    folder = work_dir(spark, "daily")
+    out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
+    counts = counts_plan(_messages_in_slices(spark, sf_dir, folder), parts=True)
+    _finish(start_daily_counts(counts, out, checkpoint, "daily", trigger=None))
+    first = events_table(spark, sf_dir).agg(F.date_add(F.to_date(F.min("ts")), ONE_DAY)).first()[0]
+    again = read_days(spark, out, first, first + timedelta(days=1)).drop("day")
+    # The last try of a batch that is not committed, with rows that are already there.
+    tried = again.withColumns({"day": F.lit(first), "run": F.lit("not-committed"), "batch_id": F.lit(0).cast("long")})
+    tried.write.mode("append").partitionBy("day", "run", "batch_id").parquet(out)
+    compact(spark, out, first + timedelta(days=2))
+    return _shown(read_days(spark, out, first, first + timedelta(days=1)).drop("day"))
+
+
+def _topic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the offsets of one partition of a topic, and none of the others."""
+    topic = Topic(TOPIC_NAME, folder=work_dir(spark, "range"))
+    write_topic(_envelope(spark, sf_dir), topic)
+    quarter = events_table(spark, sf_dir).count() // 16
+    low, high = ({"0": -1, "1": quarter, "2": -1, "3": -1}, {"1": 2 * quarter})
+    messages = topic_batch(
+        spark, topic, json.dumps({TOPIC_NAME: low}), json.dumps({TOPIC_NAME: high})
+    )
+    return messages.select("topic", "partition", "offset", F.col("value").cast("string").alias("value"))
+
+
+def _topic_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of one day of a topic, by their times."""
+    topic = Topic(TOPIC_NAME, folder=work_dir(spark, "times"))
+    write_topic(_envelope(spark, sf_dir), topic)
+    first = events_table(spark, sf_dir).agg(F.date_trunc("day", F.min("ts")).cast("timestamp")).first()[0]
+    since = first + timedelta(days=ONE_DAY)
+    messages = topic_batch(spark, topic, since=since, until=since + timedelta(days=1))
+    return messages.select("topic", "partition", "offset", F.col("value").cast("string").alias("value"))
+
+
 def _stream_known_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of known codes, with descriptions."""
     return _joined_stream(spark, sf_dir, "inner")
@@ -513,6 +556,9 @@ _QUERIES: dict[str, Query] = {
     "stream_counts_one_state": _stream_counts_one_state,
     "stream_open_windows": _stream_open_windows,
     "stream_two_outputs": _stream_two_outputs,
+    "stream_one_day": _stream_one_day,
+    "topic_range": _topic_range,
+    "topic_time_range": _topic_time_range,
     "stream_known_codes": _stream_known_codes,
     "stream_unknown_codes": _stream_unknown_codes,
     "stream_stopped": _stream_stopped,
@@ -668,6 +714,13 @@ def oracle_sql() -> dict[str, str]:
         "stream_counts_one_state": f"with {_COUNTS} select * from counts where {_CLOSED}",
         "stream_open_windows": f"with {_COUNTS} select * from counts where not ({_CLOSED})",
         "stream_two_outputs": f"with {_COUNTS} {_WITH_NAMES.replace('n_name as', 'true as same_after_failure, n_name as')} where {_CLOSED}",
+        "stream_one_day": f"with {_COUNTS} select * from counts where {_CLOSED} "
+        f"and cast(window_start as date) = (select cast(min(ts) as date) + {ONE_DAY} from events)",
+        "topic_range": f"with {_MESSAGES} select * from messages where partition = 1 "
+        'and "offset" >= (select count(*) // 16 from events) and "offset" < 2 * (select count(*) // 16 from events)',
+        "topic_time_range": f"with {_MESSAGES} select messages.* from messages "
+        'join events on event_id = 4 * "offset" + partition '
+        f"where cast(ts as date) = (select cast(min(ts) as date) + {ONE_DAY} from events)",
         "stream_known_codes": f"with {_COUNTS} {_WITH_NAMES} where {_CLOSED} and n_name is not null",
         "stream_unknown_codes": f"with {_COUNTS} select * from counts where {_CLOSED} "
         "and disposition not in (select cast(n_nationkey as varchar) from nation)",

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from datetime import UTC, datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dispatchflow.functions import encode_value
-from dispatchflow.schemas import ENVELOPE
+from dispatchflow.schemas import ENVELOPE, schema
 
+#: Bytes of a row group of a folder topic.
+ROW_GROUP = 16 * 1024 * 1024
+# Clocks of driver and storage may be that far apart.
+_OVERLAP = timedelta(hours=1)
 _ROW_BITS = 33  # monotonically_increasing_id: the partition stands above 33 bits of row number
 
 
@@ -109,16 +116,62 @@ def topic_batch(
     starting: str | None = None,
     ending: str | None = None,
     min_partitions: int | None = None,
+    since: datetime | None = None,
+    until: datetime | None = None,
 ) -> DataFrame:
     """The messages a topic holds now, in at least ``min_partitions`` partitions.
 
-    Of a Kafka topic those from ``starting`` (earliest) to ``ending`` (latest); a folder is read whole.
+    Those from ``starting`` (earliest) to before ``ending`` (latest): one of these two words, or offsets as the Kafka
+    source has them, ``{"topic": {"0": 23, "1": -2}}``, where -2 is the earliest and -1 the latest. For a folder they
+    may leave partitions out, which are read whole. ``since`` and ``until`` are times instead, the latter exclusive.
+
+    A folder's files are in the order of partition and offset (see ``write_topic``), and the conditions reach the
+    parquet reader: files and row groups that hold nothing of the range are not read.
     """
+    if since and starting or until and ending:
+        raise ValueError("a range begins and ends at offsets or at times, not at both")
     if topic.servers:
         options = kafka_read_options(topic, starting or "earliest", ending or "latest", min_partitions=min_partitions)
+        for name, word, moment in (("startingTimestamp", "startingOffsets", since), ("endingTimestamp", "endingOffsets", until)):
+            if moment:
+                options[name] = str(round(moment.timestamp() * 1000))
+                del options[word]
         return spark.read.format("kafka").options(**options).load()
-    topic.refuse(starting=starting, ending=ending)
-    return spread(spark.read.schema(ENVELOPE).parquet(topic.path), min_partitions)
+    messages = spark.read.schema(ENVELOPE).parquet(topic.path)
+    for condition in (
+        _beyond(topic, starting, "starting"),
+        _beyond(topic, ending, "ending"),
+        None if since is None else F.col("timestamp") >= F.lit(since),
+        None if until is None else F.col("timestamp") < F.lit(until),
+    ):
+        if condition is not None:
+            messages = messages.where(condition)
+    return spread(messages, min_partitions)
+
+
+_EARLIEST, _LATEST = -2, -1
+
+
+def _beyond(topic: Topic, offsets: str | None, side: str) -> Column | None:
+    """The condition that a folder's messages are on the right side of some offsets; None if all are."""
+    words = {"earliest": _EARLIEST, "latest": _LATEST}
+    if offsets is None or words.get(offsets) == (_EARLIEST if side == "starting" else _LATEST):
+        return None
+    if offsets in words:
+        return F.lit(False)
+    try:
+        said = json.loads(offsets)[topic.name]
+        bounds = {int(partition): int(offset) for partition, offset in said.items()}
+    except (ValueError, KeyError, AttributeError, TypeError) as error:
+        raise ValueError(f"{side} is earliest, latest or offsets of {topic.name} as JSON, not {offsets}") from error
+    kept = ~F.col("partition").isin(list(bounds)) if bounds else F.lit(True)
+    for partition, offset in sorted(bounds.items()):
+        own = F.col("partition") == partition
+        if offset >= 0:
+            kept = kept | (own & (F.col("offset") >= offset if side == "starting" else F.col("offset") < offset))
+        elif (offset == _EARLIEST) == (side == "starting"):
+            kept = kept | own
+    return kept
 
 
 def spread(frame: DataFrame, least: int | None) -> DataFrame:
@@ -146,6 +199,10 @@ def write_topic(messages: DataFrame, topic: Topic, max_records_per_file: int = 0
     A Kafka broker assigns partition and offset. In a folder the writing task stands for the partition
     and the row's place in it for the offset, above what the partition already holds, which takes no shuffle;
     messages that already have them keep theirs. Writes to one folder come one after another.
+
+    A folder's files are sorted by partition and offset, in row groups of ``ROW_GROUP`` bytes, so that a range is
+    found by their bounds. The next offset of each partition is kept beside them, so that a write reads only what was
+    written since the one before.
     """
     if topic.servers:
         (
@@ -176,17 +233,45 @@ def write_topic(messages: DataFrame, topic: Topic, max_records_per_file: int = 0
         (F.col(f.name) if f.name in messages.columns else assigned[f.name]).cast(f.dataType).alias(f.name)
         for f in ENVELOPE
     ]
-    stored = placed.select(*columns).write.mode("append")
+    rows = placed.select(*columns)
+    if "offset" in messages.columns:
+        rows = rows.sortWithinPartitions("partition", "offset")  # else they are in this order
+    stored = rows.write.mode("append").option("parquet.block.size", ROW_GROUP)
     stored.option("maxRecordsPerFile", max_records_per_file).parquet(topic.path)
 
 
+_OFFSETS = schema("partition long, next long, seen timestamp")
+
+
 def _held(spark: SparkSession, topic: Topic) -> DataFrame | None:
-    """The next offset of each partition of a folder topic; None if there is no such folder yet."""
+    """The next offset of each partition of a folder topic; None if there is no such folder yet.
+
+    It is kept in the topic's folder, with the time up to which files are in it; files changed since an hour before
+    that time are read again, and the others are left out by their names' times alone. The table is written to two
+    places in turn, so one of them is always whole.
+    """
     try:
         stored = spark.read.schema(ENVELOPE).parquet(topic.path)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    counted = stored.groupBy("partition").agg((F.max("offset") + 1).alias("__next"))
-    return counted.select(F.col("partition").cast("long").alias("__partition"), "__next")
+    now = datetime.now(UTC)
+    path = f"{topic.path}/_offsets"
+    slot = 0
+    known = spark.createDataFrame([], _OFFSETS)
+    try:
+        kept = spark.read.schema(T.StructType([*_OFFSETS, T.StructField("slot", T.IntegerType())])).json(path)
+        newest = kept.agg(F.max_by("slot", "seen").alias("slot"), F.max("seen").alias("seen")).first()
+        if newest.slot is not None:
+            slot, known = 1 - newest.slot, kept.where(F.col("slot") == newest.slot).drop("slot")
+            stored = stored.where(F.col("_metadata.file_modification_time") >= F.lit(newest.seen - _OVERLAP))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    counted = stored.groupBy(F.col("partition").cast("long").alias("partition")).agg((F.max("offset") + 1).alias("next"))
+    counted = counted.unionByName(known.select("partition", "next")).groupBy("partition").agg(F.max("next").alias("next"))
+    place = f"{path}/slot={slot}"
+    counted.withColumn("seen", F.lit(now)).coalesce(1).write.mode("overwrite").json(place)
+    written = spark.read.schema(_OFFSETS).json(place)
+    return written.select(F.col("partition").alias("__partition"), F.col("next").alias("__next"))

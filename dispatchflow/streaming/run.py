@@ -99,7 +99,7 @@ def start_each(
 
 
 @contextmanager
-def _adaptive(spark: SparkSession) -> Iterator[None]:
+def adaptive(spark: SparkSession) -> Iterator[None]:
     """AQE on for a while: Spark turns it off in a stateful query's session."""
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -114,7 +114,7 @@ def _rebalanced(batch: DataFrame, path: str) -> None:
 
     AQE merges the pieces, and splits a large one, into files of the advisory size.
     """
-    with _adaptive(batch.sparkSession):
+    with adaptive(batch.sparkSession):
         add_parts(batch).hint("rebalance").write.mode("overwrite").parquet(path)
 
 

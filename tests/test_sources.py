@@ -206,8 +206,6 @@ def test_options_that_mean_nothing_are_refused(spark, tmp_path):
     for wrong in ({"starting": "latest"}, {"max_per_trigger": 2}, {"min_partitions": 2}):
         with pytest.raises(ValueError, match="folder"):
             topic_stream(spark, folder, **wrong)
-    with pytest.raises(ValueError, match="folder"):
-        topic_batch(spark, folder, ending="latest")
     for wrong in ({"max_files": 1}, {"max_bytes": 1}):
         with pytest.raises(ValueError, match="Kafka"):
             topic_stream(spark, Topic("t", servers="a:1"), **wrong)

@@ -153,7 +153,65 @@ QUERIES = {
     "op13_resampling": op13_resampling,
 }
 
+def _escaped(text: str) -> str:
+    """SQL of a text's form between a template's marks."""
+    found = f"replace({text}, '\\', '\\\\')"
+    for control in chat.CONTROL:
+        found = f"replace({found}, '{control}', '{control[0]}\\{control[1:]}')"
+    return found
+
+
 ORACLE = {
+    "op2_chat": f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as "text" from conversations
+  union all
+  select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+),
+learned as (
+  select conv_id, string_agg(case when role = 'assistant' then "text" else '' end, '' order by turn) as learned,
+         string_agg(role || chr(10) || "text" || chr(10), '' order by turn) as turns,
+         count(*) as n_turns,
+         sum(length({_escaped("role")}) + length({_escaped('"text"')}) + {len(chat.TURN + chat.TEXT + chat.END)}) as chars
+  from said group by 1
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(learned) as loss_chars,
+       sha256(learned) as loss_sha256, cast(chars as bigint) as formatted_chars
+from learned
+""",
+    "op8_suffix": """
+with bytes as (
+  select doc_id, hex(encode(coalesce("text", ''))) as h, octet_length(encode(coalesce("text", ''))) as n from documents
+),
+cuts as (select doc_id, h, n, unnest(range(0, n // 512 + 1)) as p from bytes),
+pieces as (select doc_id, n, p, substr(h, 1024 * p + 1, 1224) as piece from cuts),
+places as (select doc_id, p, piece, unnest(range(0, least(512, greatest(n - 99 - 512 * p, 0)))) as i from pieces),
+strings as (
+  select doc_id, 512 * p + i as start,
+         row_number() over (partition by substr(piece, 2 * i + 1, 200) order by doc_id, 512 * p + i) as nth
+  from places
+),
+again as (select doc_id, start from strings where nth > 1),
+begun as (
+  select doc_id, start, start > 100 + coalesce(lag(start) over (partition by doc_id order by start), -101) as begins
+  from again
+),
+numbered as (select doc_id, start, sum(begins::int) over (partition by doc_id order by start) as run from begun),
+runs as (select doc_id, run, min(start) as low, max(start) + 100 as high from numbered group by 1, 2),
+between_runs as (
+  select doc_id, coalesce(lag(high) over (partition by doc_id order by low), 0) as a, low as b from runs
+  union all
+  select doc_id, coalesce(max(high), 0), any_value(n) from bytes left join runs using (doc_id) group by 1
+),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as left_over
+  from between_runs join bytes using (doc_id) group by 1
+),
+removed as (select doc_id, sum(high - low) as n_removed, count(*) as n_spans from runs group by 1)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(left_over)) as kept_sha256
+from bytes join kept using (doc_id) left join removed using (doc_id)
+""",
     "op10_exact": r"""
 with texts as (
   select doc_id, sha256(regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256

@@ -25,7 +25,7 @@ from .common import in_arrow, plain_text, slices
 # A cut comes where the hash of the last _WINDOW bytes has _CUT_BITS zeros: every 1,024 bytes on average.
 _WINDOW = 32
 _CUT_BITS = 10
-_WORDS, _PIECES_KEPT = 150_000, 20_000
+_WORDS, _PIECES_KEPT = 200_000, 20_000
 _CHUNK_BYTES = 16 << 20
 _SPACES = b" \t\n\v\f\r"
 _PROBE = "a b\t<x> don't  12,5\nÉté"
@@ -102,11 +102,12 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         if self.by_piece and b"<|" not in word:
-            # ASCII letters, with or without one mark after them, are one or two pieces without any search.
+            # ASCII letters are one piece without any search, and with one mark after them the same and another.
             if word.isalpha():
-                return self.pieces[word.lower().decode()]
+                lower = word.lower()
+                return self.words[lower] if lower != word else self._piece(word.decode())
             if word[-1:] in (b".", b",") and word[:-1].isalpha():
-                return self.pieces[word[:-1].lower().decode()] + self.pieces[word[-1:].decode()]
+                return self.words[word[:-1]] + self.pieces[word[-1:].decode()]
             text = word.decode("utf-8", "replace")
             if _ORDINARY.fullmatch(text):
                 return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))

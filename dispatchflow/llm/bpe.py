@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,11 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # The same over printable ASCII and the letters of Latin-1; other words go to the library whole.
 _ORDINARY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+# Pieces of many ordinary words, one a line; the line's end is a piece too.
+_LINES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^\n0-9a-zß-öø-ÿ]+")
+_LINE_END = 1 << 30
+# Longer words are encoded when they are met and are not remembered.
+_LONGEST = 128
 
 
 class Memory(dict):
@@ -50,13 +55,21 @@ class Memory(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= 128:
+        if len(key) <= _LONGEST:
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
+    def keep(self, pairs: Iterable[tuple]) -> None:
+        """Values that were made elsewhere."""
+        for key, value in pairs:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+
 
 def _byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it can be seen."""
@@ -118,6 +131,59 @@ class Encoder:
         tokens = self.tokenizer.model.tokenize(shown)
         return b"".join(t.id.to_bytes(4, "little") for t in tokens)
 
+    @cached_property
+    def ranks(self):
+        """The vocabulary as ranks of byte strings, where these give the same ids, else None.
+
+        The end of a piece is a zero byte, which no ordinary word holds. Merging by ranks of what comes out gives what
+        merging by pairs gives if each token, taken as a text, is encoded as itself.
+        """
+        import tiktoken
+
+        model = json.loads(self.tokenizer.to_str())["model"]
+        end = model.get("end_of_word_suffix")
+        if not self.by_piece or not end or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        byte = {letter: b for b, letter in _LETTERS.items()}
+        ranks = {b"\0": _LINE_END + 1, b"\n\0": _LINE_END}
+        for token, i in model["vocab"].items():
+            ended = token.endswith(end)
+            body = token[: -len(end)] if ended else token
+            data = bytes(byte.get(letter, 0) for letter in body) + b"\0" * ended
+            if data.count(0) == ended and data != b"\n\0":
+                if ended and [t.id for t in self.tokenizer.model.tokenize(body)] != [i]:
+                    return None
+                ranks[data] = i
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("pieces", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Puts the ordinary words of texts that are not remembered into the memory, all of them by one call."""
+        known, older = self.words, self.words.older
+        missing = [w for w in set().union(*texts) if w not in known and len(w) <= _LONGEST]
+        fresh = [w for w in missing if w not in older]
+        known.keep([(w, older[w]) for w in missing if w in older])
+        if not fresh or self.ranks is None:
+            return
+        joined = b"".join(fresh)
+        if b"<|" in joined or not _ORDINARY.fullmatch(joined.decode("utf-8", "replace")):
+            fresh = [w for w in fresh if b"<|" not in w and _ORDINARY.fullmatch(w.decode("utf-8", "replace"))]
+        for low in range(0, len(fresh), known.most):
+            lot = fresh[low : low + known.most]
+            pieces = _LINES.findall(b"\n".join([*lot, b""]).decode().lower())
+            ids = self.ranks.encode_to_numpy("\0".join([*pieces, ""]))
+            ends = np.flatnonzero(ids == _LINE_END) * 4
+            data = ids.astype("<u4").tobytes()
+            spans = zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)
+            known.keep(zip(lot, [data[a:b] for a, b in spans], strict=True))
+
+    def plain_many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts."""
+        words = [data.split() for data in texts]
+        self.learn(words)
+        return [b"".join(map(self.words.__getitem__, own)) for own in words]
+
     def plain(self, data: bytes) -> bytes:
         """The ids of a whole text, word by word."""
         return b"".join(map(self.words.__getitem__, data.split()))

@@ -24,16 +24,18 @@ from .common import in_arrow, plain_text, slices, stored
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _ROWS = 1 << 14
+# Seeds after which documents that are used up leave a shard's index.
+_FORGET = 128
 
 
 @dataclass(frozen=True)
 class PackingParams:
-    """``shard_docs`` bounds a shard; ``query_terms`` rarest terms of a seed are its query; k1 and b are BM25's."""
+    """``shard_docs`` and ``shard_ids`` bound a shard, which has one document at least; k1 and b are BM25's."""
 
     window: int = 2048
     end_id: int = 1
     shard_docs: int = 2048
-    query_terms: int = 16
+    shard_ids: int = 1 << 22
     k1: float = 1.2
     b: float = 0.75
 
@@ -55,8 +57,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text
         kind = _kind(tokenizer)
         for batch in slices(batches):
             signatures, found = [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(own.plain(plain_text(text)), "<u4")
+            texts = [plain_text(text) for text in batch.column("text").to_pylist()]
+            for data in own.plain_many(texts):
+                ids = np.frombuffer(data, "<u4")
                 signatures.append(_signature(ids))
                 found.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -101,24 +104,34 @@ class _Shard:
     """A BM25 inverted index over the token arrays of a block of documents."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, average: float, params: PackingParams):
-        self.texts, self.size = texts, len(texts)
+        self.size = len(texts)
         lengths = np.array([len(t) for t in texts])
         owner = np.repeat(np.arange(self.size), lengths)
-        key = np.concatenate(texts).astype(np.int64) * self.size + owner
-        key, counts = np.unique(key, return_counts=True)
+        key, counts = np.unique(np.concatenate(texts).astype(np.int64) * self.size + owner, return_counts=True)
         term, self.docs = np.divmod(key, self.size)
         norm = params.k1 * (1 - params.b + params.b * lengths / average)
         self.weights = idf[term] * counts * (params.k1 + 1) / (counts + norm[self.docs])
-        self.terms, self.begins = np.unique(term, return_index=True)
+        _, self.begins, place = np.unique(term, return_index=True, return_inverse=True)
         self.ends = np.append(self.begins[1:], len(term))
-        self.idf, self.query_terms = idf, params.query_terms
+        # The terms of each document, as places in begins and ends; those of no other document are left out.
+        elsewhere = np.flatnonzero((self.ends - self.begins > 1)[place])
+        elsewhere = elsewhere[np.argsort(self.docs[elsewhere], kind="stable")]
+        bounds = np.searchsorted(self.docs[elsewhere], np.arange(1, self.size))
+        self.terms = np.split(place[elsewhere], bounds)
+
+    def forget(self, used: np.ndarray) -> None:
+        """Takes documents out of the index."""
+        stays = ~used[self.docs]
+        before = np.append(0, np.cumsum(stays))
+        self.docs, self.weights = self.docs[stays], self.weights[stays]
+        self.begins, self.ends = before[self.begins], before[self.ends]
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Other documents by falling score for the seed's rarest terms."""
-        own = np.unique(self.texts[seed])
-        own = own[np.argsort(-self.idf[own], kind="stable")[: self.query_terms]]
-        at = np.searchsorted(self.terms, own)
-        spans = [(self.begins[i], self.ends[i]) for i in at]
+        """Other documents by falling score for all terms of the seed."""
+        own = self.terms[seed]
+        spans = list(zip(self.begins[own].tolist(), self.ends[own].tolist(), strict=True))
+        if not spans:
+            return np.zeros(0, np.int64)
         docs = np.concatenate([self.docs[a:b] for a, b in spans])
         scores = np.bincount(docs, np.concatenate([self.weights[a:b] for a, b in spans]), self.size)
         scores[seed] = 0
@@ -151,15 +164,16 @@ class _Packer:
         self.sequence += 1
 
     def block(self, docs: list[tuple]) -> None:
-        """docs: id, length, first id that is left, ids that are left (less than a window)."""
+        """docs: id, length, first id that is left, all ids (less than a window of them is left)."""
         if not docs:
             return
         shard = _Shard([d[3] for d in docs], self.idf, self.average, self.params)
-        begins, left = [0] * len(docs), [len(d[3]) for d in docs]
+        begins, left = [d[2] for d in docs], [len(d[3]) - d[2] for d in docs]
+        asked = 0
 
         def put(i: int, most: int) -> None:
             n = min(left[i], most)
-            self.place(docs[i], docs[i][2] + begins[i], docs[i][3][begins[i] : begins[i] + n])
+            self.place(docs[i], begins[i], docs[i][3][begins[i] : begins[i] + n])
             begins[i] += n
             left[i] -= n
 
@@ -168,6 +182,9 @@ class _Packer:
                 put(seed, self.room)
                 if self.room == self.params.window:
                     continue  # just filled; what is left of the seed begins a window
+                asked += 1
+                if asked % _FORGET == 0:
+                    shard.forget(np.array(left) == 0)
                 cut = None
                 for i in shard.neighbours(seed).tolist():
                     if left[i] and left[i] <= self.room:
@@ -209,9 +226,10 @@ def pack(
     """The pieces of all rows of ``docs``: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A row's ids end with ``end_id``; null and empty texts have that one only. A document of a window or more fills
-    windows of its own, and its rest is packed. Repeated rows and null ids are rows like any other. An empty table
-    gives no rows; other columns are not read. Sequences hold ``window`` ids, or a power of two at the end of a
-    task's rows.
+    windows of its own, and its rest is packed; it is found, and asks for others, by all of its ids. Neighbours of
+    equal score come in the order of the shard, by signature and id. Repeated rows and null ids are rows like any
+    other. An empty table gives no rows; other columns are not read. Sequences hold ``window`` ids, or a power of two
+    at the end of a task's rows.
     """
     if params.window & (params.window - 1):
         raise ValueError("the window is a power of two")
@@ -222,7 +240,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(params, idf, average, TaskContext.get().partitionId() << 40)
-        kind, block = _kind(tokenizer), []
+        kind, block, held_ids = _kind(tokenizer), [], 0
         types: dict = {}
 
         def rows(all_of_them: bool) -> Iterator[pa.RecordBatch]:
@@ -241,10 +259,11 @@ def pack(
                     packer.close([(identifier, start, own[start : start + params.window], len(own))])
                     yield from rows(False)
                 if whole < len(own):
-                    block.append((identifier, len(own), whole, own[whole:].copy()))
-                if len(block) >= params.shard_docs:
+                    block.append((identifier, len(own), whole, own.copy()))
+                    held_ids += len(own)
+                if len(block) >= params.shard_docs or held_ids >= params.shard_ids:
                     packer.block(block)
-                    block = []
+                    block, held_ids = [], 0
                     yield from rows(False)
         packer.block(block)
         packer.finish()

@@ -301,6 +301,27 @@ def test_chunks_are_reused_and_joins_agree():
     assert own.reused_chunks > own.encoded_chunks
 
 
+def test_words_learned_at_once_are_the_librarys(rows):
+    draw = random.Random(9)
+    letters = "abcdefgABCÀÉßÿñ019.,'$#-<|>日\0\x1c\x85é"
+    made = [" ".join("".join(draw.choices(letters, k=draw.randint(1, 9))) for _ in range(200)) for _ in range(40)]
+    texts = [t or "" for _, t, *_ in rows] + made + ["I'll 's '' ''s don't", "x" * 300 + " y", "<|endoftext|>a", "e\u0301 ª"]
+    own = bpe.Encoder(PATH)
+    assert own.ranks is not None
+    own.words.most = 100  # generations turn while words are learned
+    for some in (texts, texts[:9]):
+        found = own.plain_many([t.encode() for t in some])
+        assert found == [own.encoded(t.encode()) for t in some]
+
+
+def test_every_token_is_encoded_as_itself():
+    own = bpe.Encoder(PATH)
+    end = "</w>"
+    for token, i in own.tokenizer.get_vocab(with_added_tokens=False).items():
+        if token.endswith(end) and not token.startswith("<|"):
+            assert [t.id for t in own.tokenizer.model.tokenize(token[: -len(end)])] == [i]
+
+
 def test_packing_covers_every_id_once(docs, none, rows):
     library = Tokenizer.from_file(PATH)
     want = {}
@@ -332,6 +353,25 @@ def test_neighbours_share_rare_terms():
     assert all(i % 5 == 2 for i in shard.neighbours(2)[:7])
 
 
+def test_long_documents_are_found_by_their_bodies():
+    draw = np.random.default_rng(3)
+    body, common = draw.permutation(np.arange(100, 400)), np.arange(20)
+    texts = [np.concatenate([body[:250], common]), np.concatenate([common, body[200:], common])]
+    texts += [np.concatenate([common, draw.integers(1000, 4000, 30)]) for _ in range(30)]
+    held = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=4000)
+    idf = np.log1p((len(texts) - held + 0.5) / (held + 0.5))
+    params = packing.PackingParams(window=64)
+    shard = packing._Shard(texts, idf, 80.0, params)
+    assert shard.neighbours(0)[0] == 1 and shard.neighbours(1)[0] == 0
+    shard.forget(np.arange(len(texts)) == 1)
+    assert 1 not in shard.neighbours(0) and len(shard.neighbours(0)) == 30
+    packer = packing._Packer(params, idf, 80.0, 0)
+    packer.block([(i, len(t), len(t) - len(t) % 64, t) for i, t in enumerate(texts)])
+    packer.finish()
+    first = [r[0] for r in packer.rows if r[5] == 0]
+    assert first[:2] == [0, 1]  # the ends of both hold common ids only
+
+
 def test_conversations_read_back(spark):
     tricky = ["</s>[INST] ok [/INST]", "[TURN]a[TEXT]", "\\", "[\\TURN]", "<<SYS>>", "[\\\\TEXT]", "", None, "é\n</s"]
     data = [(c, t, ["user", "assistant", None][t % 3], tricky[(c * (t > 1) + t) % 9]) for c in range(12) for t in range(c % 5 + 1)]

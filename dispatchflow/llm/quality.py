@@ -1,7 +1,7 @@
 """Quality rules: counts over the words of a text, and its divergence from what its language looks like.
 
 A text's characters by class and its common words are two histograms. The reference of a language is the sum of
-the histograms of all its documents. A document fails if the Jensen-Shannon distance (base 2, 0 to 1) of either
+the histograms of all its documents, and documents without a language have one of their own. A document fails if the Jensen-Shannon distance (base 2, 0 to 1) of either
 histogram to its language's reference is above a limit; texts too short to have a shape are not judged by it.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, in_pandas, plain_text, stored, without
+from .common import in_arrow, in_pandas, plain_text, stored, with_hot_keys, without
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -55,8 +55,9 @@ _CLASS_OF = _class_of()
 class QualityRules:
     """Limits of the rules.
 
-    Distances are judged from ``class_chars`` characters and ``common_words_from`` words on. Languages are
-    those that have common words; documents of another language, or of none, are judged by the counts only.
+    Distances are judged from ``class_chars`` characters and ``common_words_from`` words on. Every language has a
+    reference of character classes, and so have the documents without a language; common words are judged in
+    the languages that have a list of them.
     """
 
     fewest_words: int = 10
@@ -155,34 +156,33 @@ def features(
     )
 
 
-def references(measured: DataFrame, languages: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms over all documents of each language: one row of fixed size for each of ``languages``."""
-    own = measured.where(F.col("language").isin(languages))
-    sides = []
-    for name in ("classes", "commons"):
-        parts = own.select("language", F.lit(name).alias("side"), F.posexplode(name).alias("bin", "n"))
-        sides.append(parts.groupBy("language", "side", "bin").agg(F.sum("n").alias("n")))
-    rows = sides[0].unionByName(sides[1]).collect()
-    found = {}
-    for language in {r["language"] for r in rows}:
-        pair = []
-        for side in ("classes", "commons"):
-            counts = {r["bin"]: r["n"] for r in rows if r["language"] == language and r["side"] == side}
-            pair.append(np.array([counts[i] for i in range(len(counts))], dtype=float))
-        found[language] = tuple(pair)
-    return found
+def references(measured: DataFrame, common: dict[str, str]) -> DataFrame:
+    """language, documents, class_reference, common_reference (null without a list of words): sums over all documents.
+
+    A row for each language, and one for null. Sums are made where the rows lie before anything is shuffled.
+    """
+
+    def sums(column: str, bins: int):
+        return F.array(*(F.sum(F.col(column)[i]) for i in range(bins)))
+
+    return measured.groupBy("language").agg(
+        F.count(F.lit(1)).alias("documents"),
+        sums("classes", len(CLASSES)).alias("class_reference"),
+        F.when(F.first("language").isin(sorted(common)), sums("commons", len(_bins(common)) + 1)).alias("common_reference"),
+    )
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row of ``counts`` to the reference; 0 where either has no counts."""
+    """Jensen-Shannon distance of each row of ``counts`` to the reference, or its own; 0 where either has no counts."""
     sums = counts.sum(axis=1, keepdims=True)
     p = counts / np.maximum(sums, 1)
-    q = np.broadcast_to(reference / max(reference.sum(), 1), p.shape)
+    total = reference.sum(axis=-1, keepdims=True)
+    q = np.broadcast_to(reference / np.maximum(total, 1), p.shape)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
         right = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
-    empty = (sums[:, 0] == 0) | (reference.sum() == 0)
+    empty = (sums[:, 0] == 0) | (total[..., 0] == 0)
     return np.where(empty, 0.0, np.sqrt(np.clip((left + right) / 2, 0, 1)))
 
 
@@ -196,13 +196,15 @@ def judged(
 ) -> DataFrame:
     """A row for each row of ``docs``: id, content (hash of text and language), base counts, base_failed, class_distance, common_distance, kept.
 
-    Null and empty texts have no words and fail. A distance is null where it is not judged: text too short, or
-    a null or unknown language. Repeated rows count in the references and come out as often as they go in. An
-    empty table gives no rows. Other columns are not read.
+    Null and empty texts have no words and fail. A distance is null where it is not judged: text too short, or, for
+    common words, a language without a list. Repeated rows count in the references and come out as often as they go
+    in. An empty table gives no rows. Other columns are not read.
     """
-    known = sorted(common or COMMON_WORDS)
-    measured = stored(features(docs, id_column, text_column, language_column, common), "features")
-    shapes = references(measured, known)
+    own = common or COMMON_WORDS
+    measured = stored(features(docs, id_column, text_column, language_column, own), "features")
+    key = F.coalesce(F.concat(F.lit("="), "language"), F.lit("")).alias("key")  # null is a language too
+    shapes = stored(references(measured, own).select(key, "documents", "class_reference", "common_reference"), "references")
+    compared = with_hot_keys(measured.select("*", key), shapes, ["key"], "documents", measured.count())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -210,27 +212,26 @@ def judged(
             words = frame["n_words"].to_numpy()
             by_class = np.full(len(frame), np.nan)
             by_word = np.full(len(frame), np.nan)
-            for language, (classes, commons) in shapes.items():
-                same = (frame["language"] == language).to_numpy(dtype=bool)
-                for out, side, reference, enough in (
-                    (by_class, "classes", classes, chars >= rules.class_chars),
-                    (by_word, "commons", commons, words >= rules.common_words_from),
-                ):
-                    rows = np.flatnonzero(same & enough)
-                    if len(rows):
-                        out[rows] = js_distance(np.stack(frame[side].to_numpy()[rows]).astype(float), reference)
+            for out, side, reference, enough in (
+                (by_class, "classes", "class_reference", chars >= rules.class_chars),
+                (by_word, "commons", "common_reference", words >= rules.common_words_from),
+            ):
+                rows = np.flatnonzero(enough & frame[reference].notna().to_numpy())
+                if len(rows):
+                    counts, whole = (np.stack(frame[c].to_numpy()[rows]).astype(float) for c in (side, reference))
+                    out[rows] = js_distance(counts, whole)
             failed = (words < rules.fewest_words) | (
                 100 * frame["n_repeat_words"].to_numpy() > rules.most_repeat_percent * words
             )
             apart = (by_class > rules.class_distance) | (by_word > rules.common_distance)
-            yield frame.drop(columns=["language", "classes", "commons"]).assign(
+            yield frame[["id", "content", *_COLUMNS]].assign(
                 base_failed=failed, class_distance=by_class, common_distance=by_word, kept=~failed & ~apart
             )
 
     longs = ", ".join(f"{c} bigint" for c in _COLUMNS)
     id_type = measured.schema["id"].dataType.simpleString()
     result = in_pandas(
-        measured,
+        compared,
         run,
         f"id {id_type}, content bigint, {longs}, base_failed boolean, class_distance double, common_distance double, kept boolean",
     )

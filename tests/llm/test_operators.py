@@ -207,6 +207,30 @@ def test_divergence_finds_tables_and_spares_prose(spark):
     assert kept == set(range(30))
 
 
+def test_every_language_has_a_reference(spark):
+    draw = random.Random(8)
+    prose = [" ".join(draw.choices(["kaj", "la", "Hundo", "kuris", "rapide,", "hejmen."], k=150)) for _ in range(20)]
+    odd = " | ".join(f"{draw.randrange(10**6)}" for _ in range(200))
+    texts = [*prose, odd, None, "kaj", prose[0]]
+    rows = [(i, t, lang) for lang, first in (("eo", 0), (None, 100), ("en", 200)) for i, t in enumerate(texts, first)]
+    frame = spark.createDataFrame([*rows, (300, odd, "zz")], "doc_id int, text string, lang string")
+    found = {r.id: r for r in quality.judged(frame).collect()}
+    assert len(found) == len(rows) + 1
+    counts = {r.id: np.array(r.classes, float) for r in quality.features(frame).collect()}
+    for lang, first in (("eo", 0), (None, 100), ("en", 200)):
+        total = sum(counts[first + i] for i in range(len(texts)))
+        for i in range(len(texts)):
+            r = found[first + i]
+            assert (r.class_distance is None) == (i in (21, 22)) and (r.common_distance is None) == (lang != "en" or i in (21, 22))
+            if r.class_distance is not None:
+                p, q = counts[r.id] / counts[r.id].sum(), total / total.sum()
+                halves = [sum(a * np.log2(a / ((a + b) / 2)) for a, b in zip(x, y, strict=True) if a) for x, y in ((p, q), (q, p))]
+                assert r.class_distance == pytest.approx(np.sqrt(sum(halves) / 2))
+        assert found[first + 20].class_distance > 0.25 and not found[first + 20].kept
+        assert all(found[first + i].class_distance < 0.25 for i in range(20))
+    assert found[5].kept and found[105].kept and found[300].class_distance == pytest.approx(0, abs=1e-6)
+
+
 def test_js_distance():
     same = quality.js_distance(np.array([[1.0, 3.0], [0.0, 0.0], [4.0, 0.0]]), np.array([10.0, 30.0]))
     assert same[0] == pytest.approx(0, abs=1e-7) and same[1] == 0 and 0 < same[2] < 1

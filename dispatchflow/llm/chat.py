@@ -1,10 +1,11 @@
-"""Chat formatting as prefix trees.
+"""Chat formatting as prefix trees of tokens.
 
-Conversations that begin with the same turns share them. Sorted by the hashes of their turns, conversations lie in
+Conversations that begin with the same turns share them. Sorted by the digests of their turns, conversations lie in
 the depth-first order of the tree they form, so a task that reads a sorted range writes each shared turn once:
-a new conversation goes on from the turns it has in common with the one before. A tree's text comes with its nodes,
-one for each turn: where it lies, the position ids it has, the earlier intervals it may attend to, and what of it
-is under the loss mask.
+a new conversation goes on from the turns it has in common with the one before. Trees come in parts of bounded size.
+A part that goes on with a tree does not write the turns above it again, it names them by their keys, also where the
+part before it was another task's. A part has token ids, a position id for each, and its nodes, one for each turn:
+where it lies, the earlier intervals it may attend to, and what of it is under the loss mask.
 """
 
 from __future__ import annotations
@@ -12,38 +13,65 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import in_arrow, stored
+from .common import HOT_SHARE, in_arrow, stored
 
 # What a text must not hold unescaped, the template's own marks first.
 TURN, TEXT, END = "[TURN]", "[TEXT]", "</s>"
 CONTROL = (TURN, TEXT, END, "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LEARNED_ROLE = "assistant"
-TREE_CHARS = 1 << 20
+PART_IDS = 1 << 18
+# Tasks that the parts which need one hot turn are spread over.
+_SPREAD = 64
 _BEGINS = re.compile(r"([\[<])(?=" + "|".join(re.escape(c[1:]) for c in CONTROL) + ")")
 _ESCAPES = re.compile(r"\\(\\?)")
 _TURN = re.compile(f"{re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(END)}", re.DOTALL)
+_PROBE = "[TURN]É \\\t\n x</s><|endoftext|> d'été\u3000\U0001f600"
 
 _INTERVAL = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_HELD = pa.struct([("key", pa.binary()), ("position", pa.int64()), ("length", pa.int64()), ("loss", _INTERVAL)])
 _NODE = pa.struct(
     [
+        ("key", pa.binary()),
         ("start", pa.int64()),
         ("end", pa.int64()),
         ("position", pa.int64()),
         ("parent", pa.int64()),
+        ("held", pa.int64()),
         ("attends", pa.list_(_INTERVAL)),
         ("loss", _INTERVAL),
     ]
 )
 _LEAF = pa.struct([("path", pa.string()), ("node", pa.int64())])
-_TREE = (
-    "text string, nodes array<struct<start: bigint, end: bigint, position: bigint, parent: bigint, "
-    "attends: array<struct<start: bigint, end: bigint>>, loss: struct<start: bigint, end: bigint>>>, "
-    "leaves array<struct<path: string, node: bigint>>"
+_PART = pa.schema(
+    [
+        ("task", pa.int32()),
+        ("nth", pa.int64()),
+        ("ids", pa.list_(pa.int32())),
+        ("positions", pa.list_(pa.int32())),
+        ("held", pa.list_(_HELD)),
+        ("nodes", pa.list_(_NODE)),
+        ("leaves", pa.list_(_LEAF)),
+        ("first", pa.list_(pa.binary())),
+        ("last", pa.list_(pa.binary())),
+    ]
+)
+_SPAN = "struct<start: bigint, end: bigint>"
+_DRAFT = (
+    "task int, nth bigint, ids array<int>, positions array<int>, "
+    f"held array<struct<key: binary, position: bigint, length: bigint, loss: {_SPAN}>>, "
+    "nodes array<struct<key: binary, start: bigint, end: bigint, position: bigint, parent: bigint, held: bigint, "
+    f"attends: array<{_SPAN}>, loss: {_SPAN}>>, "
+    "leaves array<struct<path: string, node: bigint>>, first array<binary>, last array<binary>"
 )
 
 
@@ -69,46 +97,125 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-class _Tree:
-    """A tree in the making: conversations come in depth-first order."""
+class _Tokens:
+    """A tokenizer that loses nothing: special tokens in a text are text, and what it encodes decodes to the same."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = True
+        if self.decode(np.concatenate(self.encode([_PROBE, _PROBE]))) != 2 * _PROBE:
+            raise ValueError("the tokenizer does not give back the text it encodes")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> _Tokens:
+    """One for each worker process and file."""
+    return _Tokens(path)
+
+
+@dataclass
+class _Turn:
+    """A turn of the path that is open: its node in the part being written, or None if an earlier part has it."""
+
+    key: bytes
+    position: int
+    length: int
+    loss: dict | None  # counted from the turn's first token
+    node: int | None
+
+
+class _Forest:
+    """Writes trees in parts: conversations come in depth-first order."""
 
-    def __init__(self):
-        self.parts: list[str] = []
+    def __init__(self, own: _Tokens, part_ids: int):
+        self.own, self.part_ids = own, part_ids
+        self.digests: list[bytes] = []  # of the path that is open
+        self.open: list[_Turn] = []  # its turns
+        self.nth = -1
+        self._begin()
+
+    def _begin(self) -> None:
+        """A new part, which holds nothing of the turns that are open."""
+        self.nth += 1
+        self.held = [_above(t.key, t.position, t.length, t.loss) for t in self.open]
+        for turn in self.open:
+            turn.node = None
+        self.ids: list[np.ndarray] = []
+        self.positions: list[np.ndarray] = []
         self.size = 0
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
-        self.turns: list[tuple[str, str]] = []  # of the path that is open
-        self.open: list[int] = []  # its nodes
 
-    def add(self, path: str, turns: list[tuple[str, str]]) -> None:
+    def add(self, path: str, digests: list[bytes], turns: list[tuple[str, str]]) -> dict | None:
+        """The part before, if this conversation begins another."""
         shared = 0
-        while shared < min(len(turns), len(self.turns)) and turns[shared] == self.turns[shared]:
+        while shared < min(len(digests), len(self.digests)) and digests[shared] == self.digests[shared]:
             shared += 1
+        done = None
+        if self.leaves and (not shared or self.size >= self.part_ids):
+            done = self.part()
+            del self.open[shared:]
+            self._begin()
+        if not self.leaves:
+            self.first = digests
         del self.open[shared:]
-        for role, text in turns[shared:]:
-            before = f"{TURN}{escape(role)}{TEXT}"
-            body = escape(text)
-            above = self.nodes[self.open[-1]] if self.open else None
-            start = self.size
-            loss = {"start": start + len(before), "end": start + len(before) + len(body)}
-            self.nodes.append(
-                {
-                    "start": start,
-                    "end": loss["end"] + len(END),
-                    "position": above["position"] + above["end"] - above["start"] if above else 0,
-                    "parent": self.open[-1] if self.open else None,
-                    "attends": _with_interval(above["attends"], above["start"], above["end"]) if above else [],
-                    "loss": loss if role == LEARNED_ROLE else None,
-                }
-            )
-            self.open.append(len(self.nodes) - 1)
-            self.parts.append(before + body + END)
-            self.size = loss["end"] + len(END)
-        self.turns = turns
-        self.leaves.append({"path": path, "node": self.open[-1] if self.open else None})
-
-    def row(self) -> dict:
-        return {"text": "".join(self.parts), "nodes": self.nodes, "leaves": self.leaves}
+        for digest, (role, text) in zip(digests[shared:], turns[shared:], strict=True):
+            before, said, after = self.own.encode([f"{TURN}{escape(role)}{TEXT}", escape(text), END])
+            self._write(digest, before, said, after, role == LEARNED_ROLE)
+        self.digests = digests
+        self.leaves.append({"path": path, "node": self.open[-1].node if self.open else None})
+        return done
+
+    def _write(self, digest: bytes, before: np.ndarray, said: np.ndarray, after: np.ndarray, learned: bool) -> None:
+        above = self.open[-1] if self.open else None
+        parent = self.nodes[above.node] if above and above.node is not None else None
+        length, start = len(before) + len(said) + len(after), self.size
+        position = above.position + above.length if above else 0
+        key = hashlib.md5((above.key if above else b"") + digest).digest()
+        loss = {"start": len(before), "end": len(before) + len(said)} if learned else None
+        self.nodes.append(
+            {
+                "key": key,
+                "start": start,
+                "end": start + length,
+                "position": position,
+                "parent": above.node if above else None,
+                "held": parent["held"] if parent else len(self.open),
+                "attends": _with_interval(parent["attends"], parent["start"], parent["end"]) if parent else [],
+                "loss": {"start": start + loss["start"], "end": start + loss["end"]} if loss else None,
+            }
+        )
+        self.open.append(_Turn(key, position, length, loss, len(self.nodes) - 1))
+        self.ids += [before, said, after]
+        self.positions.append(np.arange(position, position + length, dtype=np.int32))
+        self.size += length
+
+    def part(self) -> dict:
+        return {
+            "nth": self.nth,
+            "ids": np.concatenate([np.zeros(0, np.int32), *self.ids]),
+            "positions": np.concatenate([np.zeros(0, np.int32), *self.positions]),
+            "held": self.held,
+            "nodes": self.nodes,
+            "leaves": self.leaves,
+            "first": self.first if not self.nth else None,
+            "last": self.digests,
+        }
+
+
+def _above(key: bytes, position: int, length: int, loss: dict | None) -> dict:
+    return {"key": key, "position": position, "length": length, "loss": loss}
 
 
 def _with_interval(intervals: list[dict], start: int, end: int) -> list[dict]:
@@ -117,6 +224,55 @@ def _with_interval(intervals: list[dict], start: int, end: int) -> list[dict]:
     return [*intervals, {"start": start, "end": end}]
 
 
+def _moved(span: dict, by: int) -> dict:
+    return {"start": span["start"] - by, "end": span["end"] - by}
+
+
+def _without_first(part: dict, turns: int) -> dict:
+    """The part without its first turns, which an earlier part has: the first conversation writes its own in order."""
+    gone, nodes = part["nodes"][:turns], []
+    cut = gone[-1]["end"]
+    for node in part["nodes"][turns:]:
+        parent, held = node["parent"], 0
+        if parent is not None:
+            held = parent + 1 if parent < turns else nodes[parent - turns]["held"]
+            parent = parent - turns if parent >= turns else None
+        seen = [{"start": max(s["start"], cut), "end": s["end"]} for s in node["attends"] if s["end"] > cut]
+        nodes.append(
+            {
+                **node,
+                **_moved(node, cut),
+                "parent": parent,
+                "held": held,
+                "attends": [_moved(s, cut) for s in seen],
+                "loss": _moved(node["loss"], cut) if node["loss"] else None,
+            }
+        )
+    held = [
+        _above(n["key"], n["position"], n["end"] - n["start"], _moved(n["loss"], n["start"]) if n["loss"] else None)
+        for n in gone
+    ]
+    leaves = [{"path": f["path"], "node": None if f["node"] is None else f["node"] - turns} for f in part["leaves"]]
+    short = {"ids": part["ids"][cut:], "positions": part["positions"][cut:]}
+    return {**part, **short, "held": held, "nodes": nodes, "leaves": leaves}
+
+
+def _batch(part: dict) -> pa.RecordBatch:
+    columns = [pa.array([part[field.name]], field.type) for field in _PART]
+    return pa.RecordBatch.from_arrays(columns, schema=_PART)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, with ids and positions as arrays."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            found = row.drop_columns(["ids", "positions"]).to_pylist()[0]
+            for name in ("ids", "positions"):
+                found[name] = row.column(name).flatten().to_numpy()
+            yield found
+
+
 def paths(rows: DataFrame) -> DataFrame:
     """conv_id, path (digest of all turns), turns of rows (conv_id, turn, role, text).
 
@@ -131,74 +287,133 @@ def paths(rows: DataFrame) -> DataFrame:
     return said.withColumn("path", F.sha2(F.to_json("turns"), 256))
 
 
-def trees(conversations: DataFrame, tree_chars: int = TREE_CHARS) -> DataFrame:
-    """text, nodes, leaves of the prefix trees of conversations (path, turns), each path once.
+def trees(conversations: DataFrame, tokenizer: str, part_ids: int = PART_IDS) -> DataFrame:
+    """part, ids, positions, held, nodes, leaves of the prefix trees of conversations (path, turns), each path once.
+
+    Each turn of a tree is in one part, however many tasks and parts the tree is cut into. A part ends where the first
+    turn changes, or when it has ``part_ids`` tokens and its conversation ends, so a very long conversation makes a
+    long part. ``held`` are the turns above, which earlier parts have, from the root on: key, first position, length,
+    and the loss in tokens from the turn's start. A node's ``held`` says how many of them it goes on from; ``parent``
+    and ``attends`` are of the part's own. Intervals and loss are counted in tokens. An empty table gives no parts.
 
-    A tree ends where the first turn changes, or, where many conversations share it, when it has ``tree_chars``
-    characters; the next one then begins with the shared turns again. Positions, intervals and loss are counted in
-    code points. An empty table gives no trees.
+    The tokenizer must give back what it encodes. Roles, texts and marks are encoded each on its own.
     """
-    distinct = conversations.select("path", "turns").dropDuplicates(["path"])
-    hashes = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
-    ordered = distinct.withColumn("order", hashes)
-    dealt = ordered.repartitionByRange("order", "path").sortWithinPartitions("order", "path").select("path", "turns")
+    digest = F.transform("turns", lambda t: F.unhex(F.md5(F.concat(F.length(t["role"]), F.lit(":"), t["role"], t["text"]))))
+    ordered = conversations.select("path", "turns").dropDuplicates(["path"]).withColumn("order", digest)
+    dealt = ordered.repartitionByRange("order", "path").sortWithinPartitions("order", "path")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(tree: _Tree) -> pa.RecordBatch:
-            row = tree.row()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([row["text"]]), pa.array([row["nodes"]], pa.list_(_NODE)), pa.array([row["leaves"]], pa.list_(_LEAF))],
-                names=["text", "nodes", "leaves"],
-            )
-
-        tree = _Tree()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = {"task": TaskContext.get().partitionId()}
+        forest = _Forest(tokens(tokenizer), part_ids)
         for batch in batches:
-            for path, turns in zip(batch.column("path").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                said = [(t["role"], t["text"]) for t in turns]
-                if tree.leaves and (tree.size >= tree_chars or said[:1] != tree.turns[:1]):
-                    yield done(tree)
-                    tree = _Tree()
-                tree.add(path, said)
-        if tree.leaves:
-            yield done(tree)
+            for row in batch.to_pylist():
+                done = forest.add(row["path"], row["order"], [(t["role"], t["text"]) for t in row["turns"]])
+                if done:
+                    yield _batch(done | task)
+        if forest.leaves:
+            yield _batch(forest.part() | task)
 
-    return in_arrow(dealt, run, _TREE)
+    return _joined(stored(in_arrow(dealt, write, _DRAFT), "drafts"))
 
 
-def read_back(found: DataFrame) -> DataFrame:
-    """path, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each leaf, from the trees alone."""
+def _joined(drafts: DataFrame) -> DataFrame:
+    """Parts of all tasks: the first of a task does without the turns that the task before it has written already.
+
+    Two paths of digests for each task are all that meets in one place.
+    """
+    ends = drafts.groupBy("task").agg(F.max("first").alias("first"), F.max_by("last", "nth").alias("last"))
+    before = F.lag("last").over(Window.orderBy("task"))
+    alike = F.zip_with("first", "before", F.equal_null)
+    unlike = F.array_position(alike, F.lit(False))
+    # Paths of different lengths differ where the shorter one ends, as the longer is compared with null there.
+    shared = F.when(F.col("before").isNull(), 0).when(unlike > 0, unlike - 1).otherwise(F.size("first"))
+    borders = ends.withColumn("before", before).select("task", F.lit(0).cast("bigint").alias("nth"), shared.cast("bigint").alias("shared"))
+    told = drafts.join(F.broadcast(borders), ["task", "nth"], "left")
+    kept = told.where("coalesce(shared, 0) = 0").select(*drafts.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _rows(batches):
+            yield _batch(_without_first(part, part["shared"]))
+
+    whole = kept.unionByName(in_arrow(told.where("shared > 0"), cut, _DRAFT))
+    return whole.select(F.concat_ws("-", "task", "nth").alias("part"), "ids", "positions", "held", "nodes", "leaves")
+
+
+def _turns_above(found: DataFrame) -> DataFrame:
+    """part, above: the ids of each turn that a part holds elsewhere, from the root on."""
+    asked = found.select("part", F.posexplode("held").alias("place", "turn"))
+    asked = stored(asked.select("part", "place", F.col("turn.key").alias("key")), "held")
+
+    def last_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a later part can go on from is above the last conversation of this one, or is it.
+        for part in _rows(batches):
+            on_path = _ancestry(part["nodes"], part["leaves"][-1]["node"])
+            ids = [part["ids"][n["start"] : n["end"]] for n in on_path]
+            columns = [pa.array([n["key"] for n in on_path], pa.binary()), pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ids"])
+
+    turns = in_arrow(found.select("ids", "positions", "nodes", "leaves"), last_path, "key binary, ids array<int>")
+    least = max(2, int(asked.count() * HOT_SHARE))
+    # At most 1 / HOT_SHARE keys, however many parts there are.
+    hot = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("key", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot)
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("part"), F.lit(_SPREAD))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    here = asked.join(hot, "key", "left").select("part", "place", "key", spread.alias("salt"))
+    there = turns.join(asked.select("key").distinct(), "key", "left_semi").join(hot, "key", "left")
+    there = there.select("key", "ids", F.explode(copies).alias("salt"))
+    known = here.join(there, ["key", "salt"]).groupBy("part")
+    return known.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "ids"))), lambda t: t["ids"]).alias("above"))
+
+
+def read_back(found: DataFrame, tokenizer: str) -> DataFrame:
+    """path, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each leaf, from the parts alone.
+
+    ``found`` are parts that are stored. Parts that hold turns elsewhere get them by their keys.
+    """
+    no_turns = F.array().cast("array<array<int>>")
+    held = found.where("size(held) > 0").join(_turns_above(found), "part")
+    whole = found.where("size(held) = 0").withColumn("above", no_turns).unionByName(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree in batch.to_pylist():
-                text, nodes = tree["text"], tree["nodes"]
-                columns: list[list] = [[] for _ in range(6)]
-                for leaf in tree["leaves"]:
-                    own = nodes[leaf["node"]]
-                    spans = _with_interval(own["attends"], own["start"], own["end"])
-                    formatted = "".join(text[s["start"] : s["end"]] for s in spans)
-                    turns = parsed(formatted)
+        own = tokens(tokenizer)
+        for part in _rows(batches):
+            ids, nodes = part["ids"], part["nodes"]
+            above = [np.array(turn, np.int32) for turn in part["above"]]
+            columns: list[list] = [[] for _ in names]
+            for leaf in part["leaves"]:
+                shown, learned = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+                if leaf["node"] is not None:
+                    node = nodes[leaf["node"]]
+                    spans = _with_interval(node["attends"], node["start"], node["end"])
+                    for turn, what in zip(above[: node["held"]], part["held"], strict=False):
+                        shown.append(turn)
+                        if what["loss"]:
+                            learned.append(turn[what["loss"]["start"] : what["loss"]["end"]])
+                    shown += [ids[s["start"] : s["end"]] for s in spans]
                     loss = [n["loss"] for n in _ancestry(nodes, leaf["node"]) if n["loss"]]
-                    learned = unescape("".join(text[s["start"] : s["end"]] for s in loss))
-                    said = "".join(f"{role}\n{what}\n" for role, what in turns)
-                    values = (leaf["path"], len(turns), _digest(said), len(learned), _digest(learned), len(formatted))
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    learned += [ids[s["start"] : s["end"]] for s in loss]
+                formatted = own.decode(np.concatenate(shown))
+                turns, answers = parsed(formatted), unescape(own.decode(np.concatenate(learned)))
+                said = "".join(f"{role}\n{what}\n" for role, what in turns)
+                values = (leaf["path"], len(turns), _digest(said), len(answers), _digest(answers), len(formatted))
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     names = ["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     return in_arrow(
-        found,
+        whole,
         run,
         "path string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
         "formatted_chars bigint",
     )
 
 
-def _ancestry(nodes: list[dict], node: int) -> list[dict]:
-    """From the root to the node."""
+def _ancestry(nodes: list[dict], node: int | None) -> list[dict]:
+    """From the first of the part's own above the node to the node."""
     found = []
-    at: int | None = node
+    at = node
     while at is not None:
         found.append(nodes[at])
         at = nodes[at]["parent"]
@@ -209,7 +424,7 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def formatted(rows: DataFrame, tree_chars: int = TREE_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Trees of all conversations of rows (conv_id, turn, role, text), and which path each conversation has."""
+def formatted(rows: DataFrame, tokenizer: str, part_ids: int = PART_IDS) -> tuple[DataFrame, DataFrame]:
+    """Parts of the trees of all conversations of rows (conv_id, turn, role, text), and the path of each conversation."""
     known = stored(paths(rows.select("conv_id", "turn", "role", "text")), "conversations")
-    return stored(trees(known, tree_chars), "trees"), known.select("conv_id", "path")
+    return stored(trees(known, tokenizer, part_ids), "trees"), known.select("conv_id", "path")

@@ -20,6 +20,7 @@ from dispatchflow.llm.graph import components
 from dispatchflow.llm.queries import ORACLE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+CHAT_PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, digest string, keep_id int, __key string"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -404,9 +405,10 @@ def test_conversations_read_back(spark):
     groups = {}
     for c, t, role, text in data:
         groups.setdefault(c, []).append((t, role or "", text or ""))
-    for tree_chars in (1 << 20, 10):
-        trees, known = chat.formatted(frame, tree_chars)
-        found = {r.conv_id: r for r in known.join(chat.read_back(trees), "path").collect()}
+    found_trees = []
+    for part_ids in (1 << 18, 10):
+        trees, known = chat.formatted(frame, CHAT_PATH, part_ids)
+        found = {r.conv_id: r for r in known.join(chat.read_back(trees, CHAT_PATH), "path").collect()}
         assert set(found) == set(groups)
         for c, turns in groups.items():
             said = "".join(f"{r}\n{t}\n" for _, r, t in sorted(turns))
@@ -415,20 +417,78 @@ def test_conversations_read_back(spark):
             assert (r.n_turns, r.loss_chars) == (len(turns), len(learned))
             assert r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
             assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
-    once = trees.selectExpr("sum(length(text))").first()[0]
-    assert once >= chat.formatted(frame)[0].selectExpr("sum(length(text))").first()[0]
-    assert chat.formatted(frame.limit(0))[0].count() == 0
+        found_trees.append(trees.selectExpr("sum(size(ids))").first()[0])
+    assert found_trees[0] == found_trees[1]
+    nothing = chat.formatted(frame.limit(0), CHAT_PATH)[0]
+    assert nothing.count() == chat.read_back(nothing, CHAT_PATH).count() == 0
 
 
 def test_shared_turns_are_written_once():
-    tree = chat._Tree()
-    tree.add("a", [("user", "hi"), ("assistant", "yes")])
-    tree.add("b", [("user", "hi"), ("assistant", "no"), ("user", "why")])
-    assert len(tree.nodes) == 4
-    yes, no, why = tree.nodes[1:]
-    assert yes["position"] == no["position"] == tree.nodes[0]["end"]
+    own = chat.tokens(CHAT_PATH)
+    forest = chat._Forest(own, 1 << 18)
+    assert forest.add("a", [b"1", b"2"], [("user", "hi"), ("assistant", "yes")]) is None
+    assert forest.add("b", [b"1", b"3", b"4"], [("user", "hi"), ("assistant", "no"), ("user", "why")]) is None
+    part = forest.part()
+    assert len(part["nodes"]) == 4 and len(part["ids"]) == len(part["positions"]) == part["nodes"][-1]["end"]
+    yes, no, why = part["nodes"][1:]
+    assert yes["position"] == no["position"] == part["nodes"][0]["end"]
     assert no["attends"] == [{"start": 0, "end": yes["start"]}]
     assert why["attends"] == [{"start": 0, "end": yes["start"]}, {"start": no["start"], "end": no["end"]}]
+    assert part["positions"][no["start"] : no["end"]].tolist() == list(range(no["position"], why["position"]))
+    assert own.decode(part["ids"][no["loss"]["start"] : no["loss"]["end"]]) == "no"
+    # The same without the turn that another part has.
+    short = chat._without_first(part, 1)
+    yes, no, why = short["nodes"]
+    assert [n["held"] for n in (yes, no, why)] == [1, 1, 1] and [n["parent"] for n in (yes, no, why)] == [None, None, 1]
+    assert yes["attends"] == no["attends"] == [] and why["attends"] == [{"start": no["start"], "end": no["end"]}]
+    assert short["held"][0]["length"] == yes["position"] and yes["start"] == 0
+    assert own.decode(short["ids"][no["loss"]["start"] : no["loss"]["end"]]) == "no"
+
+
+@pytest.mark.parametrize(("tasks", "part_ids"), [(1, 1 << 18), (4, 1 << 18), (32, 1 << 18), (32, 40)])
+def test_no_turn_of_a_path_is_written_twice(spark, tasks, part_ids):
+    """All conversations share a turn, groups of them share three more, in many tasks and parts."""
+    convs = {}
+    for c in range(300):
+        shared = [("user", "all of us"), ("assistant", f"a{c % 7}"), ("user", f"b{c % 21}"), ("assistant", f"c{c % 42}")]
+        convs[c] = shared[: 1 + c % 5] + [("user", f"own {c % 100}")] * (c % 3)
+    rows = [(c, t, *turn) for c, turns in convs.items() for t, turn in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(tasks)}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        trees, known = chat.formatted(frame, CHAT_PATH, part_ids)
+        parts = trees.collect()
+        found = {r.conv_id: r.turns_sha256 for r in known.join(chat.read_back(trees, CHAT_PATH), "path").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    keys = [bytes(n.key) for p in parts for n in p.nodes]
+    assert len(keys) == len(set(keys)) == len({tuple(t[:n]) for t in convs.values() for n in range(1, len(t) + 1)})
+    assert (len(parts) > 4) == (tasks > 4)
+    for c, turns in convs.items():
+        assert found[c] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    own = chat.tokens(CHAT_PATH)
+    where = {bytes(n.key): (p, n) for p in parts for n in p.nodes}
+    for p in parts:
+        for n in p.nodes:
+            # Positions go on from the turn above, in whichever part it is.
+            if n.parent is not None:
+                above = p.nodes[n.parent]
+                assert n.position == above.position + above.end - above.start and n.held == above.held
+            elif n.held:
+                above = p.held[n.held - 1]
+                assert n.position == above.position + above.length
+                there, node = where[bytes(above.key)]
+                assert (node.position, node.end - node.start) == (above.position, above.length)
+                assert own.decode(np.array(there.ids[node.start : node.end])).endswith(chat.END)
+            else:
+                assert n.position == 0
+            assert p.positions[n.start : n.end] == list(range(n.position, n.position + n.end - n.start))
+            seen = sum(s.end - s.start for s in n.attends) + sum(h.length for h in p.held[: n.held])
+            assert seen == n.position
 
 
 def test_escapes_are_reversible():

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from base64 import b64decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +36,7 @@ _SPREAD = 64
 _BEGINS = re.compile(r"([\[<])(?=" + "|".join(re.escape(c[1:]) for c in CONTROL) + ")")
 _ESCAPES = re.compile(r"\\(\\?)")
 _TURN = re.compile(f"{re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(END)}", re.DOTALL)
-_PROBE = "[TURN]É \\\t\n x</s><|endoftext|> d'été\u3000\U0001f600"
+_BLOCK = 1 << 16
 
 _INTERVAL = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _HELD = pa.struct([("key", pa.binary()), ("position", pa.int64()), ("length", pa.int64()), ("loss", _INTERVAL)])
@@ -97,31 +98,39 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+@dataclass(frozen=True)
+class Ranks:
+    """A byte-level vocabulary: a file with a token in base64 and its id on each line, and how texts are split first."""
+
+    path: str
+    pattern: str
+
+
 class _Tokens:
-    """A tokenizer that loses nothing: special tokens in a text are text, and what it encodes decodes to the same."""
+    """Texts to ids and back without loss: the vocabulary has all bytes, and no string of a text is special."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, ranks: Ranks):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
-        if self.decode(np.concatenate(self.encode([_PROBE, _PROBE]))) != 2 * _PROBE:
-            raise ValueError("the tokenizer does not give back the text it encodes")
+        with open(ranks.path, "rb") as lines:
+            known = {b64decode(token): int(i) for token, i in (line.split() for line in lines if line.strip())}
+        if any(bytes([b]) not in known for b in range(256)):
+            raise ValueError("the vocabulary does not have all bytes")
+        self.coder = tiktoken.Encoding("chat", pat_str=ranks.pattern, mergeable_ranks=known, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in found]
+    def encode(self, text: str) -> np.ndarray:
+        """Blocks of a long text are encoded each on its own, as what the pattern looks through must be bounded."""
+        blocks = (text[low : low + _BLOCK] for low in range(0, len(text), _BLOCK))
+        return np.array([i for block in blocks for i in self.coder.encode_ordinary(block)], np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        return self.coder.decode_bytes(ids.tolist()).decode()
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> _Tokens:
-    """One for each worker process and file."""
-    return _Tokens(path)
+def tokens(ranks: Ranks) -> _Tokens:
+    """One for each worker process and vocabulary."""
+    return _Tokens(ranks)
 
 
 @dataclass
@@ -171,8 +180,8 @@ class _Forest:
             self.first = digests
         del self.open[shared:]
         for digest, (role, text) in zip(digests[shared:], turns[shared:], strict=True):
-            before, said, after = self.own.encode([f"{TURN}{escape(role)}{TEXT}", escape(text), END])
-            self._write(digest, before, said, after, role == LEARNED_ROLE)
+            before = self.own.encode(f"{TURN}{escape(role)}{TEXT}")
+            self._write(digest, before, self.own.encode(escape(text)), self.own.encode(END), role == LEARNED_ROLE)
         self.digests = digests
         self.leaves.append({"path": path, "node": self.open[-1].node if self.open else None})
         return done
@@ -287,7 +296,7 @@ def paths(rows: DataFrame) -> DataFrame:
     return said.withColumn("path", F.sha2(F.to_json("turns"), 256))
 
 
-def trees(conversations: DataFrame, tokenizer: str, part_ids: int = PART_IDS) -> DataFrame:
+def trees(conversations: DataFrame, ranks: Ranks, part_ids: int = PART_IDS) -> DataFrame:
     """part, ids, positions, held, nodes, leaves of the prefix trees of conversations (path, turns), each path once.
 
     Each turn of a tree is in one part, however many tasks and parts the tree is cut into. A part ends where the first
@@ -296,7 +305,7 @@ def trees(conversations: DataFrame, tokenizer: str, part_ids: int = PART_IDS) ->
     and the loss in tokens from the turn's start. A node's ``held`` says how many of them it goes on from; ``parent``
     and ``attends`` are of the part's own. Intervals and loss are counted in tokens. An empty table gives no parts.
 
-    The tokenizer must give back what it encodes. Roles, texts and marks are encoded each on its own.
+    Each turn's mark with its role, its text and its end are encoded on their own, a text in blocks of _BLOCK characters.
     """
     digest = F.transform("turns", lambda t: F.unhex(F.md5(F.concat(F.length(t["role"]), F.lit(":"), t["role"], t["text"]))))
     ordered = conversations.select("path", "turns").dropDuplicates(["path"]).withColumn("order", digest)
@@ -304,7 +313,7 @@ def trees(conversations: DataFrame, tokenizer: str, part_ids: int = PART_IDS) ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = {"task": TaskContext.get().partitionId()}
-        forest = _Forest(tokens(tokenizer), part_ids)
+        forest = _Forest(tokens(ranks), part_ids)
         for batch in batches:
             for row in batch.to_pylist():
                 done = forest.add(row["path"], row["order"], [(t["role"], t["text"]) for t in row["turns"]])
@@ -366,7 +375,7 @@ def _turns_above(found: DataFrame) -> DataFrame:
     return known.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "ids"))), lambda t: t["ids"]).alias("above"))
 
 
-def read_back(found: DataFrame, tokenizer: str) -> DataFrame:
+def read_back(found: DataFrame, ranks: Ranks) -> DataFrame:
     """path, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each leaf, from the parts alone.
 
     ``found`` are parts that are stored. Parts that hold turns elsewhere get them by their keys.
@@ -376,7 +385,7 @@ def read_back(found: DataFrame, tokenizer: str) -> DataFrame:
     whole = found.where("size(held) = 0").withColumn("above", no_turns).unionByName(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens(tokenizer)
+        own = tokens(ranks)
         for part in _rows(batches):
             ids, nodes = part["ids"], part["nodes"]
             above = [np.array(turn, np.int32) for turn in part["above"]]
@@ -424,7 +433,7 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def formatted(rows: DataFrame, tokenizer: str, part_ids: int = PART_IDS) -> tuple[DataFrame, DataFrame]:
+def formatted(rows: DataFrame, ranks: Ranks, part_ids: int = PART_IDS) -> tuple[DataFrame, DataFrame]:
     """Parts of the trees of all conversations of rows (conv_id, turn, role, text), and the path of each conversation."""
     known = stored(paths(rows.select("conv_id", "turn", "role", "text")), "conversations")
-    return stored(trees(known, tokenizer, part_ids), "trees"), known.select("conv_id", "path")
+    return stored(trees(known, ranks, part_ids), "trees"), known.select("conv_id", "path")

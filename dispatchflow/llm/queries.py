@@ -28,7 +28,7 @@ from . import (
 from .common import in_arrow, slices
 
 TOKENIZER = "word_bpe_49k.json"
-CHAT_TOKENIZER = "byte_bpe_50k.json"
+CHAT_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,9 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    path = public_tokenizers.path(CHAT_TOKENIZER)
-    trees, known = chat.formatted(rows.unionByName(extra), path)
-    return known.join(chat.read_back(trees, path), "path").drop("path")
+    ranks = chat.Ranks(public_tokenizers.path(CHAT_RANKS), public_tokenizers.PATTERN)
+    trees, known = chat.formatted(rows.unionByName(extra), ranks)
+    return known.join(chat.read_back(trees, ranks), "path").drop("path")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

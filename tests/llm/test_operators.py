@@ -20,7 +20,7 @@ from dispatchflow.llm.graph import components
 from dispatchflow.llm.queries import ORACLE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-CHAT_PATH = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = chat.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 SCHEMA = "doc_id bigint, text string, lang string, digest string, keep_id int, __key string"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -407,8 +407,8 @@ def test_conversations_read_back(spark):
         groups.setdefault(c, []).append((t, role or "", text or ""))
     found_trees = []
     for part_ids in (1 << 18, 10):
-        trees, known = chat.formatted(frame, CHAT_PATH, part_ids)
-        found = {r.conv_id: r for r in known.join(chat.read_back(trees, CHAT_PATH), "path").collect()}
+        trees, known = chat.formatted(frame, RANKS, part_ids)
+        found = {r.conv_id: r for r in known.join(chat.read_back(trees, RANKS), "path").collect()}
         assert set(found) == set(groups)
         for c, turns in groups.items():
             said = "".join(f"{r}\n{t}\n" for _, r, t in sorted(turns))
@@ -419,12 +419,12 @@ def test_conversations_read_back(spark):
             assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
         found_trees.append(trees.selectExpr("sum(size(ids))").first()[0])
     assert found_trees[0] == found_trees[1]
-    nothing = chat.formatted(frame.limit(0), CHAT_PATH)[0]
-    assert nothing.count() == chat.read_back(nothing, CHAT_PATH).count() == 0
+    nothing = chat.formatted(frame.limit(0), RANKS)[0]
+    assert nothing.count() == chat.read_back(nothing, RANKS).count() == 0
 
 
 def test_shared_turns_are_written_once():
-    own = chat.tokens(CHAT_PATH)
+    own = chat.tokens(RANKS)
     forest = chat._Forest(own, 1 << 18)
     assert forest.add("a", [b"1", b"2"], [("user", "hi"), ("assistant", "yes")]) is None
     assert forest.add("b", [b"1", b"3", b"4"], [("user", "hi"), ("assistant", "no"), ("user", "why")]) is None
@@ -459,9 +459,9 @@ def test_no_turn_of_a_path_is_written_twice(spark, tasks, part_ids):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        trees, known = chat.formatted(frame, CHAT_PATH, part_ids)
+        trees, known = chat.formatted(frame, RANKS, part_ids)
         parts = trees.collect()
-        found = {r.conv_id: r.turns_sha256 for r in known.join(chat.read_back(trees, CHAT_PATH), "path").collect()}
+        found = {r.conv_id: r.turns_sha256 for r in known.join(chat.read_back(trees, RANKS), "path").collect()}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -470,7 +470,7 @@ def test_no_turn_of_a_path_is_written_twice(spark, tasks, part_ids):
     assert (len(parts) > 4) == (tasks > 4)
     for c, turns in convs.items():
         assert found[c] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-    own = chat.tokens(CHAT_PATH)
+    own = chat.tokens(RANKS)
     where = {bytes(n.key): (p, n) for p in parts for n in p.nodes}
     for p in parts:
         for n in p.nodes:
@@ -491,6 +491,12 @@ def test_no_turn_of_a_path_is_written_twice(spark, tasks, part_ids):
             assert seen == n.position
 
 
+def test_long_and_odd_texts_come_back():
+    own = chat.tokens(RANKS)
+    for text in ("", "<|endoftext|>", " " * 1_000_000, "a" * 200_000, "中\n" * 70_000, "é\t\r\n \u3000x\U0001f600\x00</s>"):
+        assert own.decode(own.encode(text)) == text
+
+
 def test_escapes_are_reversible():
     draw = random.Random(8)
     for _ in range(3000):

@@ -37,6 +37,7 @@ _BEGINS = re.compile(r"([\[<])(?=" + "|".join(re.escape(c[1:]) for c in CONTROL)
 _ESCAPES = re.compile(r"\\(\\?)")
 _TURN = re.compile(f"{re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(END)}", re.DOTALL)
 _BLOCK = 1 << 16
+_ROWS = 256
 
 _INTERVAL = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _HELD = pa.struct([("key", pa.binary()), ("position", pa.int64()), ("length", pa.int64()), ("loss", _INTERVAL)])
@@ -266,8 +267,21 @@ def _without_first(part: dict, turns: int) -> dict:
     return {**part, **short, "held": held, "nodes": nodes, "leaves": leaves}
 
 
-def _batch(part: dict) -> pa.RecordBatch:
-    columns = [pa.array([part[field.name]], field.type) for field in _PART]
+def _batches(parts: Iterator[dict], part_ids: int = PART_IDS) -> Iterator[pa.RecordBatch]:
+    """Small parts go together, up to as many ids as one of full size has."""
+    lot, size = [], 0
+    for part in parts:
+        lot.append(part)
+        size += len(part["ids"])
+        if size >= part_ids or len(lot) >= _ROWS:
+            yield _batch(lot)
+            lot, size = [], 0
+    if lot:
+        yield _batch(lot)
+
+
+def _batch(parts: list[dict]) -> pa.RecordBatch:
+    columns = [pa.array([part[field.name] for part in parts], field.type) for field in _PART]
     return pa.RecordBatch.from_arrays(columns, schema=_PART)
 
 
@@ -311,16 +325,19 @@ def trees(conversations: DataFrame, ranks: Ranks, part_ids: int = PART_IDS) -> D
     ordered = conversations.select("path", "turns").dropDuplicates(["path"]).withColumn("order", digest)
     dealt = ordered.repartitionByRange("order", "path").sortWithinPartitions("order", "path")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         task = {"task": TaskContext.get().partitionId()}
         forest = _Forest(tokens(ranks), part_ids)
         for batch in batches:
             for row in batch.to_pylist():
                 done = forest.add(row["path"], row["order"], [(t["role"], t["text"]) for t in row["turns"]])
                 if done:
-                    yield _batch(done | task)
+                    yield done | task
         if forest.leaves:
-            yield _batch(forest.part() | task)
+            yield forest.part() | task
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(written(batches))
 
     return _joined(stored(in_arrow(dealt, write, _DRAFT), "drafts"))
 
@@ -337,12 +354,11 @@ def _joined(drafts: DataFrame) -> DataFrame:
     # Paths of different lengths differ where the shorter one ends, as the longer is compared with null there.
     shared = F.when(F.col("before").isNull(), 0).when(unlike > 0, unlike - 1).otherwise(F.size("first"))
     borders = ends.withColumn("before", before).select("task", F.lit(0).cast("bigint").alias("nth"), shared.cast("bigint").alias("shared"))
-    told = drafts.join(F.broadcast(borders), ["task", "nth"], "left")
+    told = drafts.join(F.broadcast(stored(borders, "borders")), ["task", "nth"], "left")
     kept = told.where("coalesce(shared, 0) = 0").select(*drafts.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _rows(batches):
-            yield _batch(_without_first(part, part["shared"]))
+        return _batches(_without_first(part, part["shared"]) for part in _rows(batches))
 
     whole = kept.unionByName(in_arrow(told.where("shared > 0"), cut, _DRAFT))
     return whole.select(F.concat_ws("-", "task", "nth").alias("part"), "ids", "positions", "held", "nodes", "leaves")
@@ -378,7 +394,7 @@ def _turns_above(found: DataFrame) -> DataFrame:
 def read_back(found: DataFrame, ranks: Ranks) -> DataFrame:
     """path, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each leaf, from the parts alone.
 
-    ``found`` are parts that are stored. Parts that hold turns elsewhere get them by their keys.
+    ``found`` is gone through three times. Parts that hold turns elsewhere get them by their keys.
     """
     no_turns = F.array().cast("array<array<int>>")
     held = found.where("size(held) > 0").join(_turns_above(found), "part")
@@ -436,4 +452,4 @@ def _digest(text: str) -> str:
 def formatted(rows: DataFrame, ranks: Ranks, part_ids: int = PART_IDS) -> tuple[DataFrame, DataFrame]:
     """Parts of the trees of all conversations of rows (conv_id, turn, role, text), and the path of each conversation."""
     known = stored(paths(rows.select("conv_id", "turn", "role", "text")), "conversations")
-    return stored(trees(known, ranks, part_ids), "trees"), known.select("conv_id", "path")
+    return trees(known, ranks, part_ids), known.select("conv_id", "path")

@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_rank
+from .common import stored, with_hot_keys, with_rank
 
 ROUNDS = 12
 
@@ -23,8 +23,10 @@ def _ask(members: DataFrame, labels: DataFrame, allowed: list[int]) -> DataFrame
     held = members.join(labels, "row").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
     # One entry for each shard at most, however large the group.
     entry = F.struct("shard", "n", F.xxhash64("group", "shard").alias("tie"))
-    profile = held.groupBy("group").agg(F.collect_list(entry).alias("profile"))
-    votes = members.join(profile, "group").join(labels, "row").select("row", "shard", F.explode("profile").alias("at"))
+    profile = held.groupBy("group").agg(F.collect_list(entry).alias("profile"), F.sum("n").alias("holds"))
+    # A large group's profile goes to its rows, wherever they are.
+    asked = with_hot_keys(members, profile, ["group"], "holds", members.count(), "inner")
+    votes = asked.join(labels, "row").select("row", "shard", F.explode("profile").alias("at"))
     votes = votes.where(F.col("at.shard").isin(allowed) | (F.col("at.shard") == F.col("shard")))
     scores = votes.groupBy("row", "shard", F.col("at.shard").alias("to")).agg(
         F.sum("at.n").alias("score"), F.min("at.tie").alias("tie")
@@ -78,8 +80,8 @@ def balanced_shards(rows: DataFrame, members: DataFrame, shards: int, rounds: in
     """row, shard for all of ``rows`` (row: numbers from 0 without gaps); members: row, group, links to follow."""
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    linked = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    members = stored(members.join(linked, "group", "left_semi"), "members")
+    linked = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(with_hot_keys(members, linked, ["group"], "n", total, "inner").select("row", "group"), "members")
     start = members.select("row").distinct().select("row", F.pmod("row", F.lit(shards)).cast("int").alias("shard"))
     labels = propagate(members, stored(start, "labels"), quota, rounds)
     load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}

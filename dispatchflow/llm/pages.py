@@ -311,7 +311,7 @@ def extracted(
     params: ExtractionParams = ExtractionParams(),
     model: TreeModel | None = None,
 ) -> DataFrame:
-    """A row for each row of ``pages``: id, content (hash of the html), text (empty if there is none).
+    """A row for each row of ``pages``: id, text (empty if there is none).
 
     Null and empty pages have no text. Repeated rows and null ids come out as they go in; an empty table gives no
     rows. Other columns are not read.

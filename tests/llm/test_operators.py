@@ -581,3 +581,19 @@ def test_toxic_texts_are_found(spark):
     blind = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(blind) == len(data) and all(0 <= r.score <= 1 for r in blind)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_odd_rows(spark):
+    plain, bad = "good words of all kinds stand here " * 4, "nasty vile awful " * 8
+    texts = [plain + f"x{i}" if i % 3 else bad + f"x{i}" for i in range(90)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, None), (500, plain * 4000), (501, bad * 4000)]
+    docs = spark.createDataFrame([(i, t, 2.0, "s") for i, t in rows], "doc_id bigint, text string, label double, score string")
+    labels = [(i, int(i % 3 == 0)) for i in range(90)] + [(1, None), (None, 1), (0, 1), (777, 0)]
+    found = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    assert sorted(str(r.id) for r in found) == sorted(str(i) for i, _ in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    assert [r.held_out for r in found if r.id is None] == [False, False]
+    first = [r.score for r in found if r.id == 0]
+    assert len(first) == 2 and first[0] == first[1]
+    by_id = {r.id: r.predicted for r in found if r.id in (500, 501)}
+    assert by_id == {500: 0, 501: 1}

@@ -2,8 +2,9 @@
 
 Each stage takes what its predecessor kept and returns the columns of documents; the last returns pieces. Null and
 empty texts go with the quality rules; a table that is empty, or of which nothing is kept, goes through all stages and
-gives no pieces. Rows with a null id are never copies of others and stay. Columns beyond those of documents are kept,
-whatever they are called, up to the last stage.
+gives no pieces. Of equal texts a row with a null id stays only where none has an id; near copies and repeated strings
+are not looked for in rows with a null id. Columns beyond those of documents are kept, whatever they are called, up to
+the last stage.
 """
 
 from __future__ import annotations

@@ -10,7 +10,6 @@ bracket deep. An element that goes over the end of a block is joined from its pa
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,35 +26,42 @@ from dispatchflow.session import ship_package, streaming_session
 OUTSIDE, INSIDE, ESCAPED = range(3)
 # Bytes that are looked at together.
 _CHUNK = 1 << 20
+# Blocks for each core at most, while they are smaller than _BLOCK, the usual size of Spark's partitions of files.
+_BLOCKS_A_CORE = 16
+_BLOCK = 128 << 20
 _OPEN, _CLOSE, _COMMA, _QUOTE, _BACKSLASH = (ord(c) for c in "[]," + '"\\')
 _DEEPER, _HIGHER = (_OPEN, ord("{")), (_CLOSE, ord("}"))
+# For each byte: the change of depth, and whether it is a bracket or comma.
+_STEPS = np.isin(np.arange(256), _DEEPER).astype(np.int64) - np.isin(np.arange(256), _HIGHER)
+_MARKED = (_STEPS != 0) | (np.arange(256) == _COMMA)
 
 
 def array_elements(spark: SparkSession, path: str, block_bytes: int | None = None) -> DataFrame:
     """file, position (from 0), text of each element of the JSON arrays in files, one array a file.
 
     A file that is no array, or goes on after it, fails the read; so do elements without text. Blocks are as large as
-    Spark's partitions of files, or ``block_bytes``. An element is one value of the result, 2 GB at most; the array
-    and the file have no such bound. Compressed files are read by one task each.
+    Spark's partitions of files. With ``block_bytes`` they may be that small, and grow with the files so that there are
+    no more than a few for each core. An element is one value of the result, 2 GB at most; the array and the file have
+    no such bound. Compressed files are read by one task each.
     """
     ship_package(spark)
     if block_bytes:
+        own = _block_size(spark, path, block_bytes)
         spark = streaming_session(spark)
         for name in ("maxPartitionBytes", "openCostInBytes"):
-            spark.conf.set(f"spark.sql.files.{name}", str(block_bytes))
+            spark.conf.set(f"spark.sql.files.{name}", str(own))
     pieces = spark.read.text(path, lineSep="}").select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"),
-        F.col("value").cast("binary").alias("data"),
+        F.concat(F.col("value").cast("binary"), F.lit(b"}")).alias("data"),  # with the brace that ended the line
     )
     sums = pieces.mapInArrow(_summed, "file string, block bigint, size bigint, bytes bigint, sums string")
     begins = sums.groupBy("file").applyInPandas(_begun, "file string, block bigint, state int, depth bigint, element bigint, last bigint")
     # A row for each block: some 20 MB for 100 TB in blocks of 512 MB.
     placed = pieces.join(F.broadcast(begins), ["file", "block"])
-    parts = placed.mapInArrow(_cut, "file string, block bigint, element bigint, whole boolean, text string, last bigint")
-    whole = parts.where("whole").select("file", F.col("element").alias("position"), "text")
-    torn = parts.where("not whole").groupBy("file", "element").agg(
+    whole = placed.mapInArrow(_whole, _PARTS).select("file", F.col("element").alias("position"), "text")
+    torn = placed.mapInArrow(_torn, _PARTS).groupBy("file", "element").agg(
         F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"), F.any_value("last").alias("last")
     )  # two of each block at most
     text = F.concat_ws("", F.transform("parts", lambda part: part["text"])).alias("text")
@@ -65,6 +71,14 @@ def array_elements(spark: SparkSession, path: str, block_bytes: int | None = Non
     return whole.unionByName(torn.drop("last"))
 
 
+def _block_size(spark: SparkSession, path: str, least: int) -> int:
+    """Bytes of a block: ``least``, or what gives _BLOCKS_A_CORE for each core, up to _BLOCK."""
+    lengths = spark.read.format("binaryFile").load(path).select("length")  # contents are not read
+    total = lengths.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    even = -(-total // (_BLOCKS_A_CORE * spark.sparkContext.defaultParallelism))
+    return max(least, min(even, _BLOCK))
+
+
 def split_array_records(spark: SparkSession, path: str, block_bytes: int | None = None) -> DataFrame:
     """position, ``payload`` JSON text of each element: keys sorted, nulls and nested values kept, no schema needed."""
     elements = array_elements(spark, path, block_bytes)
@@ -96,38 +110,45 @@ def marks(data: bytes, state: int) -> Marks:
     bytes_ = np.frombuffer(data, np.uint8)[int(skipped) :]
     if state == ESCAPED and not skipped:
         return Marks(*(np.zeros(0, np.int64) for _ in range(3)), 0, ESCAPED)
-    at = np.arange(len(bytes_))
-    plain = np.maximum.accumulate(np.where(bytes_ != _BACKSLASH, at, -1)) if len(bytes_) else at
+    slashes = np.flatnonzero(bytes_ == _BACKSLASH)
+    # Where the run of backslashes that each is in begins.
+    first = np.append(True, np.diff(slashes) > 1)[: len(slashes)]
+    runs = np.maximum.accumulate(np.where(first, slashes, 0))
     quotes = np.flatnonzero(bytes_ == _QUOTE)
-    slashes = np.where(quotes > 0, quotes - 1 - plain[quotes - 1], 0) if len(quotes) else quotes
-    quotes = quotes[slashes % 2 == 0]
-    found = np.flatnonzero(np.isin(bytes_, (*_DEEPER, *_HIGHER, _COMMA)))
+    if len(slashes):
+        after = np.flatnonzero((quotes > 0) & (bytes_[quotes - 1] == _BACKSLASH))
+        run = runs[np.searchsorted(slashes, quotes[after]) - 1]
+        quotes = np.delete(quotes, after[(quotes[after] - run) % 2 == 1])
+    found = np.flatnonzero(_MARKED[bytes_])
     inside = (np.searchsorted(quotes, found) + (state != OUTSIDE)) % 2 == 1
     found = found[~inside]
     kinds = bytes_[found]
-    steps = np.isin(kinds, _DEEPER).astype(np.int64) - np.isin(kinds, _HIGHER)
+    steps = _STEPS[kinds]
     ends = np.cumsum(steps)
     last = OUTSIDE
     if (len(quotes) + (state != OUTSIDE)) % 2:
-        open_slashes = len(bytes_) - 1 - int(plain[-1]) if len(bytes_) else 0
+        open_slashes = len(bytes_) - int(runs[-1]) if len(slashes) and slashes[-1] == len(bytes_) - 1 else 0
         last = ESCAPED if open_slashes % 2 else INSIDE
     return Marks(found + skipped, kinds, ends - steps, int(ends[-1]) if len(ends) else 0, last)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
-    """The bytes of each block in chunks, with what its rows have in common. The cut braces are put back."""
-    key, held, size = None, [], 0
+    """The bytes of each block in chunks, with what its rows have in common. Rows of a block lie next to each other."""
     for batch in batches:
-        others = [batch.column(name).to_pylist() for name in batch.schema.names if name != "data"]
-        for *own, data in zip(*others, batch.column("data").to_pylist(), strict=True):
-            if held and (tuple(own) != key or size >= _CHUNK):
-                yield key, b"".join(held)
-                held, size = [], 0
-            key = tuple(own)
-            held += [data, b"}"]
-            size += len(data) + 1
-    if held:
-        yield key, b"".join(held)
+        if not batch.num_rows:
+            continue
+        others = [batch.column(name) for name in batch.schema.names if name != "data"]
+        files = batch.column("file").dictionary_encode().indices.to_numpy()
+        blocks = batch.column("block").to_numpy()
+        firsts = np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1
+        data = batch.column("data").cast(pa.large_binary())
+        bounds = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        for low, high in zip([0, *firsts.tolist()], [*firsts.tolist(), batch.num_rows], strict=True):
+            key = tuple(column[low].as_py() for column in others)
+            while low < high:
+                row = min(max(int(np.searchsorted(bounds, bounds[low] + _CHUNK)), low + 1), high)
+                yield key, data.buffers()[2][int(bounds[low]) : int(bounds[row])].to_pybytes()
+                low = row
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +166,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in sums:
             way = ways[own[0]]
             levels = way.before + own[1]
-            for counts, some in ((own[2], way.kinds == _COMMA), (own[3], np.isin(way.kinds, _DEEPER))):
-                for level, n in Counter(levels[some].tolist()).items():
-                    counts[str(level)] = counts.get(str(level), 0) + n
+            for counts, some in ((own[2], way.kinds == _COMMA), (own[3], _STEPS[way.kinds] > 0)):
+                lowest = int(levels.min(initial=0))
+                n_of = np.bincount(levels[some] - lowest)
+                for level in np.flatnonzero(n_of).tolist():
+                    counts[str(level + lowest)] = counts.get(str(level + lowest), 0) + int(n_of[level])
             own[0], own[1] = way.state, own[1] + way.depth
     if now:
         done.append((*now, total, json.dumps(sums)))
@@ -175,8 +198,19 @@ def _begun(blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*row, element) for row in rows], columns=["file", "block", "state", "depth", "element", "last"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of elements in each block; ``whole`` where one begins and ends in it."""
+_PARTS = "file string, block bigint, element bigint, text string, last bigint"
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _cut(batches, True)
+
+
+def _torn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _cut(batches, False)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The elements that begin and end in a block, or the parts of the others, two of each block at most."""
     rows: list[tuple] = []
     now, held = None, b""
     state = depth = element = 0
@@ -187,8 +221,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if element == 0 and element == now[-1]:
                 return  # an array without elements
             raise ValueError(f"{now[0]}: element {element} has no text")
-        if held:
-            rows.append((now[0], now[1], element, begun and ends, held.decode(), now[-1]))
+        if held and whole == (begun and ends):
+            rows.append((now[0], now[1], element, held.decode(), now[-1]))
 
     def outside() -> None:
         if held.strip() not in (b"", b"}"):
@@ -235,7 +269,7 @@ def _without_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["file", "block", "element", "whole", "text", "last"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    names = ["file", "block", "element", "text", "last"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

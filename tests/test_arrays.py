@@ -3,11 +3,12 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from dispatchflow.schemas import schema
 from dispatchflow.session import work_dir
-from dispatchflow.sources import array_elements, split_array_records, split_typed_records
+from dispatchflow.sources import array_elements, arrays, split_array_records, split_typed_records
 from dispatchflow.sources.arrays import ESCAPED, INSIDE, OUTSIDE, marks
 
 ODD = [
@@ -117,3 +118,22 @@ def test_states_follow_each_other():
         assert one.depth + two.depth == whole.depth == 0 and two.state == whole.state == OUTSIDE
     assert seen == {OUTSIDE, INSIDE, ESCAPED}
     assert marks(b"", ESCAPED).state == ESCAPED
+
+
+def test_blocks_grow_with_the_file(spark):
+    """The number of tasks depends on the cores, not on the size of the file over the smallest block."""
+    records = made(3, 3000)
+    path = written(spark, json.dumps(records))
+    frame = array_elements(spark, path, 11)
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert frame.rdd.getNumPartitions() <= 17 * spark.sparkContext.defaultParallelism + shuffled
+    assert elements(spark, path, 11) == records
+
+
+def test_rows_of_a_block_go_together():
+    rows = [("a", 0, b"[1}"), ("a", 0, b"}"), ("a", 5, b"x}"), ("b", 5, b"}"), ("b", 5, b"y}"), ("c", 0, b"z}")]
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["file", "block", "data"])
+    found = [(("a", 0), b"[1}}"), (("a", 5), b"x}"), (("b", 5), b"}y}"), (("c", 0), b"z}")]
+    assert list(arrays._chunks(iter([batch, batch.slice(6)]))) == found
+    assert list(arrays._chunks(iter([batch.slice(1, 2)]))) == [(("a", 0), b"}"), (("a", 5), b"x}")]

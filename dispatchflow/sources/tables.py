@@ -92,10 +92,10 @@ def write_json_arrays(records: DataFrame, path: str, per_file: int) -> None:
 
 
 def write_json_array(records: DataFrame, path: str) -> None:
-    """All records as one array in one file, written by one task that holds a record at a time."""
-    text = record_json(F.struct(*records.columns))
+    """All records as one array in one file: texts are made by many tasks, one writes them, a record at a time."""
+    texts = records.select(record_json(F.struct(*records.columns)).alias("text")).repartition(1)
     comma = F.when(F.monotonically_increasing_id() > 0, ",").otherwise("[")
-    lines = records.coalesce(1).select(F.concat(comma, text).alias("value"))
+    lines = texts.select(F.concat(comma, "text").alias("value"))
     end = records.sparkSession.sql("select ']' as value")
     lines.unionByName(end).coalesce(1).write.text(path)
 

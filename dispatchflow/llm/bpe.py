@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,6 @@ class Memory(dict):
             self[key] = value
         return value
 
-    def keep(self, pairs: Iterable[tuple]) -> None:
-        """Values that were made elsewhere."""
-        for key, value in pairs:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-
 
 def _byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it can be seen."""
@@ -158,31 +152,36 @@ class Encoder:
             return None
         return tiktoken.Encoding("pieces", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Puts the ordinary words of texts that are not remembered into the memory, all of them by one call."""
-        known, older = self.words, self.words.older
-        missing = [w for w in set().union(*texts) if w not in known and len(w) <= _LONGEST]
-        fresh = [w for w in missing if w not in older]
-        known.keep([(w, older[w]) for w in missing if w in older])
-        if not fresh or self.ranks is None:
-            return
-        joined = b"".join(fresh)
-        if b"<|" in joined or not _ORDINARY.fullmatch(joined.decode("utf-8", "replace")):
-            fresh = [w for w in fresh if b"<|" not in w and _ORDINARY.fullmatch(w.decode("utf-8", "replace"))]
-        for low in range(0, len(fresh), known.most):
-            lot = fresh[low : low + known.most]
-            pieces = _LINES.findall(b"\n".join([*lot, b""]).decode().lower())
-            ids = self.ranks.encode_to_numpy("\0".join([*pieces, ""]))
-            ends = np.flatnonzero(ids == _LINE_END) * 4
-            data = ids.astype("<u4").tobytes()
-            spans = zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)
-            known.keep(zip(lot, [data[a:b] for a, b in spans], strict=True))
-
-    def plain_many(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of whole texts."""
-        words = [data.split() for data in texts]
-        self.learn(words)
-        return [b"".join(map(self.words.__getitem__, own)) for own in words]
+    def _by_ranks(self, words: list[str]) -> list[bytes]:
+        """The ids of ordinary words, all of them by one call."""
+        pieces = _LINES.findall("\n".join([*words, ""]).lower())
+        ids = self.ranks.encode_to_numpy("\0".join([*pieces, ""]))
+        ends = np.flatnonzero(ids == _LINE_END) * 4
+        data = ids.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+
+    def _different(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; the ordinary ones are not remembered."""
+        joined = "".join(words)
+        plain = [len(w) <= _LONGEST for w in words]
+        if self.ranks is None:
+            plain = [False] * len(words)
+        elif "<|" in joined or "" in words or not _ORDINARY.fullmatch(joined):
+            plain = [ok and "<|" not in w and bool(_ORDINARY.fullmatch(w)) for w, ok in zip(words, plain, strict=True)]
+        made = iter(self._by_ranks(lot) if (lot := list(compress(words, plain))) else ())
+        return [next(made) if ok else self.words[w.encode("utf-8", "surrogatepass")] for w, ok in zip(words, plain, strict=True)]
+
+    def plain_many(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """The ids of whole texts, null ones empty. Each of their different words is encoded once."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([data.decode("utf-8", "replace") for data in texts], pa.string())
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = lists.values.dictionary_encode()
+        ids = pa.array(self._different(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        data = ids.buffers()[2]
+        return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def plain(self, data: bytes) -> bytes:
         """The ids of a whole text, word by word."""

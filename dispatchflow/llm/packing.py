@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import in_arrow, plain_text, slices, stored
+from .common import in_arrow, slices, stored
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _ROWS = 1 << 14
+# Texts whose different words are encoded together.
+_TEXTS = 2048
 # Seeds after which documents that are used up leave a shard's index.
 _FORGET = 128
 
@@ -55,10 +57,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         kind = _kind(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, _TEXTS):
             signatures, found = [], []
-            texts = [plain_text(text) for text in batch.column("text").to_pylist()]
-            for data in own.plain_many(texts):
+            for data in own.plain_many(batch.column("text")):
                 ids = np.frombuffer(data, "<u4")
                 signatures.append(_signature(ids))
                 found.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())

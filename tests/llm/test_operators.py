@@ -339,6 +339,20 @@ def test_words_learned_at_once_are_the_librarys(rows):
         assert found == [own.encoded(t.encode()) for t in some]
 
 
+def test_each_different_word_is_encoded_once(monkeypatch):
+    own = bpe.Encoder(PATH)
+    asked = []
+    by_ranks = bpe.Encoder._by_ranks
+    monkeypatch.setattr(bpe.Encoder, "_by_ranks", lambda self, words: asked.extend(words) or by_ranks(self, words))
+    own.words.most = 2  # as if the memory were too small for the texts
+    texts = ["ab cd Ef.", None, "", " \t\n\v\f\rcd ab\x1cx \x85 a\xa0b", "cd  cd " * 50, "<|endoftext|> 日本", "x" * 500]
+    for array in (pa.array(texts), pa.array(["cut", *texts, "cut"], pa.large_string()).slice(1, len(texts))):
+        asked.clear()
+        assert own.plain_many(array) == [own.encoded((t or "").encode()) for t in texts]
+        assert asked and len(asked) == len(set(asked))
+    assert own.plain_many(pa.array([], pa.string())) == []
+
+
 def test_every_token_is_encoded_as_itself():
     own = bpe.Encoder(PATH)
     end = "</w>"
